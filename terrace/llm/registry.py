@@ -1,6 +1,11 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from terrace.llm import mixing, sharding, simhash
+from terrace.llm import mixing, sharding, simhash, tokenfile
 
-QUERIES = {"op2_shards": sharding.op2_shards, "op3_simhash": simhash.op3_simhash, "op7_mix": mixing.op7_mix}
+QUERIES = {
+    "op2_shards": sharding.op2_shards,
+    "op3_simhash": simhash.op3_simhash,
+    "op6_tokens": tokenfile.op6_tokens,
+    "op7_mix": mixing.op7_mix,
+}
 ORACLES = {"op7_mix": mixing.ORACLE}
