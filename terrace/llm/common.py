@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Used only where the session names no folder, as in tests.
 OWN_DIR = "/tmp/checkpoints"
+#: Rows of an Arrow batch that a Python operator takes at once.
+SLICE_ROWS = 2000
 #: Separators of the word definition that the contracts share.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -70,3 +75,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+
+
+def append(df: DataFrame, compute, fields: str, column: str = "text") -> DataFrame:
+    """df with the columns of ``fields`` after its own. compute takes a list of values of
+    ``column`` and returns one sequence for each field; it runs on Arrow batches in slices
+    of bounded size, and df's own columns pass through as they are."""
+    added = T._parse_datatype_string(fields)
+    at = df.columns.index(column)
+
+    def run(batches):
+        kinds = to_arrow_schema(added)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                found = compute(part.column(at).to_pylist())
+                yield pa.record_batch([*part.columns, *(pa.array(x, f.type) for x, f in zip(found, kinds))], names=[*part.schema.names, *kinds.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
