@@ -1,10 +1,12 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from terrace.llm import mixing, sharding, simhash, tokenfile
+from terrace.llm import language, mixing, quality, sharding, simhash, tokenfile
 
 QUERIES = {
     "op2_shards": sharding.op2_shards,
     "op3_simhash": simhash.op3_simhash,
+    "op4_quality": quality.op4_quality,
+    "op5_language": language.op5_language,
     "op6_tokens": tokenfile.op6_tokens,
     "op7_mix": mixing.op7_mix,
 }
