@@ -1,6 +1,6 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from terrace.llm import language, media, mixing, quality, secrets, sharding, simhash, tokenfile
+from terrace.llm import language, media, mixing, pieces, quality, secrets, sharding, simhash, tokenfile
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_tokens": tokenfile.op6_tokens,
     "op7_mix": mixing.op7_mix,
+    "op8_pieces": pieces.op8_pieces,
     "op9_secrets": secrets.op9_secrets,
 }
 ORACLES = {"op7_mix": mixing.ORACLE}
