@@ -1,9 +1,10 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from terrace.llm import language, media, mixing, pieces, quality, secrets, sharding, simhash, tokenfile
+from terrace.llm import embeddings, language, media, mixing, pieces, quality, secrets, sharding, simhash, tokenfile
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op10_embeddings": embeddings.op10_embeddings,
     "op2_shards": sharding.op2_shards,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality": quality.op4_quality,
