@@ -70,10 +70,9 @@ def cells(classes: DataFrame, overlap: int) -> DataFrame:
         big = now.join(open_, "cell").withColumn("h", F.xxhash64("node", F.lit(level)))
         drawn = big.where(F.pmod("h", "n") < 4 * F.col("b")).withColumn("part", F.row_number().over(Window.partitionBy("cell").orderBy("h", "node"))).where("part <= b")
         salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-        centres = drawn.select("cell", "part", "vec", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        centres = stage(drawn.select("cell", "part", "vec", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "flat-centres")
         dealt = big.select("node", "vec", "cell", "home", F.pmod(F.xxhash64("node", F.lit(-1 - level)), salts).cast("int").alias("salt"))
         moved = dealt.groupBy("cell", "salt").cogroup(centres.groupBy("cell", "salt")).applyInArrow(lambda a, b: _assign(a, b, overlap), _ROW)
-        # two centres may give one cell of the next level the same node once only: part is unique
         now = stage(moved, "flat-cells")
     return stage(now if done is None else done.unionByName(now), "flat-shards")
 
