@@ -79,31 +79,33 @@ def cells(classes: DataFrame, overlap: int) -> DataFrame:
 
 def robust_lists(x: np.ndarray) -> list[np.ndarray]:
     """Pruned neighbours of each row of unit vectors, with their reverses."""
-    n = len(x)
+    n, x = len(x), x.astype(np.float32)
     k = min(NEAR, n - 1)
     out: list[set[int]] = [set() for _ in range(n)]
     if k < 1:
         return [np.zeros(0, np.int64)] * n
-    for at in range(0, n, 512):
-        sims = x[at : at + 512] @ x.T
+    for at in range(0, n, 256):
+        sims = x[at : at + 256] @ x.T
         own = np.arange(len(sims))
         sims[own, own + at] = -np.inf
         cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         near = np.take_along_axis(sims, cand, axis=1)
         order = np.argsort(-near, axis=1, kind="stable")
         cand, near = np.take_along_axis(cand, order, axis=1), np.take_along_axis(near, order, axis=1)
-        alive = np.ones(cand.shape, bool)
+        alive, rows = np.ones(cand.shape, bool), np.arange(len(cand))
+        among = x[cand]
+        among = among @ among.transpose(0, 2, 1)  # cosines between the candidates of a row
+        kept = np.zeros(cand.shape, bool)
         for _ in range(min(DEGREE, k)):
-            rows = np.nonzero(alive.any(1))[0]
-            if not len(rows):
+            pick = alive.argmax(1)
+            some = alive[rows, pick]
+            if not some.any():
                 break
-            pick = alive[rows].argmax(1)
-            chosen = cand[rows, pick]
-            for r, c in zip(rows.tolist(), chosen.tolist()):
-                out[at + r].add(c)
+            kept[rows[some], pick[some]] = True
             alive[rows, pick] = False
-            between = 1 - np.einsum("rd,rkd->rk", x[chosen], x[cand[rows]])
-            alive[rows] &= ALPHA * between > 1 - near[rows]
+            alive &= ALPHA * (1 - among[rows, pick]) > 1 - near
+        for r, c in zip(*(v.tolist() for v in np.nonzero(kept))):
+            out[at + r].add(int(cand[r, c]))
     for a in range(n):
         for b in [b for b in out[a] if b > a or a not in out[b]]:
             out[b].add(a)
