@@ -1,4 +1,49 @@
 """Every registered query of the contest operators, with its SQL twin."""
 
+from __future__ import annotations
+
+from terrace.operators import history
+from terrace.plans import steps
+from terrace.sources import contest as source
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _sides(name: str, spec, whole: tuple[str, ...] = ()) -> None:
+    """A history of both teams: name_home and name_away of each match."""
+    layers, names = spec
+    final = steps.rounded(["match_id", *[f"{n}_{s}" for n in names for s in ("home", "away") if n in whole]], [f"{n}_{s}" for n in names for s in ("home", "away") if n not in whole])
+    QUERIES[name] = lambda spark, d: steps.both_sides(steps.columns(source.sides(source.contest(spark, d)), *layers), names).selectExpr(*final)
+    ORACLES[name] = steps.final_sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *layers), names), final)
+
+
+def _matches(name: str, spec, whole: tuple[str, ...] = ()) -> None:
+    layers, names = spec
+    final = steps.rounded(["match_id", *[n for n in names if n in whole]], [n for n in names if n not in whole])
+    QUERIES[name] = lambda spark, d: steps.columns(source.contest(spark, d), *layers).selectExpr(*final)
+    ORACLES[name] = steps.final_sql(steps.sql(source.CONTEST_SQL, *layers), final)
+
+
+_sides("w01_rolling_form", history.rolling_form())
+_sides("w03_runs", history.runs(), ("streak", "unbeaten_run", "winless_run"))
+_sides("w04_momentum", history.momentum(), ("congestion",))
+_sides("w05_surprise", history.surprise())
+_sides("w07_sequence", history.sequence(), (*[f"seq_last{i}" for i in range(1, 6)], "seq_wdl_pattern"))
+_sides("w08_manager", history.manager(), ("manager_tenure", "new_manager_bounce"))
+_sides("w09_keeper", history.keeper(), ("gk_cs_streak",))
+_sides("w11_expected_points", history.expected_points())
+_sides("w12_rest", history.rest(), ("rest_days", "rest_days_capped", "fresh_flag", "fatigue_flag"))
+_sides("w13_scoring", history.scoring())
+_matches("w15_referee", history.referee())
+
+
+def _poisson() -> None:
+    layers, names = history.strengths()
+    more, out = history.poisson_layers()
+    final = steps.rounded(["match_id"], out)
+    QUERIES["w10_poisson"] = lambda spark, d: steps.columns(steps.both_sides(steps.columns(source.sides(source.contest(spark, d)), *layers), names), *more).selectExpr(*final)
+    ORACLES["w10_poisson"] = steps.final_sql(steps.sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *layers), names), *more), final)
+
+
+_poisson()
