@@ -47,3 +47,48 @@ def _poisson() -> None:
 
 
 _poisson()
+
+
+def _more() -> None:
+    from terrace.functions import columns
+    from terrace.operators import meetings, standings
+
+    final = steps.rounded(["match_id", "h2h_matches"], [n for n in meetings.NAMES if n != "h2h_matches"])
+    QUERIES["w02_head_to_head"] = lambda spark, d: meetings.head_to_head(source.contest(spark, d)).selectExpr(*final)
+    ORACLES["w02_head_to_head"] = steps.final_sql(meetings.oracle(source.CONTEST_SQL), final)
+    flags = ["match_id", "n_teams", *[f"table_{c}_{s}" for c in ("pos", "pts", "gd") for s in ("home", "away")], *standings.TABLE_FLAGS]
+    QUERIES["w06_league_table"] = lambda spark, d: steps.columns(standings.table_before(source.contest(spark, d)), standings.TABLE_FLAGS).selectExpr(*steps.rounded(flags, []))
+    ORACLES["w06_league_table"] = steps.final_sql(steps.sql(standings.table_sql(source.CONTEST_SQL), standings.TABLE_FLAGS), steps.rounded(flags, []))
+    weeks = steps.rounded(["match_id", "gameweek", "date_rank"], ["season_progress"])
+    QUERIES["w16_gameweeks"] = lambda spark, d: standings.gameweeks(source.contest(spark, d)).selectExpr(*weeks)
+    ORACLES["w16_gameweeks"] = steps.final_sql(standings.gameweeks_sql(source.CONTEST_SQL), weeks)
+
+    def pure(name, layers, whole, other, plain=(), duck_layers=None):
+        out = steps.rounded(["match_id", *whole], other, plain)
+        QUERIES[name] = lambda spark, d: steps.columns(source.contest(spark, d), *layers).selectExpr(*out)
+        ORACLES[name] = steps.final_sql(steps.sql(source.CONTEST_SQL, *(duck_layers or layers)), out)
+
+    pure("p05_basic_flags", [columns.BASIC], list(columns.BASIC), [])
+    ints = ["is_midweek", "month_no", "day_of_week", "is_cold", "is_hot", "is_windy"]
+    pure("p08_contextual", [columns.contextual("weekday(match_date)")], ints, ["calendar_progress", "weather_impact"], duck_layers=[columns.contextual("isodow(match_date) - 1")])
+    market = columns.market()
+    pure("p09_market", market, ["steam_move_flag", "market_favorite"], [*market[1], *market[2], "market_entropy"])
+    shin = columns.shin()
+    pure("p13_shin", shin, [], [*shin[4], *shin[5]])
+    rated = {
+        "elo_home": "CAST(1400 + match_id % 211 AS DOUBLE)", "elo_away": "CAST(1400 + match_id % 197 AS DOUBLE)", "elo_diff": "gap_elo", "pi_diff": "(match_id % 21 - 10) / CAST(10 AS DOUBLE)",
+        "elo_momentum_home": "CAST(match_id % 7 - 3 AS DOUBLE)", "elo_momentum_away": "CAST(match_id % 5 - 2 AS DOUBLE)", "elo_pre_home": "CASE WHEN match_id % 4 = 0 THEN NULL ELSE CAST(1500 + match_id % 97 AS DOUBLE) END", "elo_pre_away": "CAST(1500 + match_id % 89 AS DOUBLE)",
+        "table_pos_home": "match_id % 20 + 1", "table_pos_away": "match_id % 19 + 1", "rest_home": "match_id % 15", "rest_away": "match_id % 12",
+        **{f"{n}_{s}_l5": f"CASE WHEN match_id % {m + k} = 0 THEN NULL ELSE (match_id % {m}) / CAST(5 AS DOUBLE) END" for n, m in (("ppg", 16), ("goals_scored", 14), ("goals_conceded", 13), ("clean_sheets", 6)) for k, s in ((3, "home"), (5, "away"))},
+    }
+    inter = columns.interactions()
+    whole = ["rest_diff", "rating_concordance", "elo_agreement"]
+    pure("p10_interactions", [rated, inter], whole, [n for n in inter if n not in whole])
+    probs = {"p_home": "(20 + match_id % 53) / CAST(100 AS DOUBLE)", "p_draw": "(match_id % 31) / CAST(100 AS DOUBLE)", "p_away": "(15 + match_id % 47) / CAST(100 AS DOUBLE)"}
+    mix = columns.blend()
+    pure("p25_blend_and_tier", [*shin, probs, *mix], ["pick"], ["blend_home", "blend_draw", "blend_away", "top_prob"], ("tier",))
+    live = {f"{n}_{s}": f"(match_id % {m + k}) / CAST({m} AS DOUBLE)" for n, m in (("sentiment", 11), ("injury", 7), ("instability", 13)) for k, s in ((0, "home"), (2, "away"))}
+    pure("p23_live_adjustment", [probs, live, *columns.live_adjustment()], [], ["live_home", "live_draw", "live_away"])
+
+
+_more()
