@@ -92,3 +92,88 @@ def _more() -> None:
 
 
 _more()
+
+#: Side tables that the driver's tables lack, from keys alone; the same text for both engines
+#: but for the form of a date series.
+_PROBS = {"p_home": "(30 + match_id % 41) / CAST(100 AS DOUBLE)", "p_draw": "(10 + match_id % 17) / CAST(100 AS DOUBLE)", "p_away": "(60 - match_id % 41 - match_id % 17) / CAST(100 AS DOUBLE)", "outcome": "CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END"}
+_SNAP = "CAST(1300 + (n_nationkey * 37 + month(s) * 11) % 300 AS DOUBLE)"
+
+
+def _relational() -> None:
+    from pyspark.sql import functions as F
+
+    from terrace.functions import columns
+    from terrace.operators import aggregates, joins
+
+    C, S = source.CONTEST_SQL, source.SIDES_SQL
+
+    def add(name, query, oracle, final):
+        QUERIES[name] = lambda spark, d: query(spark, d).selectExpr(*final)
+        ORACLES[name] = steps.final_sql(oracle, final)
+
+    def xg_side(spark, d):
+        keep = source.contest(spark, d).where("match_id % 3 <> 0")
+        return keep.select("match_date", "home_team", "away_team", F.col("xg_home").alias("us_home"), F.col("xg_away").alias("us_away"))
+
+    add("j01_expected_goals", lambda s, d: joins.with_side_table(source.contest(s, d), xg_side(s, d), ["match_date", "home_team", "away_team"]),
+        f"WITH c AS ({C}), u AS (SELECT match_date, home_team, away_team, xg_home AS us_home, xg_away AS us_away, row_number() OVER (PARTITION BY match_date, home_team, away_team ORDER BY xg_home NULLS FIRST, xg_away NULLS FIRST) AS k FROM c WHERE match_id % 3 <> 0) SELECT match_id, us_home, us_away FROM c LEFT JOIN (SELECT * FROM u WHERE k = 1) USING (match_date, home_team, away_team)",
+        steps.rounded(["match_id"], ["us_home", "us_away"]))
+
+    def snapshots(spark, d):
+        months = source.contest(spark, d).select(F.trunc("match_date", "MM").alias("s")).where("month(s) % 2 = 1").distinct()
+        nations = source.read(spark, d, "nation")
+        return months.crossJoin(nations).where("(n_nationkey + month(s)) % 7 <> 0").selectExpr("s AS snapshot_date", "n_nationkey AS team", f"{_SNAP} AS elo")
+
+    snap_sql = f"SELECT s AS snapshot_date, n_nationkey AS team, {_SNAP} AS elo FROM (SELECT DISTINCT CAST(date_trunc('month', match_date) AS DATE) AS s FROM c) CROSS JOIN nation WHERE month(s) % 2 = 1 AND (n_nationkey + month(s)) % 7 <> 0"
+    add("j03_as_of_ratings", lambda s, d: joins.as_of_ratings(source.contest(s, d), snapshots(s, d)),
+        f"WITH c AS ({C}), sn AS ({snap_sql}), ds AS (SELECT DISTINCT snapshot_date AS sd FROM sn) SELECT match_id, h.elo AS elo_pre_home, a.elo AS elo_pre_away FROM c ASOF LEFT JOIN ds ON match_date >= sd LEFT JOIN sn h ON h.snapshot_date = sd AND h.team = home_team LEFT JOIN sn a ON a.snapshot_date = sd AND a.team = away_team",
+        steps.rounded(["match_id"], ["elo_pre_home", "elo_pre_away"]))
+    pairs = lambda s, d: source.read(s, d, "nation").selectExpr("n_nationkey AS a", "(n_nationkey * 7 + 3) % 25 AS b")
+    add("j05_derby", lambda s, d: joins.derby(source.contest(s, d), pairs(s, d)),
+        f"WITH c AS ({C}), p AS (SELECT DISTINCT least(n_nationkey, (n_nationkey * 7 + 3) % 25) AS lo, greatest(n_nationkey, (n_nationkey * 7 + 3) % 25) AS hi FROM nation) SELECT match_id, CASE WHEN lo IS NULL THEN 0 ELSE 1 END AS is_derby FROM c LEFT JOIN p ON least(home_team, away_team) = lo AND greatest(home_team, away_team) = hi",
+        steps.rounded(["match_id", "is_derby"], []))
+    lat = [f"latest_{c}_{v}" for c in ("gf", "pts") for v in ("home", "away")]
+    lats = ", ".join(f"coalesce(arg_max({c}, (match_date, match_id)) FILTER (is_home = {k}), arg_max({c}, (match_date, match_id))) AS latest_{c}_{v}" for c in ("gf", "pts") for k, v in ((1, "home"), (0, "away")))
+    add("j08_latest_by_venue", lambda s, d: joins.latest(source.sides(source.contest(s, d)), ["gf", "pts"]), f"SELECT team, {lats} FROM ({S}) GROUP BY team", steps.rounded(["team", *lat], []))
+    season = lambda s, d, where: source.sides(source.contest(s, d)).where(where)
+    add("j09_promoted", lambda s, d: joins.promoted(season(s, d, "season = 1996 AND dn % 3 = 0"), season(s, d, "season = 1995 AND dn % 90 = 0")),
+        f"WITH s AS ({S}) SELECT DISTINCT team FROM s WHERE season = 1996 AND dn % 3 = 0 AND team NOT IN (SELECT team FROM s WHERE season = 1995 AND dn % 90 = 0)", steps.rounded(["team"], []))
+    live = lambda s, d: source.contest(s, d).where("match_id % 5 <> 0").selectExpr("match_id", "sot_home AS shots_home", "sot_away AS temperature")
+    add("j10_live_override", lambda s, d: joins.override(source.contest(s, d).select("match_id", "shots_home", "temperature"), live(s, d), "match_id", ["shots_home", "temperature"], ("shots",)),
+        f"WITH c AS ({C}) SELECT c.match_id, coalesce(l.sot_home, c.shots_home) AS shots_home, coalesce(c.temperature, l.sot_away) AS temperature FROM c LEFT JOIN (SELECT * FROM c WHERE match_id % 5 <> 0) l USING (match_id)",
+        steps.rounded(["match_id"], ["shots_home", "temperature"]))
+    add("l03_first_of_pair", lambda s, d: joins.first_of_pair(source.contest(s, d)),
+        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY home_team, away_team ORDER BY match_date, match_id) AS k FROM ({C})) WHERE k = 1", steps.rounded(["match_id", "home_team", "away_team"], []))
+    add("l07_union_ragged", lambda s, d: joins.union_ragged(source.contest(s, d).where("match_id % 2 = 0").select("match_id", "goals_home"), source.contest(s, d).where("match_id % 2 = 1").select("match_id", "xg_home")),
+        f"WITH c AS ({C}) SELECT match_id, goals_home, NULL AS xg_home FROM c WHERE match_id % 2 = 0 UNION ALL SELECT match_id, NULL, xg_home FROM c WHERE match_id % 2 = 1", steps.rounded(["match_id", "goals_home"], ["xg_home"]))
+    add("a01_team_totals", lambda s, d: aggregates.team_totals(source.sides(source.contest(s, d))),
+        f"SELECT team, sum(gf) AS goals_for, sum(ga) AS goals_against, count(*) AS games, min(dn) AS first_dn, max(dn) AS last_dn FROM ({S}) GROUP BY team", steps.rounded(["team", "goals_for", "goals_against", "games", "first_dn", "last_dn"], []))
+    add("a03_injury_burden", lambda s, d: aggregates.share_of_largest(source.read(s, d, "supplier").where("s_acctbal < 2000").groupBy("s_nationkey").agg(F.count("*").alias("injuries")), "s_nationkey", "injuries"),
+        "SELECT s_nationkey, count(*) AS injuries, count(*) / greatest(max(count(*)) OVER (), 1) AS burden FROM supplier WHERE s_acctbal < 2000 GROUP BY 1", steps.rounded(["s_nationkey", "injuries"], ["burden"]))
+    probe = ["xg_home", "shots_home", "temperature", "odds_home_open", "goals_home"]
+    live_cols = [*[f"{n}_l{w}" for w in history.ROLLING_WINDOWS for n in ("ppg", "goals_scored", "goals_conceded", "clean_sheets", "btts_pct", "over25_pct", "win_pct", "draw_pct", "loss_pct")],
+                 *[f"{s}_{n}_l{w}" for s in ("home", "away") for w in history.ROLLING_WINDOWS for n in ("ppg", "gf", "ga", "cs")], "volatility", "goal_trend", "defense_trend", "points_velocity", "weighted_streak"]
+    add("a07_live_season", lambda s, d: aggregates.live_season(source.sides(source.contest(s, d))), aggregates.live_season_sql(S), steps.rounded(["team", "total_matches", "table_pts", "table_gd", "total_gf", "total_ga", "table_pos"], live_cols))
+    long = " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({c} AS DOUBLE) AS x FROM c" for c in probe)
+    add("a08_profile", lambda s, d: aggregates.profile(source.contest(s, d), probe),
+        f"WITH c AS ({C}), l AS ({long}) SELECT name, count(x) AS n, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.01) AS q01, quantile_cont(x, 0.99) AS q99, var_samp(x) AS variance FROM l GROUP BY name",
+        steps.rounded(["n"], ["median", "q01", "q99", "variance"], ("name",)))
+    cors = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM c" for i, a in enumerate(probe) for b in probe[i + 1 :])
+    add("a09_correlations", lambda s, d: aggregates.correlations(source.contest(s, d), probe), f"WITH c AS ({C}) {cors}", steps.rounded([], ["r"], ("a", "b")))
+    add("a10_class_shares", lambda s, d: aggregates.frequencies(source.contest(s, d), "result"), f"SELECT result, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM ({C}) GROUP BY result", steps.rounded(["n"], ["share"], ("result",)))
+    tiers = [_PROBS, {"pick": columns.argmax("p_home", "p_draw", "p_away"), "top": "greatest(p_home, p_draw, p_away)"}, {"tier": columns.tier("top"), "correct": "CASE WHEN pick = outcome THEN CAST(1 AS DOUBLE) ELSE 0 END"}]
+    add("a11_tier_accuracy", lambda s, d: aggregates.tier_accuracy(steps.columns(source.contest(s, d), *tiers)),
+        f"SELECT coalesce(tier, 'ALL') AS tier, count(*) AS n, avg(correct) AS accuracy FROM ({steps.sql(C, *tiers)}) GROUP BY ROLLUP (tier)", steps.rounded(["n"], ["accuracy"], ("tier",)))
+    cal = " UNION ALL ".join(f"SELECT {i} AS k, {p} AS p, CASE WHEN outcome = {i} THEN 1.0 ELSE 0.0 END AS hit FROM c" for i, p in enumerate(("p_home", "p_draw", "p_away")))
+    add("a12_calibration", lambda s, d: aggregates.calibration(steps.columns(source.contest(s, d), _PROBS)),
+        f"WITH c AS ({steps.sql(C, _PROBS)}), l AS ({cal}) SELECT k, CAST(floor(p * 10) AS INT) AS bin, count(*) AS n, avg(p) AS mean_p, avg(hit) AS rate FROM l WHERE p >= 0 AND p < 1 GROUP BY 1, 2 HAVING count(*) > 5",
+        steps.rounded(["k", "bin", "n"], ["mean_p", "rate"]))
+    models = {"m1": "match_id % 3", "m2": "(match_id + 1) % 3", "m3": "match_id % 2", "m4": "(match_id // 7) % 3", "m5": "match_id % 5 % 3"}
+    spark_models = models | {"m4": "(match_id div 7) % 3"}
+    cnt = lambda v: "(" + " + ".join(f"CASE WHEN {m} = {v} THEN 1 ELSE 0 END" for m in models) + ")"
+    vote = "CASE " + " ".join(f"WHEN {cnt(m)} = greatest({cnt(0)}, {cnt(1)}, {cnt(2)}) THEN {m}" for m in models) + " END"
+    add("a16_votes", lambda s, d: aggregates.votes(steps.columns(source.contest(s, d), spark_models), list(models)),
+        steps.sql(C, models, {"vote": vote}, {"agreement": f"{cnt('vote')} / 5"}), steps.rounded(["match_id", "vote"], ["agreement"]))
+
+
+_relational()
