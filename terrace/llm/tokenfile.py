@@ -19,10 +19,11 @@ encoded by the tokenizers library and remembered by each worker, at most ``CACHE
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,12 @@ END_ID = 1
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 INDEX_KEYS = 4096
 ROWS_A_PART, MOST_PARTS = 8192, 20_000
-CACHE_UNITS = 300_000
+CACHE_UNITS, KEPT_UNITS = 400_000, 200_000
 MAX_TRIES = 1_000_000
 _FIELDS = np.dtype([("fingerprint", "<i4"), ("part", "<i4"), ("seq", "<i4"), ("offset", "<i8"), ("n", "<i4")])
 _BLOCKS = "part int, seq int, n_ids long, width int, doc_ids array<long>, occs array<int>, lengths array<int>, payload binary"
+#: Precomposed Latin letters, then ASCII marks other than the apostrophe.
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoders: dict = {}
 
 
@@ -63,15 +66,24 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str | None, end_id: int | None = END_ID) -> bytes:
+        """The splitter parts letters from marks, and case is dropped: a unit of Latin letters
+        with marks behind has the ids of its lower-case letters and of the marks, which recur
+        far more often than the unit."""
         units = (text or "").replace("\n", " ").split(" ")
-        if missing := [u for u in dict.fromkeys(units) if u not in self.known]:
-            if len(self.known) + len(missing) > CACHE_UNITS:
-                self.known.clear()
-                missing = list(dict.fromkeys(units))
-            found = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            self.known.update(zip(missing, (array(self.kind, e.ids).tobytes() for e in found)))
+        known, joined = self.known, {}
+        if missing := [u for u in set(units) if u not in known]:
+            parts = {u: (m[1].lower(), m[2]) if (m := _LETTERS_MARKS.fullmatch(u)) else (u,) for u in missing}
+            new = [p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in known]
+            if len(known) + len(new) > CACHE_UNITS and len(known) > KEPT_UNITS:
+                self.known = dict(islice(known.items(), KEPT_UNITS))  # the first ones: mostly frequent
+                return self.encode(text, end_id)
+            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
+            known.update(zip(new, (array(self.kind, e.ids).tobytes() for e in found)))
+            joined = {u: b"".join(map(known.__getitem__, ps)) for u, ps in parts.items()}
         end = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
-        return b"".join([*map(self.known.__getitem__, units), end])
+        if joined:
+            return b"".join([*(known.get(u) or joined.get(u, b"") for u in units), end])
+        return b"".join([*map(known.__getitem__, units), end])
 
 
 def encoder(path: str) -> Encoder:
