@@ -177,3 +177,100 @@ def _relational() -> None:
 
 
 _relational()
+
+
+def _models() -> None:
+    from pyspark.sql import functions as F
+
+    from terrace.functions import metrics, text
+    from terrace.operators import goals, ratings
+
+    C = source.CONTEST_SQL
+
+    def add(name, query, oracle, final):
+        QUERIES[name] = lambda spark, d: query(spark, d).selectExpr(*final)
+        if oracle:
+            ORACLES[name] = steps.final_sql(oracle, final)
+
+    forecast = lambda s, d: steps.columns(source.contest(s, d), _PROBS, {"market_home": "p_away", "market_draw": "p_draw", "market_away": "p_home"})
+    P = steps.sql(C, _PROBS, {"pick": "CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 0 WHEN p_draw >= p_away THEN 1 ELSE 2 END"})
+    r2 = "(pow(p_home - CASE WHEN outcome <= 0 THEN 1 ELSE 0 END, 2) + pow(p_home + p_draw - CASE WHEN outcome <= 1 THEN 1 ELSE 0 END, 2))"
+    long = " UNION ALL ".join(f"SELECT {i} AS k, {p} AS p, CASE WHEN outcome = {i} THEN 1.0 ELSE 0.0 END AS hit FROM c" for i, p in enumerate(("p_home", "p_draw", "p_away")))
+    add("m08_forecast_metrics", lambda s, d: metrics.summary(forecast(s, d)),
+        f"WITH c AS ({P}), l AS ({long}), b AS (SELECT sum(gap) AS gap FROM (SELECT abs(sum(p) - sum(hit)) AS gap FROM l WHERE p >= 0 AND p < 1 GROUP BY k, floor(p * 10))) SELECT count(*) AS n, avg(CASE WHEN pick = outcome THEN 1.0 ELSE 0 END) AS accuracy, avg({r2}) / 2 AS rps, avg({r2}) / 3 AS rps_ref, avg(-ln(greatest(CASE outcome WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END, 1e-15))) AS log_loss, max(gap) / (3 * count(*)) AS ece FROM c, b",
+        steps.rounded(["n"], ["accuracy", "rps", "rps_ref", "log_loss", "ece"]))
+    boost = "CASE age WHEN 0 THEN 12.0 WHEN 1 THEN 5.0 WHEN 2 THEN 2.5 WHEN 3 THEN 1.2 ELSE greatest(0.1, exp(-0.4 * age)) END"
+    add("m06_time_weights", lambda s, d: metrics.time_weights(source.contest(s, d)),
+        f"WITH c AS (SELECT *, dense_rank() OVER (ORDER BY season DESC) - 1 AS age, max(dn) OVER () - dn AS days FROM ({C})), w AS (SELECT match_id, exp(-0.0015 * days) * {boost} AS w FROM c) SELECT match_id, w / avg(w) OVER () AS weight FROM w", steps.rounded(["match_id"], ["weight"]))
+    add("m09_draw_thresholds", lambda s, d: metrics.draw_thresholds(forecast(s, d)),
+        f"WITH c AS ({P}) SELECT t, avg(CASE WHEN CASE WHEN floor(p_draw * 200 + 1e-9) >= t THEN 1 WHEN p_home >= p_away THEN 0 ELSE 2 END = outcome THEN 1.0 ELSE 0 END) AS accuracy FROM c, range(30, 91) g(t) GROUP BY t", steps.rounded(["t"], ["accuracy"]))
+    add("m20_binary_thresholds", lambda s, d: metrics.binary_thresholds(forecast(s, d).withColumn("y", (F.col("outcome") == 0).cast("int")), "p_home", "y"),
+        f"WITH c AS (SELECT floor(p_home * 100 + 1e-9) AS l, CASE WHEN outcome = 0 THEN 1 ELSE 0 END AS y FROM ({P})), s AS (SELECT t, sum(CASE WHEN l >= t THEN y ELSE 0 END) AS tp, sum(CASE WHEN l >= t THEN 1 ELSE 0 END) AS called, sum(y) AS y, count(*) AS n FROM c, range(30, 71) g(t) GROUP BY t) SELECT t, tp / nullif(called, 0) AS precision, tp / nullif(y, 0) AS recall, 2 * tp / nullif(called + y, 0) AS f1, (n - called - y + 2 * tp) / n AS accuracy FROM s",
+        steps.rounded(["t"], ["precision", "recall", "f1", "accuracy"]))
+    own, mk = "CASE pick WHEN 0 THEN p_home WHEN 1 THEN p_draw ELSE p_away END", "CASE pick WHEN 0 THEN p_away WHEN 1 THEN p_draw ELSE p_home END"
+    add("m22_value_picks", lambda s, d: metrics.value_picks(forecast(s, d)), f"SELECT pick, count(*) AS n, avg(CASE WHEN pick = outcome THEN 1.0 ELSE 0 END) AS accuracy, avg({own}) AS mean_p FROM ({P}) WHERE {own} - {mk} > 0.1 GROUP BY pick", steps.rounded(["pick", "n"], ["accuracy", "mean_p"]))
+    add("l05_confident_share", lambda s, d: metrics.confident_share(forecast(s, d)),
+        f"WITH c AS (SELECT *, row_number() OVER (ORDER BY greatest(p_home, p_draw, p_away) DESC, match_id) AS place, count(*) OVER () AS total FROM ({P})) SELECT share, count(*) AS n, avg(CASE WHEN pick = outcome THEN 1.0 ELSE 0 END) AS accuracy FROM c, (SELECT unnest([5, 10, 20, 30, 50, 100]) AS share) WHERE place <= greatest(1, floor(total * share / 100)) GROUP BY share",
+        steps.rounded(["share", "n"], ["accuracy"]))
+    QUERIES["m19_simulated_accuracy"] = lambda s, d: metrics.simulated_accuracy(forecast(s, d))
+
+    def leagues(s, d):
+        nation = source.read(s, d, "nation")
+        side = lambda t: nation.select(F.col("n_nationkey").alias(f"{t}_team"), F.col("n_regionkey").alias(f"{t}_region"))
+        return source.contest(s, d).join(side("home"), "home_team").join(side("away"), "away_team").where("home_region = away_region").withColumnRenamed("home_region", "league")
+
+    for name, system in (("r01_elo", ratings.Elo), ("r02_pi", ratings.Pi), ("r03_glicko", ratings.Glicko)):
+        add(name, lambda s, d, system=system: ratings.rate(leagues(s, d), system), None, steps.rounded(["match_id"], system.columns))
+
+    # the goal model at fixed parameters, all from keys
+    par = "SELECT n_nationkey AS team, (n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack, (n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence FROM nation WHERE n_nationkey <> 3"
+    params = lambda s, d: source.read(s, d, "nation").where("n_nationkey <> 3").selectExpr("n_nationkey AS team", "(n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack", "(n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence")
+    home, rho, mu = 0.25, -0.05, 0.2
+    out = ["lambda_home", "lambda_away", "p_home", "p_draw", "p_away", "over_2_5", "btts"]
+    pm = lambda lam, k: f"exp(-{lam}) * pow({lam}, {k}) / factorial(CAST({k} AS INT))"
+    tau = f"CASE WHEN h = 0 AND a = 0 THEN 1 - lh * la * {rho} WHEN h = 0 AND a = 1 THEN 1 + lh * {rho} WHEN h = 1 AND a = 0 THEN 1 + la * {rho} WHEN h = 1 AND a = 1 THEN 1 - {rho} ELSE 1 END"
+    add("m03_goal_model", lambda s, d: goals.outcomes(goals.score_grid(goals.rates(source.contest(s, d), params(s, d), home, mu), rho)).drop("top_scorelines"),
+        f"""WITH p AS ({par}), av AS (SELECT avg(attack) AS att, avg(defence) AS dfn FROM p), c AS ({C}),
+        r AS (SELECT match_id, exp({mu} + coalesce(h.attack, att) - coalesce(a.defence, dfn) + {home}) AS lh, exp({mu} + coalesce(a.attack, att) - coalesce(h.defence, dfn)) AS la FROM c CROSS JOIN av LEFT JOIN p h ON h.team = home_team LEFT JOIN p a ON a.team = away_team),
+        g AS (SELECT match_id, lh, la, h, a, {pm('lh', 'h')} * {pm('la', 'a')} * {tau} AS p FROM r, range(8) x(h), range(8) y(a))
+        SELECT match_id, max(lh) AS lambda_home, max(la) AS lambda_away, sum(CASE WHEN h > a THEN p ELSE 0 END) / sum(p) AS p_home, sum(CASE WHEN h = a THEN p ELSE 0 END) / sum(p) AS p_draw, sum(CASE WHEN h < a THEN p ELSE 0 END) / sum(p) AS p_away,
+        sum(CASE WHEN h + a > 2 THEN p ELSE 0 END) / sum(p) AS over_2_5, sum(CASE WHEN h > 0 AND a > 0 THEN p ELSE 0 END) / sum(p) AS btts FROM g GROUP BY match_id""", steps.rounded(["match_id"], out))
+    rk = lambda c, o: f"floor(rank() OVER (ORDER BY {c} {o}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+    add("m04_team_ratings", lambda s, d: goals.team_ratings(params(s, d), home, mu),
+        f"SELECT *, {rk('attack', 'DESC')} AS attack_rank, {rk('defence', 'ASC')} AS defense_rank FROM (SELECT team, round(attack, 4) AS attack, round(defence, 4) AS defence, round(exp({mu} + attack + {home}), 2) AS expected_home_goals, round(exp({mu} + attack), 2) AS expected_away_goals FROM ({par}))",
+        steps.rounded(["team", "attack_rank", "defense_rank"], ["attack", "defence", "expected_home_goals", "expected_away_goals"]))
+    add("m05_bivariate_rates", lambda s, d: goals.bivariate_rates(source.contest(s, d)), f"SELECT avg(goals_home) AS mean_home, avg(goals_away) AS mean_away, greatest(0, 0.3 * corr(goals_home, goals_away)) AS lambda_3 FROM ({C})", steps.rounded([], ["mean_home", "mean_away", "lambda_3"]))
+    QUERIES["m01_goal_model_fit"] = lambda s, d: (m := goals.GoalModel.fit(source.contest(s, d))).table(s).withColumns({"home": F.lit(m.home), "rho": F.lit(m.rho), "mu": F.lit(m.mu)})
+
+    # news text, on documents with words that invented prose has
+    lex = {**text.POSITIVE, **text.NEGATIVE, "the": 0.3, "tion": 0.5, "er": -0.2, "und": -0.4}
+    hit = lambda w: f"(length(t) - length(replace(t, '{w}', ''))) / {float(len(w))}"
+    hits = " + ".join(hit(w) for w in lex)
+    weighed = " + ".join(f"{hit(w)} * {x}" for w, x in lex.items())
+    add("t01_lexicon_score", lambda s, d: source.read(s, d, "documents").select("doc_id", text.lexicon_score("text", lex).alias("score")),
+        f"SELECT doc_id, CASE WHEN {hits} > 0 THEN least(1, greatest(-1, ({weighed}) / ({hits}))) ELSE 0 END AS score FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)", steps.rounded(["doc_id"], ["score"]))
+    asp = {k: [*v, *more] for (k, v), more in zip(text.ASPECTS.items(), (["in(?:g|t)"], ["th.an"], ["[aeiou]{3}"], ["die?"], ["que"], ["ment"]))}
+    n_of = lambda ps: " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN 1 ELSE 0 END" for p in ps)
+    add("t02_aspects", lambda s, d: source.read(s, d, "documents").select("doc_id", *[text.aspect("text", p).alias(k) for k, p in asp.items()], text.morale("text", asp["morale"]).alias("morale_score")),
+        f"SELECT doc_id, {', '.join(f'{n_of(p)} AS {k}' for k, p in asp.items())}, ({n_of(asp['morale'][:10])} - ({n_of(asp['morale'][10:])})) / greatest({n_of(asp['morale'])}, 1) AS morale_score FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)",
+        steps.rounded(["doc_id", *asp], ["morale_score"]))
+    fo, ag, ne, am = [*text.TERMS_FOR, "the", "of", "by the"], [*text.TERMS_AGAINST, "and", "with", "of the", "der"], [*text.NEGATORS, "in", "to"], [*text.AMPLIFIERS, "on", "die"]
+    q = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+    m4 = ["sentiment", "positive", "negative", "subjectivity"]
+    token_sql = f"""WITH w AS (SELECT doc_id, source, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT doc_id, source, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS ws FROM documents)),
+    b AS (SELECT *, coalesce(lag(w) OVER o, '') AS p, w || ' ' || coalesce(lead(w) OVER o, '') AS ph FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    f AS (SELECT *, p IN {q(ne)} AS turned, CASE WHEN p IN {q(am)} THEN 1.5 ELSE 1.0 END AS x FROM b),
+    s AS (SELECT doc_id, max(n) AS n, sum(CASE WHEN w IN {q(fo)} THEN CASE WHEN turned THEN 0 ELSE x END WHEN w IN {q(ag)} AND turned THEN x * 0.5 ELSE 0 END + CASE WHEN ph IN {q(fo)} AND NOT turned THEN 1.5 WHEN ph IN {q(ag)} AND turned THEN 0.5 ELSE 0 END) AS u,
+      sum(CASE WHEN w IN {q(fo)} AND turned THEN x WHEN w NOT IN {q(fo)} AND w IN {q(ag)} AND NOT turned THEN x ELSE 0 END + CASE WHEN ph IN {q(fo)} AND turned THEN 1.5 WHEN ph NOT IN {q(fo)} AND ph IN {q(ag)} AND NOT turned THEN 1.5 ELSE 0 END) AS v FROM f GROUP BY doc_id),
+    r AS (SELECT doc_id, source, CASE WHEN u + v > 0 THEN round((u - v)::DOUBLE / greatest(u + v, 1), 4) ELSE 0 END AS sentiment, CASE WHEN u + v > 0 THEN round(u::DOUBLE / n, 4) ELSE 0 END AS positive, CASE WHEN u + v > 0 THEN round(v::DOUBLE / n, 4) ELSE 0 END AS negative, CASE WHEN u + v > 0 THEN round(least((u + v)::DOUBLE / (n * 0.1::DOUBLE), 1), 4) ELSE 0 END AS subjectivity FROM documents LEFT JOIN s USING (doc_id))"""
+    tokens = lambda s, d: source.read(s, d, "documents").select("doc_id", "source", text.token_sentiment("text", fo, ag, ne, am).alias("s")).select("doc_id", "source", "s.*")
+    add("t09_token_sentiment", tokens, f"{token_sql} SELECT * FROM r", steps.rounded(["doc_id"], m4))
+    add("a14_sentiment_by_team", lambda s, d: text.by_team(tokens(s, d), "source"),
+        f"{token_sql} SELECT source, {', '.join(f'avg({c}) AS {c}' for c in m4)}, count(*) AS volume, CASE WHEN count(*) = 1 THEN 0.5 ELSE greatest(0, 1 - stddev_samp(sentiment)) END AS consensus FROM r GROUP BY source", steps.rounded(["volume"], [*m4, "consensus"], ("source",)))
+    add("s14_feed_titles", lambda s, d: source.read(s, d, "pages").select("page_id", F.concat_ws("|", text.feed_titles("html", 0)).alias("titles"), text.short_hash("html").alias("digest")),
+        "SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)[1:30], lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), '|') AS titles, sha256(html)[:16] AS digest FROM pages", steps.rounded(["page_id"], [], ("titles", "digest")))
+    add("s06_event_json", lambda s, d: source.read(s, d, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k int")["k"]).alias("k_sum"), F.count("*").alias("n")),
+        "SELECT event_type, sum(CAST(json_extract(props, '$.k') AS INT)) AS k_sum, count(*) AS n FROM events GROUP BY event_type", steps.rounded(["k_sum", "n"], [], ("event_type",)))
+
+
+_models()
