@@ -31,7 +31,7 @@ from terrace.llm.common import components, cut, stage, table
 
 COSINE = 0.93
 OVERLAP, LEVELS = 3, 8
-MOST, HOME, FANOUT, SALT_ROWS = 2048, 400, 64, 20_000
+MOST, HOME, FANOUT, SALT_ROWS = 8192, 1500, 64, 20_000
 NEAR, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 8
 AUDIT, RECALL = 256, 0.95
 _ROW = "node string, vec array<float>, cell string, home boolean"
@@ -56,12 +56,12 @@ def _assign(rows: pa.Table, centres: pa.Table, overlap: int) -> pa.Table:
     return pa.table({"node": taken["node"], "vec": taken["vec"], "cell": pa.array(cell, pa.string()), "home": pa.array(home)})
 
 
-def cells(classes: DataFrame, overlap: int) -> DataFrame:
+def cells(classes: DataFrame, overlap: int, most: int = MOST, home: int = HOME) -> DataFrame:
     """(node, vec, cell, home): the members of every shard; a node has one home."""
     now = stage(classes.select("node", "vec", F.concat_ws(":", "label", F.size("vec")).alias("cell"), F.lit(True).alias("home")), "flat-cells")
     done = None
     for level in range(LEVELS):
-        open_ = now.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > MOST).withColumn("b", F.greatest(F.lit(2 * overlap), F.least(F.lit(FANOUT), F.ceil(F.col("n") / HOME))))
+        open_ = now.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("b", F.greatest(F.lit(2 * overlap), F.least(F.lit(FANOUT), F.ceil(F.col("n") / home))))
         open_ = cut(open_)
         if open_.isEmpty():
             break
@@ -181,9 +181,9 @@ def _search(shard: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "n_links": pa.array(cols[2], pa.int64())})
 
 
-def search(classes: DataFrame, overlap: int, cosine: float) -> DataFrame:
+def search(classes: DataFrame, overlap: int, cosine: float, most: int = MOST, home: int = HOME) -> DataFrame:
     """(a, null, n_links) for each node and (a, b, null) for each forest edge."""
-    shards = cells(classes, overlap)
+    shards = cells(classes, overlap, most, home)
     built = shards.groupBy("cell").applyInArrow(_build, "node string, near array<string>")
     united = stage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-lists")
     members = shards.join(united, "node").join(classes.select("node", "copies"), "node")
@@ -223,7 +223,7 @@ def audit(classes: DataFrame, found: DataFrame, cosine: float, sample: int = AUD
     return min(1.0, sum(r.n_links for r in drawn.values()) / wanted) if wanted else 1.0
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, most: int = MOST, home: int = HOME) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
     finite = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False))
     sound = finite & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
@@ -232,7 +232,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = O
     rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.md5(F.concat(F.col("label"), F.lit(":"), F.col("vec").cast("string")))))
     classes = stage(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "flat-classes")
     while True:
-        found = search(classes, overlap, cosine)
+        found = search(classes, overlap, cosine, most, home)
         recall = audit(classes, found, cosine)
         if recall >= RECALL or overlap >= FANOUT // 2:
             break
