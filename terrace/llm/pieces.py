@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from terrace.llm.common import SLICE_ROWS, append, stage, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 8192
+CHUNK = 32_768
 CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
 #: The state of a cut that every path passes between two pieces.
 OPEN = -(1 << 30)
@@ -176,7 +177,7 @@ class Segmenter:
                 found = self.emit(self.back(self.run(word, 0, OPEN, len(word)), 0, len(word)))
             if len(word) <= 64:
                 if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
+                    self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))  # the first ones: mostly frequent
                 self.known[word] = found
         return found
 
@@ -225,7 +226,10 @@ class Chunk:
         return {(p - self.stop, t): -(used + n) for p, (t, s, n) in reached.items() if p >= self.stop and s < self.stop}
 
     def matrix(self) -> Matrix:
+        """Weights between entry and exit states. What lies between the first and the last
+        open place is common to every path, so it is left out."""
         out: Matrix = {}
+        after = self.seg.run(self.text, self.last, OPEN, self.stop) if self.last is not None else {}
         for offset, token in self.states(self.start):
             at = self.start + offset
             if self.first is None:
@@ -236,8 +240,7 @@ class Chunk:
                 continue
             reached = self.seg.run(self.text, at, token, self.first)
             if self.first in reached:
-                used = reached[self.first][2] + len(self.middle()) // 4
-                out[offset, token] = self._exits(self.seg.run(self.text, self.last, OPEN, self.stop), used)
+                out[offset, token] = self._exits(after, reached[self.first][2])
         return {k: v for k, v in out.items() if v}
 
     def middle(self) -> bytes:
