@@ -14,4 +14,4 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_secrets": secrets.op9_secrets,
 }
-ORACLES = {"op7_mix": mixing.ORACLE}
+ORACLES = {"op7_mix": mixing.ORACLE, "op10_embeddings": embeddings.ORACLE}
