@@ -3,7 +3,7 @@
 A layer maps column names to expressions over the columns before it. ``columns`` applies
 layers to a DataFrame; ``sql`` nests the same layers as SELECTs around a query, for the twin
 that another engine runs. ``rounded`` is the final projection: whole numbers as BIGINT,
-others rounded to 6 places.
+others rounded to 6 places, never as a negative zero.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def sql(base: str, *layers: dict[str, str]) -> str:
 
 
 def rounded(whole: list[str], other: list[str], plain: tuple[str, ...] = ()) -> list[str]:
-    return [*plain, *[f"CAST({c} AS BIGINT) AS {c}" for c in whole], *[f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in other]]
+    return [*plain, *[f"CAST({c} AS BIGINT) AS {c}" for c in whole], *[f"CASE WHEN round(CAST({c} AS DOUBLE), 6) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST({c} AS DOUBLE), 6) END AS {c}" for c in other]]
 
 
 def final_sql(base: str, parts: list[str]) -> str:

@@ -23,7 +23,12 @@ def duck():
 def same(a: pd.DataFrame, b: pd.DataFrame) -> None:
     assert sorted(a.columns) == sorted(b.columns)
     cols = sorted(a.columns)
-    plain = lambda v: "" if v is None or v is pd.NaT or (isinstance(v, float) and pd.isna(v)) else f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
+
+    def plain(v):
+        if isinstance(v, str):
+            return v
+        return "" if pd.isna(v) else f"{float(v):.6g}"
+
     rows = lambda d: sorted(tuple(map(plain, r)) for r in d[cols].astype(object).itertuples(index=False, name=None))
     assert rows(a) == rows(b)
 
