@@ -274,3 +274,12 @@ def _models() -> None:
 
 
 _models()
+
+
+def _learning() -> None:
+    from terrace.plans import learning
+
+    learning.register(QUERIES, ORACLES)
+
+
+_learning()
