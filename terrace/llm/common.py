@@ -77,6 +77,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+_held: dict = {}
+
+
+def held(kind: str, key, make):
+    """What make() gives, kept by this Python worker for later tasks. A worker keeps the
+    state of one operator at a time, since it may run many operators in turn."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
+def release() -> None:
+    """Frees what other operators left in this worker; for operators that keep nothing."""
+    _held.clear()
+
+
 def append(df: DataFrame, compute, fields: str, column: str = "text") -> DataFrame:
     """df with the columns of ``fields`` after its own. compute takes a list of values of
     ``column`` and returns one sequence for each field; it runs on Arrow batches in slices

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import append, table
+from terrace.llm.common import append, held, table
 
 LEARN_SYMBOLS = 30_000
 LEARN_DOCS = 64
@@ -30,7 +30,6 @@ PIECE = 2048
 LETTERS = 61
 UNKNOWN = "und"
 _GAP, _OTHER = 0, 1
-_models: dict = {}
 
 
 def _lower_letters() -> np.ndarray:
@@ -146,11 +145,7 @@ class Model:
 
 def model_of(learned: dict[str, str]) -> Model:
     """One for each Python worker and sample."""
-    key = hash(tuple(sorted(learned.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(learned)
-    return _models[key]
+    return held("language", hash(tuple(sorted(learned.items()))), lambda: Model(learned))
 
 
 def learn(labelled: DataFrame, symbols: int = LEARN_SYMBOLS, docs: int = LEARN_DOCS) -> dict[str, str]:

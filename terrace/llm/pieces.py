@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import SLICE_ROWS, append, stage, table
+from terrace.llm.common import SLICE_ROWS, append, held, stage, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -41,7 +41,6 @@ CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
 #: The state of a cut that every path passes between two pieces.
 OPEN = -(1 << 30)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_segmenters: dict = {}
 
 State = tuple[int, int]
 Matrix = dict[State, dict[State, int]]
@@ -192,9 +191,7 @@ class Segmenter:
 
 def segmenter(path: str) -> Segmenter:
     """One for each Python worker and vocabulary."""
-    if path not in _segmenters:
-        _segmenters[path] = Segmenter(path)
-    return _segmenters[path]
+    return held("pieces", path, lambda: Segmenter(path))
 
 
 def escaped(text: str | None) -> str:

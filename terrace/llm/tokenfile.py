@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import stage, table
+from terrace.llm.common import held, stage, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -44,7 +44,6 @@ _FIELDS = np.dtype([("fingerprint", "<i4"), ("part", "<i4"), ("seq", "<i4"), ("o
 _BLOCKS = "part int, seq int, n_ids long, width int, doc_ids array<long>, occs array<int>, lengths array<int>, payload binary"
 #: Precomposed Latin letters, then ASCII marks other than the apostrophe.
 _LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_encoders: dict = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -88,9 +87,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held("tokens", path, lambda: Encoder(path))
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
