@@ -4,6 +4,7 @@ repeated rows, clashing columns and empty tables, against brute force."""
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -282,6 +283,25 @@ def test_secrets_base_and_model(docs, none):
     assert secrets.train(none).threshold >= secrets.LEAST_CHANCE
 
 
+def test_secrets_whole_runs(docs):
+    model, dice = secrets.train(docs), random.Random(8)
+    pick = lambda letters, n: "".join(dice.choice(letters) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    lead = "a/long/path/to/some/project/config/settings/file="
+    assert len(lead) > secrets.INSIDE
+    for make in (lambda: f"{lead}ghp_{pick(both, 36)}", lambda: f"{pick('0123456789abcdef', 24)}/ghp_{pick(both, 36)}", lambda: pick(string.ascii_letters, 36)):
+        keys = [make() for _ in range(40)]
+        found = secrets.spans([f"the words before are {k} and the words after" for k in keys], model)
+        whole = [any(n == 3 and b == 21 + len(k) for _, n, b in s) for k, s in zip(keys, found)]
+        assert sum(whole) >= 36
+    clean = [f"see {lead[:-1]} here", "on 2024-01-15T123456 there", "antidisestablishmentarianism", "=" * 500]
+    assert secrets.spans(clean, model) == [[]] * len(clean)
+    text = "x" * 20 + "/" + "a1" * 12 + "/" + "y" * 130
+    assert secrets.candidates(text, [(21, 2, 45)]) == [(0, 21), (45, 176)]
+    shown = list(secrets.windows(text, 45, 176))
+    assert len(shown) == 5 and shown[-1] == secrets.window(text, 176 - secrets.INSIDE, 176)
+
+
 def test_network_gradients():
     net, dice = secrets.Network(), np.random.default_rng(1)
     x, y = dice.integers(0, secrets.CODES, (6, secrets.WINDOW)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0.0])
