@@ -302,6 +302,29 @@ def test_secrets_whole_runs(docs):
     assert len(shown) == 5 and shown[-1] == secrets.window(text, 176 - secrets.INSIDE, 176)
 
 
+def test_secrets_without_key_words(spark):
+    dice = random.Random(9)
+    pick = lambda letters, n: "".join(dice.choice(letters) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    shapes = [lambda: "ghp_" + pick(both, 36), lambda: "sk-" + pick(both, 40), lambda: pick(both + "+/", 44)]
+    say = lambda key: f"{pick(string.ascii_lowercase, 5)} went {pick(string.ascii_lowercase, 4)} {key} over there"
+    planted = [(say(shapes[i % 3]()),) for i in range(3000)]
+    model = secrets.train(spark.createDataFrame(planted, "text string"))
+    found = secrets.spans([say(shapes[i % 3]()) for i in range(300)], model)
+    assert sum(any(k == 3 for _, k, _ in s) for s in found) > 0.95 * 300
+    for text in ("some/long/path/to/file_name2", "2024-01-15T123456Z", "SomeVeryLongClassName", "=" * 40, "1234567890123456"):
+        assert secrets.HARMLESS.fullmatch(text)
+    assert not any(secrets.HARMLESS.fullmatch(shape()) for shape in shapes for _ in range(200))
+
+
+def test_secrets_threshold_keeps_recall():
+    net = secrets.Network()
+    x = np.frombuffer(b"".join(secrets.generated(100)[0]), np.uint8).reshape(-1, secrets.WINDOW)
+    y = (np.arange(len(x)) % 10 == 0).astype(float)  # labels that nothing tells apart
+    net.calibrate(x, y)
+    assert (net.chance(x[y == 1]) >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_network_gradients():
     net, dice = secrets.Network(), np.random.default_rng(1)
     x, y = dice.integers(0, secrets.CODES, (6, secrets.WINDOW)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0.0])
