@@ -10,8 +10,10 @@ medoid, and a range expansion that follows every node in range (and its own list
 What is in range is verified by cosine in double precision.
 
 A search returns a count, and the links of a shard only as a spanning forest, so dense
-groups send no pairs. The audit compares ``AUDIT`` nodes with all rows in blocks; while recall
-is under ``RECALL`` the overlap doubles and the index is built again.
+groups send no pairs. The audit compares ``AUDIT`` nodes with all rows in blocks, by links
+between different nodes, averaged per node, for small and large groups apart; while either
+recall is under ``RECALL`` the overlap doubles and the index is built again. Where that is not
+enough at the widest overlap, all nodes of a label are compared in pairs of blocks.
 
 Vectors that are null, zero or hold null or non-finite components, and null labels, link with
 nothing. Vectors of other lengths are never compared. Repeated rows are links of each other;
@@ -34,6 +36,9 @@ OVERLAP, LEVELS = 3, 8
 MOST, HOME, FANOUT, SALT_ROWS = 8192, 1500, 64, 20_000
 NEAR, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 8
 AUDIT, RECALL = 256, 0.95
+#: Links from which a group counts as large in the audit; nodes of a block compared exactly.
+LARGE, BLOCK = 16, 4096
+_LINKS = "a string, b string, n_links long, n_nodes long"
 _ROW = "node string, vec array<float>, cell string, home boolean"
 
 
@@ -171,40 +176,88 @@ def _search(shard: pa.Table, cosine: float) -> pa.Table:
     rows: list[tuple] = []
     for own in np.nonzero(shard["home"].to_numpy(zero_copy_only=False))[0].tolist():
         found = range_search(x, lists, medoid, own, cosine)
-        rows.append((names[own], None, int(copies[found].sum() + copies[own] - 1)))
+        rows.append((names[own], None, int(copies[found].sum() + copies[own] - 1), len(found)))
         for i in found.tolist():
             a, b = top(own), top(i)
             if a != b:
                 root[b] = a
-                rows.append((names[own], names[i], None))
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.table({"a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "n_links": pa.array(cols[2], pa.int64())})
+                rows.append((names[own], names[i], None, None))
+    return _links(rows)
+
+
+def _links(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) or [(), (), (), ()]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("a", "b", "n_links", "n_nodes"), cols, kinds)})
 
 
 def search(classes: DataFrame, overlap: int, cosine: float, most: int = MOST, home: int = HOME) -> DataFrame:
-    """(a, null, n_links) for each node and (a, b, null) for each forest edge."""
+    """(a, null, n_links, n_nodes) for each node and (a, b, null, null) for each forest edge;
+    n_nodes counts other nodes, n_links their copies and the node's own further ones."""
     shards = cells(classes, overlap, most, home)
     built = shards.groupBy("cell").applyInArrow(_build, "node string, near array<string>")
     united = stage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-lists")
     members = shards.join(united, "node").join(classes.select("node", "copies"), "node")
-    return stage(members.groupBy("cell").applyInArrow(lambda t: _search(t, cosine), "a string, b string, n_links long"), "flat-links")
+    return stage(members.groupBy("cell").applyInArrow(lambda t: _search(t, cosine), _LINKS), "flat-links")
+
+
+def _compare(pair: pa.Table, cosine: float) -> pa.Table:
+    """One pair of blocks, or a block with itself: counts of its nodes and a forest."""
+    x, names, copies = _unit(pair["vec"]), pair["node"].to_pylist(), pair["copies"].to_numpy()
+    block = pair["block"].to_numpy()
+    one = bool((block == block[0]).all()) and pair["lo"][0] == pair["hi"][0]
+    left = np.arange(len(x)) if one else np.nonzero(block == pair["lo"][0].as_py())[0]
+    right = left if one else np.nonzero(block != pair["lo"][0].as_py())[0]
+    links, nodes = (copies - 1 if one else np.zeros(len(x), np.int64)), np.zeros(len(x), np.int64)
+    root, rows = np.arange(len(x)), []
+    for at in range(0, len(left), 512):
+        own = left[at : at + 512]
+        hit = (x[own] @ x[right].T >= cosine) & (own[:, None] != right[None, :])
+        links[own] += hit @ copies[right]
+        nodes[own] += hit.sum(1)
+        if not one:
+            links[right] += copies[own] @ hit
+            nodes[right] += hit.sum(0)
+        for i, near in zip(own.tolist(), hit):
+            others = right[near]
+            for r, first in zip(*np.unique(root[others], return_index=True)):
+                if r != root[i]:
+                    root[root == r] = root[i]
+                    rows.append((names[i], names[others[first]], None, None))
+    return _links([*((n, None, int(k), int(m)) for n, k, m in zip(names, links, nodes)), *rows])
+
+
+def exact(classes: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
+    """The table of ``search`` by comparison of all nodes of a label and length. A node goes
+    to as many tasks as its label has blocks, so work and rows sent are quadratic."""
+    rows = classes.select("node", "vec", "copies", "label", F.size("vec").alias("size"))
+    blocks = rows.groupBy("label", "size").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = rows.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64(F.lit("exact"), "node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = dealt.select("node", "vec", "copies", "label", "size", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    got = stage(pairs.groupBy("label", "size", "lo", "hi").applyInArrow(lambda t: _compare(t, cosine), _LINKS), "flat-pairs")
+    counts = got.where("b is null").groupBy("a").agg(F.sum("n_links").alias("n_links"), F.sum("n_nodes").alias("n_nodes"))
+    return stage(counts.select("a", F.lit(None).cast("string").alias("b"), "n_links", "n_nodes").unionByName(got.where("b is not null")), "flat-links")
 
 
 def audit(classes: DataFrame, found: DataFrame, cosine: float, sample: int = AUDIT) -> float:
-    """Recall of link counts: sampled nodes against all rows in blocks. Half are drawn from
-    all nodes, half from those with links; the sample is bounded, so it is broadcast."""
-    counts = found.where("b is null").select(F.col("a").alias("node"), "n_links")
+    """Recall of links between different nodes, averaged per node: the lesser of small and
+    large groups. Sampled nodes are compared with all rows in blocks. Nodes found with no, few
+    and many links are drawn apart and weigh as many as they stand for; the sample is bounded,
+    so it is broadcast."""
+    counts = found.where("b is null").select(F.col("a").alias("node"), "n_nodes")
     order = F.xxhash64(F.lit("audit"), "node")
-    known = classes.join(counts, "node")
-    drawn = {r.node: r for part in (known, known.where("n_links > 0")) for r in part.orderBy(order).limit(sample // 2).collect()}
+    known = classes.join(counts, "node").withColumn("kind", F.when(F.col("n_nodes") == 0, 0).when(F.col("n_nodes") < LARGE, 1).otherwise(2))
+    total = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    drawn = [r for kind in sorted(total) for r in known.where(F.col("kind") == kind).orderBy(order).limit(-(-sample // 3)).collect()]
     if not drawn:
         return 1.0
-    asked = [(r.label, np.array(r.vec, np.float64), r.copies) for r in drawn.values()]
+    asked = [(r.label, np.array(r.vec, np.float64)) for r in drawn]
 
     def block(batches):
-        total = np.zeros(len(asked), np.int64)
+        hits = np.zeros(len(asked), np.int64)
         for batch in batches:
-            labels, copies = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
+            labels = np.array(batch.column(1).to_pylist(), object)
             by_size: dict[int, list[int]] = {}
             vecs = batch.column(0).to_pylist()
             for i, v in enumerate(vecs):
@@ -212,15 +265,20 @@ def audit(classes: DataFrame, found: DataFrame, cosine: float, sample: int = AUD
             for size, rows in by_size.items():
                 x = np.array([vecs[i] for i in rows], np.float64)
                 x /= np.sqrt((x * x).sum(1))[:, None]
-                for j, (label, q, _) in enumerate(asked):
+                for j, (label, q) in enumerate(asked):
                     if len(q) == size:
                         hit = (x @ (q / np.sqrt(q @ q)) >= cosine) & (labels[rows] == label)
-                        total[j] += copies[rows][hit].sum()
-        yield pa.record_batch({"j": pa.array(range(len(asked)), pa.int32()), "n": pa.array(total)})
+                        hits[j] += hit.sum()
+        yield pa.record_batch({"j": pa.array(range(len(asked)), pa.int32()), "n": pa.array(hits)})
 
-    true = {r.j: r.n for r in classes.select("vec", "label", "copies").mapInArrow(block, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()}
-    wanted = sum(true[j] - 1 for j in range(len(asked)))
-    return min(1.0, sum(r.n_links for r in drawn.values()) / wanted) if wanted else 1.0
+    true = {r.j: r.n for r in classes.select("vec", "label").mapInArrow(block, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()}
+    drawn_of = {kind: sum(r.kind == kind for r in drawn) for kind in total}
+    recalls = []
+    for large in (False, True):
+        part = [(total[r.kind] / drawn_of[r.kind], min(1.0, r.n_nodes / (true[j] - 1))) for j, r in enumerate(drawn) if true[j] > 1 and (true[j] > LARGE) == large]
+        if part:
+            recalls.append(sum(w * x for w, x in part) / sum(w for w, _ in part))
+    return min(recalls, default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, most: int = MOST, home: int = HOME) -> DataFrame:
@@ -234,7 +292,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = O
     while True:
         found = search(classes, overlap, cosine, most, home)
         recall = audit(classes, found, cosine)
-        if recall >= RECALL or overlap >= FANOUT // 2:
+        if recall >= RECALL:
+            break
+        if overlap >= FANOUT // 2:
+            found = exact(classes, cosine)
             break
         overlap *= 2
     roots = components(found.where("b is not null").select("a", "b"))

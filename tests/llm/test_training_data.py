@@ -364,6 +364,35 @@ def test_embeddings_links(spark, most):
     assert empty.count() == 0
 
 
+def test_embeddings_audit_counts_nodes(spark):
+    dice = np.random.default_rng(2)
+    x = [dice.normal(size=16) for _ in range(61)]
+    x += [v + dice.normal(size=16) * 0.01 for v in x[:60]]
+    data = [(str(i), "0", v.astype(np.float32).tolist(), 5000 if i == 60 else 1) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(data, "node string, label string, vec array<float>, copies long")
+    found = lambda n: spark.createDataFrame([(i, None, k - 1 + n * (i != "60"), n * (i != "60")) for i, _, _, k in data], "a string, b string, n_links long, n_nodes long")
+    assert embeddings.audit(classes, found(0), 0.93) == 0 and embeddings.audit(classes, found(1), 0.93) == 1
+
+
+def test_embeddings_compared_exactly(spark, monkeypatch):
+    dice = np.random.default_rng(3)
+    x = np.concatenate([dice.normal(size=(60, 16)), dice.normal(size=16) + dice.normal(size=(150, 16)) * 0.15])
+    data = [(i, v.astype(np.float32).tolist(), int(i % 2)) for i, v in enumerate(x)]
+    data += [(900, data[100][1], 0), (901, data[100][1], 0)]
+    unit = np.array([v for _, v, _ in data], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    label = np.array([k for _, _, k in data])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    monkeypatch.setattr(embeddings, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(embeddings.exact, "__defaults__", (40,))
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), overlap=32, most=80, home=10).toPandas().set_index("vec_id")
+    assert [got.n_links[i] for i, _, _ in data] == (near.sum(1) - 1).tolist()
+    reach = near.copy()
+    for _ in range(8):
+        reach = reach @ reach
+    assert [got.component_id[i] for i, _, _ in data] == [data[row.argmax()][0] for row in reach]
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
