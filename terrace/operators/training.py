@@ -241,11 +241,11 @@ def goal_forecast(train: DataFrame, test: DataFrame, features: list[str]) -> Dat
     return out.drop("_x")
 
 
-def walk_forward(df: DataFrame, features: list[str], target: str = "outcome", by: str = "season", steps: int = 5, learner: str = "logistic", least: int = 100) -> DataFrame:
-    """Forecasts of the last ``steps`` values of ``by`` (seasons, or blocks of gameweeks),
-    each by a fit on all rows of earlier values, cleaned by those rows. A value with fewer
+def walk_forward(df: DataFrame, features: list[str], target: str = "outcome", by: str = "season", steps: int | None = 5, learner: str = "logistic", least: int = 100) -> DataFrame:
+    """Forecasts of the last ``steps`` values of ``by`` (seasons, or blocks of gameweeks; all
+    without steps), each by a fit on all rows of earlier values, cleaned by those rows. A value with fewer
     than ``least`` rows before it is left out."""
-    values = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(F.desc(by)).limit(steps).collect()]
+    values = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(F.desc(by)).collect()][:steps]
     out = []
     for v in sorted(values):
         before = df.where(F.col(by) < v)

@@ -17,7 +17,7 @@ LEARNED = {f"{n}_{o}": f"({k} + (match_id * {k}) % {m}) / CAST(100 AS DOUBLE)" f
 TEAMS = {"sentiment": "(team * 7 % 11 - 5) / CAST(10 AS DOUBLE)", "volume": "team * 3 % 8", "consensus": "(team * 5 % 9) / CAST(9 AS DOUBLE)", "burden": "(team % 4) / CAST(4 AS DOUBLE)"}
 FORM = {"ppg_l5_home": "CASE WHEN match_id % 9 = 0 THEN NULL ELSE (match_id % 16) / CAST(5 AS DOUBLE) END", "ppg_l5_away": "(match_id % 13) / CAST(5 AS DOUBLE)"}
 #: Learners that the queries below fit.
-NAMES = ["logistic", "tree"]
+NAMES = ["logistic", "tree", "forest", "boosted", "network"]
 
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
@@ -91,8 +91,8 @@ def _seasons(spark: SparkSession, d: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     weeks = standings.gameweeks(source.contest(spark, d)).select("match_id", "gameweek")
-    table = training.latest_block(feature_table(spark, d).join(weeks, "match_id"), weeks=8).persist()
-    return training.walk_forward(table, [c for c in training.feature_columns(table) if c not in ("gameweek", "block")], by="block", steps=3)
+    table = training.latest_block(feature_table(spark, d).join(weeks, "match_id")).persist()
+    return training.walk_forward(table, [c for c in training.feature_columns(table) if c not in ("gameweek", "block")], by="block", steps=None)
 
 
 def register(queries: dict, oracles: dict) -> None:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from terrace.functions import players
 from terrace.operators import decisions, training
-from terrace.plans import steps
+from terrace.plans import learning, steps
+from terrace.sources import contest as source
 
 
 def plain_names(text):
@@ -116,3 +117,15 @@ def test_walk_forward_scores_later_seasons(sample):
     got = training.walk_forward(sample, ["x", "z"], steps=3)
     assert {r.season: r["count"] for r in got.groupBy("season").count().collect()} == {2003: 100, 2004: 100, 2005: 100}
     assert training.walk_forward(sample.where("season = 2000"), ["x"]).count() == 0
+
+
+def test_queries_take_every_learner():
+    assert learning.NAMES == list(training.learners(1))
+
+
+def test_blocks_cover_the_current_season(spark):
+    d = "/root/testdata/sf0.001"
+    got = learning._blocks(spark, d).select("match_id", "block").toPandas()
+    matches = source.contest(spark, d).select("match_id", "season").toPandas()
+    assert sorted(got.match_id) == sorted(matches.match_id[matches.season == matches.season.max()])
+    assert got.block.min() == 0
