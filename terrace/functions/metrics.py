@@ -4,6 +4,8 @@ Outcomes are 0 home, 1 draw, 2 away; probabilities p_home, p_draw, p_away."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +89,23 @@ def confident_share(df: DataFrame, shares: tuple[int, ...] = (5, 10, 20, 30, 50,
     return counts.groupBy("share").agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy"))
 
 
-def simulated_accuracy(df: DataFrame, runs: int = 1000, seed: int = 42) -> DataFrame:
-    """Accuracy of the picks over seeded draws of every result, as quantiles. Draws
-    of a pick are grouped by its chance first (binomial by class), so rows meet no runs: each
-    chance bucket draws once a run from a normal approximation of its binomial."""
-    chance = F.round(F.greatest(*P), 3)
-    buckets = df.groupBy(chance.alias("c")).agg(F.count("*").alias("n"))
-    sims = df.sparkSession.range(runs).crossJoin(F.broadcast(buckets))
-    draw = F.col("n") * F.col("c") + F.sqrt(F.col("n") * F.col("c") * (1 - F.col("c"))) * F.randn(seed)
-    hits = sims.withColumn("hits", F.greatest(F.lit(0.0), F.least(F.col("n").cast("double"), draw)))
-    per = hits.groupBy("id").agg((F.sum("hits") / F.sum("n")).alias("a"))
+def simulated_accuracy(df: DataFrame, runs: int = 10_000, seed: int = 42) -> DataFrame:
+    """Share of matches whose drawn result is the actual one, as quantiles over
+    seeded runs. A match is hit with the chance of its actual outcome; matches of one chance
+    are hit together by an exact binomial draw for each run, so only (run, hits) of a task
+    is shuffled. Matches without an outcome or a chance are left out."""
+    chance = F.when(F.col("outcome").between(0, 2), F.element_at(F.array(*P), F.col("outcome").cast("int") + 1)).cast("double")
+    buckets = df.groupBy(chance.alias("c")).agg(F.count("*").alias("n")).where("c is not null")
+
+    def draw(batches):
+        hits, total = np.zeros(runs, np.int64), 0
+        for batch in batches:
+            for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                dice = np.random.default_rng([seed, int(np.float64(c).view(np.uint64))])  # whatever task holds it
+                hits += dice.binomial(n, min(1.0, max(0.0, c)), runs)
+                total += n
+        if total:
+            yield pa.record_batch({"run": pa.array(np.arange(runs)), "hits": pa.array(hits), "n": pa.array(np.full(runs, total))})
+
+    per = buckets.mapInArrow(draw, "run long, hits long, n long").groupBy("run").agg((F.sum("hits") / F.sum("n")).alias("a"))
     return per.agg(*[F.percentile("a", F.lit(q)).alias(f"q{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)])

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.functions import text
+from terrace.functions import metrics, text
 from terrace.operators import goals, history, joins, ratings
 from terrace.plans import steps
 from terrace.sources import contest as source
@@ -127,3 +127,11 @@ def test_event_windows_stream(spark, tmp_path):
     q = live.event_counts(stream, "1 day").writeStream.format("memory").queryName("ev_stream").option("checkpointLocation", str(tmp_path / "ck")).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("ev_stream").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_simulation_draws_the_actual_outcome(spark):
+    rows = lambda o: spark.createDataFrame([(0.9, 0.1, 0.0, o)] * 400 + [(0.9, 0.1, 0.0, None)], "p_home double, p_draw double, p_away double, outcome int")
+    home, draw, away = (metrics.simulated_accuracy(rows(o)).first() for o in range(3))
+    assert home.q50 == pytest.approx(0.9, abs=0.003) and draw.q50 == pytest.approx(0.1, abs=0.003) and tuple(away) == (0, 0, 0)
+    assert draw.q05 == pytest.approx(0.1 - 1.645 * 0.015, abs=0.004) and draw.q95 == pytest.approx(0.1 + 1.645 * 0.015, abs=0.004)
+    assert metrics.simulated_accuracy(rows(1)).first() == draw
