@@ -1,17 +1,19 @@
 """Elo, Pi and Glicko-2, the recurrences that couple two teams a row.
 
 They can't be windows: each row reads what the last rows of two teams wrote. A league is one
-sequence, so leagues are the unit of work (``applyInArrow`` by league), rows sorted inside.
-State is a few numbers a team. In streams the same step functions run on keyed state.
+sequence, so leagues are the unit of work: dealt whole, sorted inside, read batch by batch
+(``mapInArrow``). State is a few numbers a team. In streams the same step functions run on keyed state.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 START = 1500.0
 ELO = dict(k=20.0, home_adv=65.0, regression=0.1)
@@ -122,22 +124,28 @@ class Glicko:
         return [h[0], a[0], h[1], a[1], h[2], a[2], h[0] - a[0], h[1] - a[1], *trust, trust[0] - trust[1]]
 
 
-def _walk(rows: pa.Table, system: type) -> pa.Table:
-    rows = rows.sort_by([("match_date", "ascending"), ("match_id", "ascending")])
-    cols = [rows[c].to_pylist() for c in _IN]
-    rating, season, out = system(), None, []
-    for match_id, when, home, away, gh, ga in zip(*cols):
-        if season is not None and when != season:
-            rating.new_season()
-        season = when
-        out.append([match_id, *rating.step(home, away, gh, ga)])
+def _walk(batches: Iterator[pa.RecordBatch], system: type) -> Iterator[pa.RecordBatch]:
+    """Ratings over rows in order of league, date and match; state is kept per team alone."""
     names = ["match_id", *system.columns]
-    return pa.table({n: pa.array(v, pa.int64() if n == "match_id" else pa.float64()) for n, v in zip(names, zip(*out))})
+    now, rating, season = object(), None, None
+    for batch in batches:
+        out = []
+        for league, match_id, when, home, away, gh, ga in zip(*(batch.column(c).to_pylist() for c in ("_league", *_IN))):
+            if league != now:
+                now, rating, season = league, system(), None
+            if season is not None and when != season:
+                rating.new_season()
+            season = when
+            out.append([match_id, *rating.step(home, away, gh, ga)])
+        if out:
+            yield pa.record_batch({n: pa.array(v, pa.int64() if n == "match_id" else pa.float64()) for n, v in zip(names, zip(*out))})
 
 
 def rate(matches: DataFrame, system: type, league: str = "league") -> DataFrame:
     """match_id and the system's columns before each match. matches needs the league and the
-    contest's columns; goals must be known."""
+    contest's columns; goals must be known. Leagues are dealt to tasks whole and sorted there
+    by Spark, which spills; Python takes one Arrow batch at a time."""
     schema = ", ".join(["match_id long", *[f"{c} double" for c in system.columns]])
-    rows = matches.select(league, "match_date", *_IN)
-    return rows.groupBy(league).applyInArrow(lambda t: _walk(t, system), schema)
+    rows = matches.select(F.col(league).alias("_league"), "match_date", *_IN)
+    ordered = rows.repartition("_league").sortWithinPartitions("_league", "match_date", "match_id")
+    return ordered.mapInArrow(lambda batches: _walk(batches, system), schema)

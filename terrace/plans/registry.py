@@ -215,9 +215,8 @@ def _models() -> None:
     QUERIES["m19_simulated_accuracy"] = lambda s, d: metrics.simulated_accuracy(forecast(s, d))
 
     def leagues(s, d):
-        nation = source.read(s, d, "nation")
-        side = lambda t: nation.select(F.col("n_nationkey").alias(f"{t}_team"), F.col("n_regionkey").alias(f"{t}_region"))
-        return source.contest(s, d).join(side("home"), "home_team").join(side("away"), "away_team").where("home_region = away_region").withColumnRenamed("home_region", "league")
+        # teams of all regions meet, so they are one league
+        return source.contest(s, d).withColumn("league", F.lit(0))
 
     for name, system in (("r01_elo", ratings.Elo), ("r02_pi", ratings.Pi), ("r03_glicko", ratings.Glicko)):
         add(name, lambda s, d, system=system: ratings.rate(leagues(s, d), system), None, steps.rounded(["match_id"], system.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import metrics, text
 from terrace.operators import goals, history, joins, ratings
-from terrace.plans import steps
+from terrace.plans import registry, steps
 from terrace.sources import contest as source
 from terrace.streaming import live
 
@@ -135,3 +135,12 @@ def test_simulation_draws_the_actual_outcome(spark):
     assert home.q50 == pytest.approx(0.9, abs=0.003) and draw.q50 == pytest.approx(0.1, abs=0.003) and tuple(away) == (0, 0, 0)
     assert draw.q05 == pytest.approx(0.1 - 1.645 * 0.015, abs=0.004) and draw.q95 == pytest.approx(0.1 + 1.645 * 0.015, abs=0.004)
     assert metrics.simulated_accuracy(rows(1)).first() == draw
+
+
+def test_ratings_take_every_match_and_keep_leagues_apart(spark, matches):
+    want = sorted(r[0] for r in source.contest(spark, SF).select("match_id").collect())
+    assert sorted(r[0] for r in registry.QUERIES["r01_elo"](spark, SF).select("match_id").collect()) == want
+    two = matches.unionByName(matches.withColumns({"league": F.lit(2), "match_id": -F.col("match_id")}))
+    rows = {r.match_id: r.elo_home for r in ratings.rate(two, ratings.Elo).collect()}
+    one = {r.match_id: r.elo_home for r in ratings.rate(matches, ratings.Elo).collect()}
+    assert all(rows[k] == v for k, v in one.items()) and len(rows) == 2 * len(one)
