@@ -12,8 +12,10 @@ doc_ids come first and are keyed like others. Null texts are empty: the end id a
 empty table gives empty files. Extra columns are ignored.
 
 Encoding: the vocabulary's normaliser and splitter never join across a space or line feed
-and drop both, so a text's ids are those of its space-separated units in turn. Units are
-encoded by the tokenizers library and remembered by each worker, at most ``CACHE_UNITS``.
+and drop both, and never join a Latin letter with an ASCII mark other than the apostrophe. So
+texts are cut into such units by Arrow kernels, a slice of documents at a time; each distinct
+unit of a slice is encoded by the tokenizers library once, and ids are put together with numpy.
+A worker remembers at most ``CACHE_UNITS`` units between slices.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,13 +39,18 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 INDEX_KEYS = 4096
-ROWS_A_PART, MOST_PARTS = 8192, 20_000
-CACHE_UNITS, KEPT_UNITS = 400_000, 200_000
+ROWS_A_PART, MOST_PARTS = 4096, 20_000
+#: Bytes of text that are encoded in one step (or one longer document).
+SLICE_BYTES = 8 << 20
+CACHE_UNITS, KEPT_UNITS = 800_000, 400_000
 MAX_TRIES = 1_000_000
 _FIELDS = np.dtype([("fingerprint", "<i4"), ("part", "<i4"), ("seq", "<i4"), ("offset", "<i8"), ("n", "<i4")])
 _BLOCKS = "part int, seq int, n_ids long, width int, doc_ids array<long>, occs array<int>, lengths array<int>, payload binary"
-#: Precomposed Latin letters, then ASCII marks other than the apostrophe.
-_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Precomposed Latin letters, and ASCII marks other than the apostrophe.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+#: Units that are one word to the splitter: their ids end at the first that ends a word.
+_ONE_WORD = re.compile("[a-zß-öø-ÿ]+")
+_WORDS_A_CALL = 2000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -53,36 +60,90 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """ids of a text as raw bytes, 2 or 4 for each id."""
+    """ids of texts, 2 or 4 bytes for each."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
+        self.last_of_word = np.zeros(size, bool)
+        self.last_of_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, self.kind), np.zeros(1, np.int64)  # ids of unit k: pool[ends[k]:ends[k + 1]]
+
+    def _learn(self, units: list[str]) -> None:
+        """ids of new units. Words are encoded many in one text, which saves most of a call's
+        cost, and told apart by the ids that end a word."""
+        whole, other = [u for u in units if _ONE_WORD.fullmatch(u)], [u for u in units if not _ONE_WORD.fullmatch(u)]
+        texts = [" ".join(whole[i : i + _WORDS_A_CALL]) for i in range(0, len(whole), _WORDS_A_CALL)]
+        joined = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        stops = np.nonzero(self.last_of_word[joined])[0] + 1
+        if len(stops) != len(whole):
+            raise ValueError("words and their ends differ")
+        single = [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(x) for x in single], np.int64)])
+        self.known.update(zip([*whole, *other], range(len(self.known), len(self.known) + len(units))))
+        self.pool = np.concatenate([self.pool, joined.astype(self.kind), *(x.astype(self.kind) for x in single)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def _forget(self) -> None:
+        if len(self.known) > CACHE_UNITS:  # the first ones stay: mostly frequent
+            self.known = dict(islice(self.known.items(), KEPT_UNITS))
+            self.ends = self.ends[: KEPT_UNITS + 1]
+            self.pool = self.pool[: self.ends[-1]]
+
+    def encode_many(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts in turn, and how many each has (with its end id). Texts that may
+        hold the string of a special token, which units would cut, are encoded whole."""
+        lowered = pc.ascii_lower(pc.fill_null(texts, ""))
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.match_substring(lowered, token).to_numpy(zero_copy_only=False)
+        out, at = [], 0
+        for i in [*np.nonzero(whole)[0].tolist(), len(texts)]:
+            if i > at:
+                out.append(self._by_units(lowered.slice(at, i - at)))
+            if i < len(texts):
+                ids = self.tokenizer.encode_batch_fast([texts[i].as_py()], add_special_tokens=False)[0].ids
+                out.append((np.array(ids, self.kind), np.array([len(ids)])))
+            at = i + 1
+        ids, counts = (np.concatenate(x) for x in zip(*out)) if out else (self.pool[:0], np.zeros(0, np.int64))
+        return (ids, counts) if end_id is None else (np.insert(ids, np.cumsum(counts), end_id), counts + 1)
+
+    def _by_units(self, lowered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self._forget()
+        plain = pc.replace_substring(lowered, "\n", " ")
+        plain = pc.replace_substring_regex(plain, f"([{_LETTERS}])([{_MARKS}])", r"\1 \2")
+        plain = pc.replace_substring_regex(plain, f"([{_MARKS}])([{_LETTERS}])", r"\1 \2")
+        parts = pc.split_pattern(plain, " ")
+        units = parts.flatten().dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        if missing := [u for u in distinct if u not in self.known]:
+            self._learn(missing)
+        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = self.pool[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])])
 
     def encode(self, text: str | None, end_id: int | None = END_ID) -> bytes:
-        """The splitter parts letters from marks, and case is dropped: a unit of Latin letters
-        with marks behind has the ids of its lower-case letters and of the marks, which recur
-        far more often than the unit."""
-        units = (text or "").replace("\n", " ").split(" ")
-        known, joined = self.known, {}
-        if missing := [u for u in set(units) if u not in known]:
-            parts = {u: (m[1].lower(), m[2]) if (m := _LETTERS_MARKS.fullmatch(u)) else (u,) for u in missing}
-            new = [p for p in dict.fromkeys(p for ps in parts.values() for p in ps) if p not in known]
-            if len(known) + len(new) > CACHE_UNITS and len(known) > KEPT_UNITS:
-                self.known = dict(islice(known.items(), KEPT_UNITS))  # the first ones: mostly frequent
-                return self.encode(text, end_id)
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update(zip(new, (array(self.kind, e.ids).tobytes() for e in found)))
-            joined = {u: b"".join(map(known.__getitem__, ps)) for u, ps in parts.items()}
-        end = b"" if end_id is None else array(self.kind, [end_id]).tobytes()
-        if joined:
-            return b"".join([*(known.get(u) or joined.get(u, b"") for u in units), end])
-        return b"".join([*map(known.__getitem__, units), end])
+        return self.encode_many(pa.array([text], pa.string()), end_id)[0].tobytes()
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most so many bytes, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(upto, most + (upto[at - 1] if at else 0), side="right")))
+        yield at, stop
+        at = stop
 
 
 def encoder(path: str) -> Encoder:
@@ -90,30 +151,39 @@ def encoder(path: str) -> Encoder:
     return held("tokens", path, lambda: Encoder(path))
 
 
+_BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("occs", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
+
+
 def _blocks(batches: Iterable[pa.RecordBatch], path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
     coder, part = encoder(path), TaskContext.get().partitionId()
     ids: list = []
     occs: list[int] = []
-    body: list[bytes] = []
-    size, seq, run, last = 0, 0, 0, object()
+    lengths: list[int] = []
+    body: list[np.ndarray] = []
+    most, size, seq, run, last = BLOCK_BYTES // coder.width, 0, 0, 0, object()
 
     def block() -> pa.RecordBatch:
-        row = {"part": part, "seq": seq, "n_ids": size // coder.width, "width": coder.width, "doc_ids": ids, "occs": occs, "lengths": [len(b) // coder.width for b in body], "payload": b"".join(body)}
-        return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("occs", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())]))
+        row = {"part": part, "seq": seq, "n_ids": size, "width": coder.width, "doc_ids": ids, "occs": occs, "lengths": lengths, "payload": b"".join(x.tobytes() for x in body)}
+        return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            coded = coder.encode(text.as_py(), end_id)
-            if body and (size + len(coded) > BLOCK_BYTES or len(body) >= BLOCK_DOCS):
-                yield block()
-                ids, occs, body, size, seq = [], [], [], 0, seq + 1
-            run = run + 1 if doc_id == last else 0
-            last = doc_id
-            ids.append(doc_id)
-            occs.append(run)
-            body.append(coded)
-            size += len(coded)
-    if body:
+        keys = batch.column(0).to_pylist()
+        for a, b in slices(batch.column(1)):
+            coded, counts = coder.encode_many(batch.column(1).slice(a, b - a), end_id)
+            begun = at = 0
+            for doc_id, n in zip(keys[a:b], counts.tolist()):
+                if ids and (size + n > most or len(ids) >= BLOCK_DOCS):
+                    body.append(coded[begun:at])
+                    yield block()
+                    ids, occs, lengths, body, size, seq, begun = [], [], [], [], 0, seq + 1, at
+                run = run + 1 if doc_id == last else 0
+                last = doc_id
+                ids.append(doc_id)
+                occs.append(run)
+                lengths.append(n)
+                size, at = size + n, at + n
+            body.append(coded[begun:at])
+    if ids:
         yield block()
 
 
@@ -188,10 +258,15 @@ def _hashed(keys: DataFrame, blocks: int) -> DataFrame:
 
 
 class Store:
-    """The two tables of a written corpus."""
+    """The two tables of a written corpus. ``carried`` holds, for parts that go on with the
+    doc_id of the part before, this doc_id and the rows it has in earlier parts."""
+
+    def __init__(self, shards: DataFrame, index: DataFrame, blocks: int, carried: dict[int, tuple]):
+        self.shards, self.index, self.blocks, self.carried = shards, index, blocks, carried
 
-    def __init__(self, shards: DataFrame, index: DataFrame, blocks: int):
-        self.shards, self.index, self.blocks = shards, index, blocks
+    def keys(self) -> DataFrame:
+        """(doc_id, occ) of every document."""
+        return _placed(self.shards, self.carried).select("doc_id", "occ")
 
     def places(self, keys: DataFrame) -> DataFrame:
         """(doc_id, occ, part, seq, offset, n) of the keys (doc_id, occ) that are held."""
@@ -212,24 +287,47 @@ class Store:
         return self.places(keys).join(self.shards.select("part", "seq", "width", "payload"), ["part", "seq"]).select("doc_id", "occ", "width", cut.alias("ids"))
 
 
+def _carried(shards: DataFrame) -> dict[int, tuple]:
+    """Rows of a part's first doc_id in the parts before it. One row a part reaches the
+    driver, of at most ``MOST_PARTS``."""
+    ends = shards.select("part", "seq", F.element_at("doc_ids", 1).alias("first"), F.struct(F.element_at("doc_ids", -1).alias("id"), F.element_at("occs", -1).alias("occ")).alias("last"))
+    rows = ends.groupBy("part").agg(F.min_by(F.struct("first"), "seq").alias("first"), F.max_by("last", "seq").alias("last")).collect()
+    out: dict[int, tuple] = {}
+    last, count = object(), 0
+    for r in sorted(rows, key=lambda r: r.part):
+        before = count if r.first.first == last else 0
+        if before:
+            out[r.part] = (r.first.first, before)
+        last, count = r.last.id, r.last.occ + 1 + (before if r.last.id == r.first.first else 0)
+    return out
+
+
+def _placed(shards: DataFrame, carried: dict[int, tuple]) -> DataFrame:
+    return shards.select("part", "seq", "doc_ids", "occs", "lengths").mapInArrow(lambda batches: _entries(batches, carried), "part int, seq int, doc_id long, occ int, offset long, n int")
+
+
 def write(docs: DataFrame, path: str, end_id: int | None = END_ID) -> Store:
-    """Shards and index of docs (doc_id, text) in the shared folder."""
+    """Shards and index of docs (doc_id, text) in the shared folder. Rows are dealt by ranges
+    of (doc_id, hash of the text), so that rows of one doc_id, or without one, may spread."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.count()
     parts = min(MOST_PARTS, max(8, -(-total // ROWS_A_PART)))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     shards = stage(dealt.mapInArrow(lambda batches: _blocks(batches, path, end_id), _BLOCKS), "token-shards")
-    entries = shards.select("part", "seq", "doc_ids", "occs", "lengths").mapInArrow(_entries, "part int, seq int, doc_id long, occ int, offset long, n int")
-    blocks = max(1, -(-total // INDEX_KEYS))
-    index = stage(_hashed(entries, blocks).groupBy("block").applyInArrow(_build, "block int, shifts binary, slots binary"), "token-index")
-    return Store(shards, index, blocks)
+    blocks, carried = max(1, -(-total // INDEX_KEYS)), _carried(shards)
+    index = stage(_hashed(_placed(shards, carried), blocks).groupBy("block").applyInArrow(_build, "block int, shifts binary, slots binary"), "token-index")
+    return Store(shards, index, blocks, carried)
 
 
-def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterable[pa.RecordBatch], carried: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            n = np.array(row["lengths"], np.int32)
-            yield pa.record_batch({"part": np.full(len(n), row["part"], np.int32), "seq": np.full(len(n), row["seq"], np.int32), "doc_id": pa.array(row["doc_ids"], pa.int64()), "occ": pa.array(row["occs"], pa.int32()), "offset": np.cumsum(n, dtype=np.int64) - n, "n": n})
+            n, occs = np.array(row["lengths"], np.int32), np.array(row["occs"], np.int32)
+            if row["part"] in carried:
+                doc_id, before = carried[row["part"]]
+                occs = occs + np.array([before * (x == doc_id) for x in row["doc_ids"]], np.int32)
+            yield pa.record_batch({"part": np.full(len(n), row["part"], np.int32), "seq": np.full(len(n), row["seq"], np.int32), "doc_id": pa.array(row["doc_ids"], pa.int64()), "occ": occs, "offset": np.cumsum(n, dtype=np.int64) - n, "n": n})
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

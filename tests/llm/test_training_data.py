@@ -191,17 +191,34 @@ def test_token_files(docs, none):
 
     plain = Tokenizer.from_file(path)
     store = tokenfile.write(docs, path)
-    keys = store.shards.select(F.explode(F.arrays_zip("doc_ids", "occs")).alias("k")).select(F.col("k.doc_ids").alias("doc_id"), F.col("k.occs").alias("occ"))
-    got = {(r.doc_id, r.occ): np.frombuffer(r.ids, "<u2").tolist() for r in store.fetch(keys).collect()}
+    got = {(r.doc_id, r.occ): np.frombuffer(r.ids, "<u2").tolist() for r in store.fetch(store.keys()).collect()}
     assert len(got) == len(rows())
-    want = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    for (doc_id, text) in set(want):
+    for doc_id, text in {(r[0], r[1] or "") for r in rows()}:
         assert got[doc_id, 0] == plain.encode(text, add_special_tokens=False).ids + [1]
-    missing = store.places(keys.select((F.col("doc_id") + 10**9).alias("doc_id"), "occ").where("doc_id is not null"))
+    missing = store.places(store.keys().select((F.col("doc_id") + 10**9).alias("doc_id"), "occ").where("doc_id is not null"))
     assert missing.count() == 0
     assert tokenfile.write(none, path).shards.count() == 0
 
 
+def test_token_query_against_a_loop(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenfile.vocabulary_path())
+    texts = [(i, None if i % 9 == 0 else f"text {'Ab, c' * (i % 5)} no {i}") for i in range(60)] + [(7, f"again {i}") for i in range(40)] + [(None, "x y")] * 3 + [(None, "z")] * 25
+    spark.createDataFrame([(i, t, "k", 0) for i, t in texts], "doc_id long, text string, part string, seq int").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(tokenfile, "ROWS_A_PART", 8)
+    got = tokenfile.op6_tokens(spark, str(tmp_path)).collect()
+    ids = {t: plain.encode(t or "", add_special_tokens=False).ids + [1] for _, t in texts}
+    crc = lambda t: zlib.crc32(np.array(ids[t], "<u4").tobytes())
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((i if i is not None else -1, len(ids[t]), crc(t)) for i, t in texts)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    placed = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert placed == sorted(placed, key=lambda i: (i is not None, i or 0))
+
+
 def test_units_encode_as_whole_texts():
     coder, dice = tokenfile.Encoder(tokenfile.vocabulary_path()), random.Random(5)
     letters = list("abcTHEéßÄ' ,.!|#\n\t1234-_") + ["中", "🙂", "́", "İ", "ſ", "it's", "<|endoftext|>", " "]
