@@ -1,19 +1,25 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Equal vectors of a label are one node with a count. Each label's nodes are dealt to cluster
-shards: a cell with more than ``MOST`` nodes is split around sampled members, level by level,
-and each node joins its ``overlap`` nearest centres, the nearest being its home. In every
-shard each node's nearest candidates are pruned by the robust rule (a candidate goes when a
-kept one is ``ALPHA`` times nearer to it); the pruned lists of all shards are united. Each node
-is then searched for once, at home, over the united lists: a greedy search from the shard's
-medoid, and a range expansion that follows every node in range (and its own list) to the end.
-What is in range is verified by cosine in double precision.
-
-A search returns a count, and the links of a shard only as a spanning forest, so dense
-groups send no pairs. The audit compares ``AUDIT`` nodes with all rows in blocks, by links
-between different nodes, averaged per node, for small and large groups apart; while either
-recall is under ``RECALL`` the overlap doubles and the index is built again. Where that is not
-enough at the widest overlap, all nodes of a label are compared in pairs of blocks.
+Equal vectors of a label are one node with a count. A label's nodes form a cell; a cell with
+more than ``MOST`` nodes is split around sampled members, level by level, and each node joins
+its ``overlap`` nearest centres. The nearest is its home; only from there it is dealt on to
+several, so its copies grow with the levels, not with their power. Samples within ``THIN`` of
+an earlier one are no centres: a dense group stays in one cell, and a cell that keeps a single
+centre (or is still too large after ``LEVELS``) is dense.
+
+In every other cell, now a shard, each node's nearest candidates are pruned by the robust rule
+(a candidate goes when a kept one is ``ALPHA`` times nearer to it) and the pruned lists of all
+shards are united. Every member is searched for over the united lists: greedily from the
+shard's medoid, then by range expansion from itself and from all that is found, to the end.
+What is in range is verified by cosine in double precision. Dense cells are compared exactly,
+in pairs of blocks.
+
+A link is counted in one cell alone, the first that holds both its ends, so counts are the
+same from both ends; no pairs are sent, only counts and a star for each component of a cell.
+The audit compares about ``AUDIT`` nodes with all rows in blocks, by links between different
+nodes, averaged per node, for small and large groups apart; while either recall is under
+``RECALL`` the overlap doubles and the index is built again. Where that is not enough at the
+widest overlap, all nodes of a label are compared in pairs of blocks.
 
 Vectors that are null, zero or hold null or non-finite components, and null labels, link with
 nothing. Vectors of other lengths are never compared. Repeated rows are links of each other;
@@ -22,78 +28,127 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrace.llm.common import components, cut, stage, table
+from terrace.llm.common import components, stage, table
 
 COSINE = 0.93
 OVERLAP, LEVELS = 3, 8
-MOST, HOME, FANOUT, SALT_ROWS = 8192, 1500, 64, 20_000
-NEAR, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 8
+MOST, HOME, FANOUT, SALT_ROWS = 6144, 700, 64, 20_000
+THIN = 0.75
+NEAR, DEGREE, ALPHA, STEP_ROWS = 48, 16, 1.2, 512
 AUDIT, RECALL = 256, 0.95
 #: Links from which a group counts as large in the audit; nodes of a block compared exactly.
 LARGE, BLOCK = 16, 4096
+#: What single precision may miss of a cosine; what it finds is verified in double.
+SLACK = 1e-5
 _LINKS = "a string, b string, n_links long, n_nodes long"
-_ROW = "node string, vec array<float>, cell string, home boolean"
-
-
-def _unit(column) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
-    return x / np.sqrt((x * x).sum(1))[:, None]
-
-
-def _assign(rows: pa.Table, centres: pa.Table, overlap: int) -> pa.Table:
+_ROW = "node string, vec binary, copies long, cell string, home boolean, dense boolean"
+_GRAPH = "cell string, node string, vec binary, copies long, near array<string>"
+
+
+def _kind(vectors: DataFrame) -> str:
+    """Bytes of a stored component: single only where the input is."""
+    element = vectors.schema["embedding"].dataType.elementType
+    return "<f4" if isinstance(element, T.FloatType) else "<f8"
+
+
+def _read(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, node, vec): sound vectors as bytes with a digest of label and vector."""
+    width = np.dtype(kind).itemsize
+    for batch in batches:
+        column, labels = batch.column(2), batch.column(1).to_pylist()
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # no -0.0
+        ends = np.cumsum(sizes)
+        upto = lambda mask, ends=ends, sizes=sizes: np.concatenate([[0], np.cumsum(mask)])[[ends, ends - sizes]]
+        (bad, bad0), (some, some0) = upto(~np.isfinite(flat)), upto(flat != 0)
+        sound, raw = (bad == bad0) & (some > some0), flat.astype(kind).tobytes()
+        vecs = [raw[(e - n) * width : e * width] if ok and label is not None else None for e, n, ok, label in zip(ends.tolist(), sizes.tolist(), sound.tolist(), labels)]
+        nodes = [None if v is None else hashlib.md5(f"{label}:".encode() + v).hexdigest() for v, label in zip(vecs, labels)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes, pa.string()), pa.array(vecs, pa.binary())], names=["vec_id", "label", "node", "vec"])
+
+
+def _unit(column, kind: str) -> np.ndarray:
+    """Unit rows in double precision, of stored vectors of one length."""
+    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+    top = np.abs(x).max(1, keepdims=True)  # first to a scale whose squares are finite
+    x = x / np.where(top > 0, top, 1)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def thinned(x: np.ndarray, cosine: float = THIN) -> list[int]:
+    """Rows with no earlier kept row within the cosine."""
+    kept: list[int] = []
+    for i, near in enumerate(x @ x.T >= cosine):
+        if not near[kept].any():
+            kept.append(i)
+    return kept
+
+
+def _assign(rows: pa.Table, centres: pa.Table, overlap: int, kind: str) -> pa.Table:
+    """rows dealt to their nearest centres: a home row to several, any other to one."""
     if not len(rows) or not len(centres):
-        return pa.table({"node": rows["node"], "vec": rows["vec"], "cell": rows["cell"], "home": rows["home"]})
-    near = np.argsort(-(_unit(rows["vec"]) @ _unit(centres["vec"]).T), axis=1, kind="stable")[:, :overlap]
-    names = np.array(centres["part"].to_pylist(), object)
-    who = np.repeat(np.arange(len(rows)), near.shape[1])
-    first = np.tile(np.arange(near.shape[1]) == 0, len(rows))
-    cell = np.array(rows["cell"].to_pylist(), object)[who] + "/" + names[near.ravel()].astype(str)
-    home = rows["home"].to_numpy(zero_copy_only=False)[who] & first
-    taken = rows.take(pa.array(who))
-    return pa.table({"node": taken["node"], "vec": taken["vec"], "cell": pa.array(cell, pa.string()), "home": pa.array(home)})
-
-
-def cells(classes: DataFrame, overlap: int, most: int = MOST, home: int = HOME) -> DataFrame:
-    """(node, vec, cell, home): the members of every shard; a node has one home."""
-    now = stage(classes.select("node", "vec", F.concat_ws(":", "label", F.size("vec")).alias("cell"), F.lit(True).alias("home")), "flat-cells")
-    done = None
+        return rows.select(["node", "vec", "copies", "cell", "home", "dense"])
+    centres = centres.sort_by("part")
+    c = _unit(centres["vec"], kind)
+    c = c[thinned(c)]
+    if len(c) == 1:
+        return rows.select(["node", "vec", "copies", "cell", "home"]).append_column("dense", pa.array(np.ones(len(rows), bool)))
+    near = np.argsort(-(_unit(rows["vec"], kind) @ c.T), axis=1, kind="stable")[:, :overlap]
+    home = rows["home"].to_numpy(zero_copy_only=False)
+    who, rank = np.nonzero(home[:, None] | (np.arange(near.shape[1]) == 0))
+    cell = np.array(rows["cell"].to_pylist(), object)[who] + "/" + near[who, rank].astype(str).astype(object)
+    taken = rows.select(["node", "vec", "copies"]).take(pa.array(who))
+    return pa.table({**{n: taken[n] for n in taken.column_names}, "cell": pa.array(cell, pa.string()), "home": pa.array(home[who] & (rank == 0)), "dense": pa.array(np.zeros(len(who), bool))})
+
+
+def cells(classes: DataFrame, overlap: int, kind: str, most: int = MOST, home: int = HOME) -> tuple[DataFrame, bool]:
+    """(node, vec, copies, cell, home, dense): the members of every cell, and whether any cell
+    was split."""
+    now = classes.select("node", "vec", "copies", F.concat_ws(":", "label", F.octet_length("vec")).alias("cell"), F.lit(True).alias("home"), F.lit(False).alias("dense"))
+    done, split = None, False
     for level in range(LEVELS):
-        open_ = now.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("b", F.greatest(F.lit(2 * overlap), F.least(F.lit(FANOUT), F.ceil(F.col("n") / home))))
-        open_ = cut(open_)
+        sizes = now.where("not dense").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumn("b", F.greatest(F.lit(2 * overlap), F.least(F.lit(FANOUT), F.ceil(F.col("n") / home))))
+        open_ = stage(sizes, "flat-open")
         if open_.isEmpty():
             break
+        split = True
         small = now.join(open_, "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
-        big = now.join(open_, "cell").withColumn("h", F.xxhash64("node", F.lit(level)))
+        big = now.where("not dense").join(open_, "cell").withColumn("h", F.xxhash64("node", F.lit(level)))
         drawn = big.where(F.pmod("h", "n") < 4 * F.col("b")).withColumn("part", F.row_number().over(Window.partitionBy("cell").orderBy("h", "node"))).where("part <= b")
         salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
         centres = stage(drawn.select("cell", "part", "vec", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "flat-centres")
-        dealt = big.select("node", "vec", "cell", "home", F.pmod(F.xxhash64("node", F.lit(-1 - level)), salts).cast("int").alias("salt"))
-        moved = dealt.groupBy("cell", "salt").cogroup(centres.groupBy("cell", "salt")).applyInArrow(lambda a, b: _assign(a, b, overlap), _ROW)
+        dealt = big.select("node", "vec", "copies", "cell", "home", "dense", F.pmod(F.xxhash64("node", F.lit(-1 - level)), salts).cast("int").alias("salt"))
+        moved = dealt.groupBy("cell", "salt").cogroup(centres.groupBy("cell", "salt")).applyInArrow(lambda a, b: _assign(a, b, overlap, kind), _ROW)
         now = stage(moved, "flat-cells")
-    return stage(now if done is None else done.unionByName(now), "flat-shards")
+    else:
+        sizes = now.groupBy("cell").agg(F.count("*").alias("n"))
+        now = now.join(sizes, "cell").withColumn("dense", F.col("dense") | (F.col("n") > most)).select("node", "vec", "copies", "cell", "home", "dense")
+    return (now if done is None else stage(done.unionByName(now), "flat-shards")), split
 
 
-def robust_lists(x: np.ndarray) -> list[np.ndarray]:
-    """Pruned neighbours of each row of unit vectors, with their reverses."""
+def robust_edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pruned neighbours of each row of unit vectors, with their reverses: (from, to), sorted."""
     n, x = len(x), x.astype(np.float32)
     k = min(NEAR, n - 1)
-    out: list[set[int]] = [set() for _ in range(n)]
     if k < 1:
-        return [np.zeros(0, np.int64)] * n
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads, tails = [], []
     for at in range(0, n, 256):
         sims = x[at : at + 256] @ x.T
         own = np.arange(len(sims))
         sims[own, own + at] = -np.inf
-        cand = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        cand = np.argpartition(sims, n - k, axis=1)[:, n - k :]
         near = np.take_along_axis(sims, cand, axis=1)
         order = np.argsort(-near, axis=1, kind="stable")
         cand, near = np.take_along_axis(cand, order, axis=1), np.take_along_axis(near, order, axis=1)
@@ -109,80 +164,110 @@ def robust_lists(x: np.ndarray) -> list[np.ndarray]:
             kept[rows[some], pick[some]] = True
             alive[rows, pick] = False
             alive &= ALPHA * (1 - among[rows, pick]) > 1 - near
-        for r, c in zip(*(v.tolist() for v in np.nonzero(kept))):
-            out[at + r].add(int(cand[r, c]))
-    for a in range(n):
-        for b in [b for b in out[a] if b > a or a not in out[b]]:
-            out[b].add(a)
-    return [np.array(sorted(s), np.int64) for s in out]
-
-
-def _build(shard: pa.Table) -> pa.Table:
-    names = np.array(shard["node"].to_pylist(), object)
-    lists = robust_lists(_unit(shard["vec"]))
-    return pa.table({"node": shard["node"], "near": pa.array([names[i].tolist() for i in lists], pa.list_(pa.string()))})
-
-
-def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, own: int, cosine: float) -> np.ndarray:
-    """Rows in range of row own: greedy from start, then expansion over what is in range."""
-    q = x[own]
-    seen = {start, own}
-    score = {start: float(x[start] @ q), own: 1.0}
-    beam = [(-score[start], start)]
-    best = [score[start]]
-    inside = [own] + ([start] if score[start] >= cosine and start != own else [])
-
-    def visit(node: int) -> list[tuple[float, int]]:
-        new = [i for i in lists[node].tolist() if i not in seen]
-        seen.update(new)
-        return list(zip((x[new] @ q).tolist(), new)) if new else []
-
-    while beam:
-        s, node = heapq.heappop(beam)
-        if -s < best[0] and len(best) >= BEAM:
-            break
-        for t, i in visit(node):
-            score[i] = t
-            if t >= cosine:
-                inside.append(i)
-            if len(best) < BEAM or t > best[0]:
-                heapq.heappush(beam, (-t, i))
-                heapq.heappush(best, t)
-                if len(best) > BEAM:
-                    heapq.heappop(best)
-    at = 0
-    while at < len(inside):
-        for t, i in visit(inside[at]):
-            if t >= cosine:
-                inside.append(i)
-        at += 1
-    return np.array([i for i in inside if i != own], np.int64)
-
-
-def _search(shard: pa.Table, cosine: float) -> pa.Table:
-    x, names = _unit(shard["vec"]), shard["node"].to_pylist()
-    place = {name: i for i, name in enumerate(names)}
-    lists = [np.array([place[v] for v in near if v in place], np.int64) for near in shard["near"].to_pylist()]
-    copies = shard["copies"].to_numpy()
-    medoid = int((x @ x.mean(0)).argmax())
-    root = list(range(len(x)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    rows: list[tuple] = []
-    for own in np.nonzero(shard["home"].to_numpy(zero_copy_only=False))[0].tolist():
-        found = range_search(x, lists, medoid, own, cosine)
-        rows.append((names[own], None, int(copies[found].sum() + copies[own] - 1), len(found)))
-        for i in found.tolist():
-            a, b = top(own), top(i)
-            if a != b:
-                root[b] = a
-                rows.append((names[own], names[i], None, None))
-    return _links(rows)
+        r, c = np.nonzero(kept)
+        heads.append(r + at)
+        tails.append(cand[r, c])
+    a, b = np.concatenate(heads), np.concatenate(tails)
+    code = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return code // n, code % n
+
+
+class Shard:
+    """A shard with its lists as compressed rows."""
+
+    def __init__(self, x: np.ndarray, heads: np.ndarray, tails: np.ndarray):
+        self.x, self.low = x, x.astype(np.float32)
+        self.first = np.searchsorted(heads, np.arange(len(x) + 1))
+        self.tails = tails
+
+    def _visit(self, q: np.ndarray, node: np.ndarray, own: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, neighbour of its node) not seen yet, with their cosines."""
+        n = self.first[node + 1] - self.first[node]
+        at = np.repeat(self.first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        q, near = np.repeat(q, n), self.tails[at]
+        new = ~seen[q, near]
+        code = np.unique(q[new] * len(self.x) + near[new])
+        q, near = code // len(self.x), code % len(self.x)
+        seen[q, near] = True
+        return q, near, np.einsum("ij,ij->i", self.low[own[q]], self.low[near])
+
+    def in_range(self, own: np.ndarray, medoid: int, cosine: float) -> np.ndarray:
+        """Which rows are in range of the rows ``own``, as (own, rows) booleans: a greedy walk
+        of all from the medoid in step, then expansion over what is in range."""
+        m = np.arange(len(own))
+        seen, inside = np.zeros((len(own), len(self.x)), bool), np.zeros((len(own), len(self.x)), bool)
+        seen[m, own] = True
+        walks, at = m, np.full(len(own), medoid)
+        seen[m, at] = True
+        best = np.einsum("ij,ij->i", self.low[own], self.low[at])
+        inside[m, at] |= best >= cosine - SLACK
+        while len(walks):
+            q, near, s = self._visit(walks, at[walks], own, seen)
+            inside[q, near] = s >= cosine - SLACK
+            before = best.copy()
+            np.maximum.at(best, q, s)
+            won = (s == best[q]) & (s > before[q])
+            at[q[won]] = near[won]
+            walks = np.unique(q[won])
+        q, node = np.nonzero(inside)
+        q, node = np.concatenate([m, q]), np.concatenate([own, node])
+        while len(q):
+            q, near, s = self._visit(q, node, own, seen)
+            hit = s >= cosine - SLACK
+            q, node = q[hit], near[hit]
+            inside[q, node] = True
+        inside[m, own] = False
+        q, node = np.nonzero(inside)
+        for i in range(0, len(q), 1 << 18):
+            a, b = q[i : i + (1 << 18)], node[i : i + (1 << 18)]
+            inside[a, b] = np.einsum("ij,ij->i", self.x[own[a]], self.x[b]) >= cosine
+        return inside
+
+
+class _Forest:
+    """Components of a cell's rows, grown by rows of a boolean matrix."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, own: np.ndarray, to: np.ndarray, hits: np.ndarray) -> None:
+        for i in np.nonzero(hits.any(1))[0].tolist():
+            met = np.unique(self.root[[own[i], *to[hits[i]]]])
+            if len(met) > 1:
+                self.root[np.isin(self.root, met)] = met[0]
+
+    def star(self, names: np.ndarray) -> list[tuple]:
+        """(name, least name of its component) of rows that are not the least themselves."""
+        order = np.argsort(names, kind="stable")
+        _, first, back = np.unique(self.root[order], return_index=True, return_inverse=True)
+        least = np.empty(len(names), object)
+        least[order] = names[order][first][back]
+        return [(a, b, None, None) for a, b in zip(names, least) if a != b]
+
+
+def _shared_before(group: pa.Table) -> list[np.ndarray]:
+    """Rows of the group that meet in an earlier cell, one array a cell: their links are
+    counted there."""
+    if "cells" not in group.column_names:
+        return []
+    here = group["cell"][0].as_py()
+    rows: dict[str, list[int]] = {}
+    for i, cells_ in enumerate(group["cells"].to_pylist()):
+        for c in cells_:
+            if c < here:
+                rows.setdefault(c, []).append(i)
+    return [np.array(v) for v in rows.values() if len(v) > 1]
+
+
+def _counted(hits: np.ndarray, own: np.ndarray, to: np.ndarray, before: list[np.ndarray], n: int) -> np.ndarray:
+    """hits without the pairs that an earlier cell counts."""
+    hits = hits.copy() if before else hits
+    left, right = np.full(n, -1), np.full(n, -1)
+    left[own], right[to] = np.arange(len(own)), np.arange(len(to))
+    for rows in before:
+        a, b = left[rows], right[rows]
+        hits[np.ix_(a[a >= 0], b[b >= 0])] = False
+    return hits
 
 
 def _links(rows: list[tuple]) -> pa.Table:
@@ -191,88 +276,122 @@ def _links(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("a", "b", "n_links", "n_nodes"), cols, kinds)})
 
 
-def search(classes: DataFrame, overlap: int, cosine: float, most: int = MOST, home: int = HOME) -> DataFrame:
-    """(a, null, n_links, n_nodes) for each node and (a, b, null, null) for each forest edge;
-    n_nodes counts other nodes, n_links their copies and the node's own further ones."""
-    shards = cells(classes, overlap, most, home)
-    built = shards.groupBy("cell").applyInArrow(_build, "node string, near array<string>")
-    united = stage(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "flat-lists")
-    members = shards.join(united, "node").join(classes.select("node", "copies"), "node")
-    return stage(members.groupBy("cell").applyInArrow(lambda t: _search(t, cosine), _LINKS), "flat-links")
-
-
-def _compare(pair: pa.Table, cosine: float) -> pa.Table:
-    """One pair of blocks, or a block with itself: counts of its nodes and a forest."""
-    x, names, copies = _unit(pair["vec"]), pair["node"].to_pylist(), pair["copies"].to_numpy()
-    block = pair["block"].to_numpy()
-    one = bool((block == block[0]).all()) and pair["lo"][0] == pair["hi"][0]
-    left = np.arange(len(x)) if one else np.nonzero(block == pair["lo"][0].as_py())[0]
-    right = left if one else np.nonzero(block != pair["lo"][0].as_py())[0]
-    links, nodes = (copies - 1 if one else np.zeros(len(x), np.int64)), np.zeros(len(x), np.int64)
-    root, rows = np.arange(len(x)), []
-    for at in range(0, len(left), 512):
-        own = left[at : at + 512]
-        hit = (x[own] @ x[right].T >= cosine) & (own[:, None] != right[None, :])
-        links[own] += hit @ copies[right]
-        nodes[own] += hit.sum(1)
+def _build(shard: pa.Table, kind: str) -> pa.Table:
+    names = np.array(shard["node"].to_pylist(), object)
+    heads, tails = robust_edges(_unit(shard["vec"], kind))
+    stops = np.searchsorted(heads, np.arange(len(names) + 1)).tolist()
+    near = [names[tails[a:b]].tolist() for a, b in zip(stops, stops[1:])]
+    return pa.table({n: shard[n] for n in ("cell", "node", "vec", "copies")} | {"near": pa.array(near, pa.list_(pa.string()))})
+
+
+def _searched(group: pa.Table, x: np.ndarray, heads: np.ndarray, tails: np.ndarray, cosine: float) -> pa.Table:
+    names, copies = np.array(group["node"].to_pylist(), object), group["copies"].to_numpy()
+    shard, forest, every = Shard(x, heads, tails), _Forest(len(x)), np.arange(len(x))
+    medoid, before = int((x @ x.mean(0)).argmax()), _shared_before(group)
+    links, nodes = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for at in range(0, len(x), STEP_ROWS):
+        own = every[at : at + STEP_ROWS]
+        hits = shard.in_range(own, medoid, cosine)
+        forest.join(own, every, hits)
+        hits = _counted(hits, own, every, before, len(x))
+        links[own], nodes[own] = hits @ copies, hits.sum(1)
+    return _links([*((n, None, k, m) for n, k, m in zip(names, links.tolist(), nodes.tolist())), *forest.star(names)])
+
+
+def _build_and_search(shard: pa.Table, cosine: float, kind: str) -> pa.Table:
+    """A shard that shares no node with another: its lists are united already."""
+    x = _unit(shard["vec"], kind)
+    return _searched(shard, x, *robust_edges(x), cosine)
+
+
+def _search(shard: pa.Table, cosine: float, kind: str) -> pa.Table:
+    place = {name: i for i, name in enumerate(shard["node"].to_pylist())}
+    lists = [np.array(sorted({place[v] for v in near if v in place}), np.int64) for near in shard["near"].to_pylist()]
+    heads = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+    return _searched(shard, _unit(shard["vec"], kind), heads, np.concatenate(lists), cosine)
+
+
+def _compare(pair: pa.Table, cosine: float, kind: str) -> pa.Table:
+    """One pair of blocks, or a block with itself: counts of its nodes and stars."""
+    x, names, copies = _unit(pair["vec"], kind), np.array(pair["node"].to_pylist(), object), pair["copies"].to_numpy()
+    block, low = pair["block"].to_numpy(), pair["lo"][0].as_py()
+    one = low == pair["hi"][0].as_py()
+    left = np.arange(len(x)) if one else np.nonzero(block == low)[0]
+    right = left if one else np.nonzero(block != low)[0]
+    links, nodes, forest, before = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), _Forest(len(x)), _shared_before(pair)
+    for at in range(0, len(left), STEP_ROWS):
+        own = left[at : at + STEP_ROWS]
+        hits = (x[own] @ x[right].T >= cosine) & (own[:, None] != right[None, :])
+        forest.join(own, right, hits)
+        hits = _counted(hits, own, right, before, len(x))
+        links[own] += hits @ copies[right]
+        nodes[own] += hits.sum(1)
         if not one:
-            links[right] += copies[own] @ hit
-            nodes[right] += hit.sum(0)
-        for i, near in zip(own.tolist(), hit):
-            others = right[near]
-            for r, first in zip(*np.unique(root[others], return_index=True)):
-                if r != root[i]:
-                    root[root == r] = root[i]
-                    rows.append((names[i], names[others[first]], None, None))
-    return _links([*((n, None, int(k), int(m)) for n, k, m in zip(names, links, nodes)), *rows])
-
-
-def exact(classes: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
-    """The table of ``search`` by comparison of all nodes of a label and length. A node goes
-    to as many tasks as its label has blocks, so work and rows sent are quadratic."""
-    rows = classes.select("node", "vec", "copies", "label", F.size("vec").alias("size"))
-    blocks = rows.groupBy("label", "size").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    dealt = rows.join(blocks, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64(F.lit("exact"), "node"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = dealt.select("node", "vec", "copies", "label", "size", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    got = stage(pairs.groupBy("label", "size", "lo", "hi").applyInArrow(lambda t: _compare(t, cosine), _LINKS), "flat-pairs")
-    counts = got.where("b is null").groupBy("a").agg(F.sum("n_links").alias("n_links"), F.sum("n_nodes").alias("n_nodes"))
-    return stage(counts.select("a", F.lit(None).cast("string").alias("b"), "n_links", "n_nodes").unionByName(got.where("b is not null")), "flat-links")
+            links[right] += copies[own] @ hits
+            nodes[right] += hits.sum(0)
+    return _links([*((n, None, k, m) for n, k, m in zip(names, links.tolist(), nodes.tolist())), *forest.star(names)])
 
 
-def audit(classes: DataFrame, found: DataFrame, cosine: float, sample: int = AUDIT) -> float:
+def exact(members: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> DataFrame:
+    """Counts and stars by comparison of all nodes of a cell. A node goes to as many tasks as
+    its cell has blocks, so work and rows sent are quadratic."""
+    blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = members.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64(F.lit("exact"), "node"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
+    return pairs.groupBy("cell", "lo", "hi").applyInArrow(lambda t: _compare(t, cosine, kind), _LINKS)
+
+
+def search(classes: DataFrame, overlap: int, cosine: float, kind: str, most: int = MOST, home: int = HOME) -> DataFrame:
+    """(a, null, n_links, n_nodes) for each node of a cell, to be summed, and (a, b, null, null)
+    for each edge of a star; n_nodes counts other nodes, n_links their copies."""
+    members, split = cells(classes, overlap, kind, most, home)
+    members = members.select("node", "vec", "copies", "cell", "dense")
+    if not split:
+        return stage(members.drop("dense").groupBy("cell").applyInArrow(lambda t: _build_and_search(t, cosine, kind), _LINKS), "flat-links")
+    built = stage(members.where("not dense").drop("dense").groupBy("cell").applyInArrow(lambda t: _build(t, kind), _GRAPH), "flat-graph")
+    every = members.groupBy("node").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    shards = built.drop("near").join(united, "node").join(every, "node")
+    found = shards.groupBy("cell").applyInArrow(lambda t: _search(t, cosine, kind), _LINKS)
+    dense = exact(members.where("dense").drop("dense").join(every, "node"), cosine, kind)
+    return stage(found.unionByName(dense), "flat-links")
+
+
+def audit(classes: DataFrame, found: DataFrame, cosine: float, kind: str = "<f4", sample: int = AUDIT) -> float:
     """Recall of links between different nodes, averaged per node: the lesser of small and
     large groups. Sampled nodes are compared with all rows in blocks. Nodes found with no, few
     and many links are drawn apart and weigh as many as they stand for; the sample is bounded,
-    so it is broadcast."""
-    counts = found.where("b is null").select(F.col("a").alias("node"), "n_nodes")
-    order = F.xxhash64(F.lit("audit"), "node")
-    known = classes.join(counts, "node").withColumn("kind", F.when(F.col("n_nodes") == 0, 0).when(F.col("n_nodes") < LARGE, 1).otherwise(2))
+    so it is sent with the task."""
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_nodes").alias("n_nodes"))
+    known = stage(classes.select("node").join(counts, "node").select("node", "n_nodes", F.when(F.col("n_nodes") == 0, 0).when(F.col("n_nodes") < LARGE, 1).otherwise(2).alias("kind")), "flat-known")
     total = {r.kind: r.n for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    drawn = [r for kind in sorted(total) for r in known.where(F.col("kind") == kind).orderBy(order).limit(-(-sample // 3)).collect()]
-    if not drawn:
+    if not total:
         return 1.0
-    asked = [(r.label, np.array(r.vec, np.float64)) for r in drawn]
+    share = F.create_map(*[F.lit(v) for k, n in total.items() for v in (k, sample / n)])
+    place = F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.where(place < F.element_at(share, F.col("kind"))).join(classes.select("node", "label", "vec"), "node").limit(6 * sample).collect()
+    each = -(-sample // 3)
+    drawn = [r for k in sorted(total) for r in sorted((r for r in drawn if r.kind == k), key=lambda r: r.node)[:each]]
+    asked: dict[int, list[int]] = {}
+    for j, r in enumerate(drawn):
+        asked.setdefault(len(r.vec), []).append(j)
+    queries = {size: (_unit(pa.array([drawn[j].vec for j in js], pa.binary()), kind), np.array([drawn[j].label for j in js], object)) for size, js in asked.items()}
 
     def block(batches):
-        hits = np.zeros(len(asked), np.int64)
+        hits = np.zeros(len(drawn), np.int64)
         for batch in batches:
-            labels = np.array(batch.column(1).to_pylist(), object)
-            by_size: dict[int, list[int]] = {}
-            vecs = batch.column(0).to_pylist()
-            for i, v in enumerate(vecs):
-                by_size.setdefault(len(v), []).append(i)
-            for size, rows in by_size.items():
-                x = np.array([vecs[i] for i in rows], np.float64)
-                x /= np.sqrt((x * x).sum(1))[:, None]
-                for j, (label, q) in enumerate(asked):
-                    if len(q) == size:
-                        hit = (x @ (q / np.sqrt(q @ q)) >= cosine) & (labels[rows] == label)
-                        hits[j] += hit.sum()
-        yield pa.record_batch({"j": pa.array(range(len(asked)), pa.int32()), "n": pa.array(hits)})
+            sizes = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for size, (q, labels) in queries.items():
+                rows = batch.filter(pa.array(sizes == size))
+                for at in range(0, rows.num_rows, 2048):
+                    part = rows.slice(at, 2048)
+                    hit = (q @ _unit(part.column(0), kind).T >= cosine) & (labels[:, None] == np.array(part.column(1).to_pylist(), object)[None, :])
+                    hits[asked[size]] += hit.sum(1)
+        yield pa.record_batch({"j": pa.array(range(len(drawn)), pa.int32()), "n": pa.array(hits)})
 
     true = {r.j: r.n for r in classes.select("vec", "label").mapInArrow(block, "j int, n long").groupBy("j").agg(F.sum("n").alias("n")).collect()}
-    drawn_of = {kind: sum(r.kind == kind for r in drawn) for kind in total}
+    drawn_of = {k: sum(r.kind == k for r in drawn) for k in total}
     recalls = []
     for large in (False, True):
         part = [(total[r.kind] / drawn_of[r.kind], min(1.0, r.n_nodes / (true[j] - 1))) for j, r in enumerate(drawn) if true[j] > 1 and (true[j] > LARGE) == large]
@@ -282,27 +401,30 @@ def audit(classes: DataFrame, found: DataFrame, cosine: float, sample: int = AUD
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, most: int = MOST, home: int = HOME) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label)."""
-    finite = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(False))
-    sound = finite & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("label").isNotNull()
-    vec = F.col("embedding").cast("array<float>")
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.when(sound, vec).alias("vec"))
-    rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.md5(F.concat(F.col("label"), F.lit(":"), F.col("vec").cast("string")))))
+    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
+    Components of vectors in double precision are compared as such."""
+    kind, key = _kind(vectors), vectors.schema["vec_id"].dataType
+    plain = vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding")
+    schema = T.StructType([T.StructField("vec_id", key), *T._parse_datatype_string("label string, node string, vec binary").fields])
+    rows = stage(plain.mapInArrow(lambda b: _read(b, kind), schema), "flat-rows")
     classes = stage(rows.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least")), "flat-classes")
     while True:
-        found = search(classes, overlap, cosine, most, home)
-        recall = audit(classes, found, cosine)
-        if recall >= RECALL:
+        found = search(classes, overlap, cosine, kind, most, home)
+        if audit(classes, found, cosine, kind) >= RECALL:
             break
         if overlap >= FANOUT // 2:
-            found = exact(classes, cosine)
+            whole = classes.select("node", "vec", "copies", F.concat_ws(":", "label", F.octet_length("vec")).alias("cell"))
+            found = stage(exact(whole, cosine, kind), "flat-links")
             break
         overlap *= 2
-    roots = components(found.where("b is not null").select("a", "b"))
-    placed = cut(classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    named = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    counts = found.where("b is null").select(F.col("a").alias("node"), "n_links")
-    known = cut(placed.join(named, "root").join(counts, "node").select("node", "n_links", "component_id"))
+    roots = components(found.where("b is not null").select("a", "b")).groupBy("node").agg(F.min("root").alias("root"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links"))
+    placed = stage(
+        classes.select("node", "least", (F.col("copies") - 1).alias("own")).join(roots, "node", "left").join(counts, "node", "left")
+        .select("node", "least", F.coalesce("root", "node").alias("root"), (F.col("own") + F.coalesce("n_links", F.lit(0))).alias("n_links")), "flat-placed",
+    )
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = placed.join(named, "root").select("node", "n_links", "component_id")
     out = rows.select("vec_id", "node").join(known, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

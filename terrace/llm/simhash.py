@@ -2,12 +2,14 @@
 
 Fingerprints of 64 bits that differ in at most ``max_bits`` = 2 bits differ in at most 2 of
 their 8 bytes, so they share at least 6 positional bytes, and of the four byte pairs at
-least 2 whole pairs. Postings are therefore keyed by two byte pairs, each with its place:
-every pair that reaches the minimum meets under one of the 6 keys, and fingerprints that
-share a single frequent byte never do. Inside a posting the shared positional bytes of each
-pair are tallied, pairs below 6 go, and the bit distance is verified.
-
-A posting with more than ``max_posting`` fingerprints isn't expanded into pairs. Its members
+least 2 whole pairs. The lists of single positional bytes are too long to pair up (1 of 256
+fingerprints each at best), so the index is kept inside 6 frames: two of the four byte pairs,
+with their values. Every pair that reaches the minimum meets in a frame, and what
+meets there shares its 4 bytes. Inside a frame each fingerprint is listed under each of its 4
+other positional bytes; pairs that meet in a list are tallied, those with fewer than 2 (with
+the frame's, 6) go, and the bit distance of the rest is verified.
+
+A frame with more than ``max_posting`` fingerprints isn't expanded into pairs. Its members
 agree in 4 bytes, so linked ones differ in 2 of 32 bits at most and share a middle point at
 one bit from each (or one is the other's): joining every member to its 33 middle points
 keeps exactly the same components with a number of edges that grows with the members.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import components, cut, release, stage, table
+from terrace.llm.common import components, release, stage, table
 
 MAX_BITS = 2
 MIN_SHARED_BYTES = 8 - MAX_BITS
@@ -36,7 +38,7 @@ SHINGLE_WORDS = 3
 SEED = 42
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _PLAIN_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: The 6 keys: shifts of two byte pairs.
+#: The 6 frames: shifts of two byte pairs.
 _KEYS = list(combinations((0, 16, 32, 48), 2))
 
 
@@ -74,10 +76,18 @@ def _key(a: int, b: int):
     return F.struct(F.lit(a * 64 + b).alias("place"), half(a).cast("int").alias("x"), half(b).cast("int").alias("y"))
 
 
-def shared_bytes(a: str, b: str):
-    """Number of equal bytes in equal places of two longs."""
-    other = F.col(a).bitwiseXOR(F.col(b))
-    return sum((F.shiftrightunsigned(other, s).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for s in range(0, 64, 8))
+#: Shifts of the 4 bytes outside each frame.
+_OTHERS = ", ".join(f"{a * 64 + b}, array({', '.join(str(s) for s in range(0, 64, 8) if s - s % 16 not in (a, b))})" for a, b in _KEYS)
+
+
+def tallied(framed: DataFrame) -> DataFrame:
+    """(a, b) with a < b: pairs of framed (fp, place, x, y) that share a frame and at least
+    ``MIN_SHARED_BYTES`` positional bytes, by counting the lists in which they meet."""
+    frame = ["place", "x", "y"]
+    listed = framed.select("fp", *frame, F.explode(F.expr(f"transform(element_at(map({_OTHERS}), place), s -> struct(s AS pos, shiftrightunsigned(fp, s) & 255 AS byte))")).alias("e")).select("fp", *frame, "e.pos", "e.byte")
+    left, right = listed.withColumnRenamed("fp", "a"), listed.withColumnRenamed("fp", "b")
+    met = left.join(right, [*frame, "pos", "byte"]).where("a < b")
+    return met.groupBy("place", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED_BYTES - 4).select("a", "b").distinct()
 
 
 def links(fps: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
@@ -87,9 +97,7 @@ def links(fps: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
     sizes = postings.groupBy("place", "x", "y").agg(F.count("*").alias("n")).where("n > 1")
     filled = stage(postings.join(sizes, ["place", "x", "y"]), "simhash-postings")
     small = filled.where(F.col("n") <= max_posting)
-    left, right = small.select("place", "x", "y", F.col("fp").alias("a")), small.select("place", "x", "y", F.col("fp").alias("b"))
-    pairs = left.join(right, ["place", "x", "y"]).where("a < b").where(shared_bytes("a", "b") >= MIN_SHARED_BYTES)
-    pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+    pairs = tallied(small).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     # bits outside the two byte pairs of the key, as single-bit masks
     free = F.create_map(*[x for a, b in _KEYS for x in (F.lit(a * 64 + b), F.array(*[F.lit(_signed(1 << (s + i))) for s in (0, 16, 32, 48) if s not in (a, b) for i in range(16)]))])
     large = filled.where(F.col("n") > max_posting)
@@ -116,9 +124,9 @@ def near_duplicates(docs: DataFrame, max_posting: int = MAX_POSTING) -> DataFram
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     edges = links(nodes.select("fp"), max_posting)
     roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = cut(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    ids = cut(rooted.join(named, "root").select("fp", "component_id"))
+    rooted = stage(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

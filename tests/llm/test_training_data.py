@@ -357,37 +357,74 @@ def test_network_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-8)
 
 
+def near(data):
+    """Links and least reachable vec_id of (vec_id, vector, label) by brute force."""
+    unit = np.array([v for _, v, _ in data], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    label = np.array([k for _, _, k in data])
+    hits = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    reach = hits.copy()
+    for _ in range(10):
+        reach = reach @ reach
+    ids = np.array([i for i, _, _ in data])
+    return dict(zip(ids.tolist(), (hits.sum(1) - 1).tolist())), {i: int(ids[row].min()) for i, row in zip(ids.tolist(), reach)}
+
+
+EMBEDDED = "vec_id long, embedding array<float>, label int, node string, copies long"
+
+
 @pytest.mark.parametrize("most", [8192, 60])
 def test_embeddings_links(spark, most):
     dice = np.random.default_rng(7)
     base = dice.normal(size=(12, 16))
     x = np.concatenate([dice.normal(size=(120, 16)), np.repeat(base, 9, axis=0) + dice.normal(size=(108, 16)) * 0.05]).astype(np.float32)
-    data = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
-    data += [(500, x[130].tolist(), 0), (501, None, 0), (502, [0.0] * 16, 0), (503, [float("nan")] * 16, 0), (504, x[5].tolist(), None), (505, [], 1), (506, [None] * 16, 1), (507, [1.0, 2.0], 1)]
-    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
-    got = embeddings.near_duplicates(table, most=most, home=30).toPandas().set_index("vec_id")
-    sound = [(i, np.array(v, float) / np.linalg.norm(v), k) for i, v, k in data if k is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    links = {i: [j for j, w, m in sound if j != i and m == k and v @ w >= 0.93] for i, v, k in sound}
-    assert len(got) == len(data)
-    assert got.n_links.sum() >= 0.9 * sum(map(len, links.values())) and all(got.n_links[i] <= len(links.get(i, [])) for i in got.index)
-    if most > len(data):
-        root = {i: i for i in got.index}
-        for i, js in links.items():
-            for j in js:
-                a, b = root[i], root[j]
-                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
-        assert all(got.component_id[i] == root[i] and got.kept[i] == (root[i] == i) for i in got.index)
-    empty = embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))
+    sound = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)] + [(500, x[130].tolist(), 0)]
+    bad = [(501, None, 0), (502, [0.0] * 16, 0), (503, [float("nan")] * 16, 0), (504, x[5].tolist(), None), (505, [], 1), (506, [None] * 16, 1), (507, [1.0, 2.0], 1), (508, [1e30] * 16, 1)]
+    rows_ = spark.createDataFrame([(*r, "n", 1) for r in sound + bad], EMBEDDED)
+    got = embeddings.near_duplicates(rows_, most=most, home=30).toPandas().set_index("vec_id")
+    links, least = near(sound + bad[-1:])
+    assert len(got) == len(sound) + len(bad) and list(got.columns) == ["n_links", "component_id", "kept"]
+    assert sum(got.n_links[i] for i in links) >= 0.97 * sum(links.values()) and all(got.n_links[i] <= n for i, n in links.items())
+    if most > len(sound):
+        assert all(got.n_links[i] == links[i] and got.component_id[i] == least[i] and got.kept[i] == (least[i] == i) for i in links)
+    assert all(got.n_links[i] == 0 and got.component_id[i] == i and got.kept[i] for i, _, _ in bad[:-1])
+    empty = embeddings.near_duplicates(spark.createDataFrame([], EMBEDDED))
     assert empty.count() == 0
 
 
+def test_embeddings_dense_group_larger_than_a_shard(spark):
+    dice = np.random.default_rng(11)
+    group = dice.normal(size=64) + dice.normal(size=(400, 64)) * 0.1
+    data = [(i, v.tolist(), 3) for i, v in enumerate(np.concatenate([group, dice.normal(size=(500, 64))]))]
+    links, least = near(data)
+    assert sum(links.values()) == 400 * 399
+    rows_ = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = embeddings.near_duplicates(rows_, most=150, home=40).toPandas().set_index("vec_id")
+    assert all(got.n_links[i] == n and got.component_id[i] == least[i] for i, n in links.items())
+    classes = rows_.select(F.col("vec_id").cast("string").alias("node"), F.lit("3").alias("label"), F.lit(1).cast("long").alias("copies"), "embedding")
+    packed = spark.createDataFrame([(r.node, r.label, np.array(r.embedding).tobytes(), 1) for r in classes.collect()], "node string, label string, vec binary, copies long")
+    members, split = embeddings.cells(packed, 3, "<f8", 150, 40)
+    per = members.groupBy("node").count().toPandas()
+    assert split and len(per) == 900 and per["count"].max() <= 1 + 2 * embeddings.LEVELS
+    assert members.where("home").count() == 900
+
+
+def test_embeddings_doubles_are_not_narrowed(spark):
+    a = np.zeros(16)
+    a[0] = 1.0
+    close = lambda c: [c, (1 - c * c) ** 0.5, *[0.0] * 14]
+    data = [(1, a.tolist(), 0), (2, close(0.93 + 1e-9), 0), (3, close(-0.93 - 1e-9), 1), (4, (-a).tolist(), 1), (5, a.tolist(), 2), (6, close(0.93 - 1e-9), 2)]
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id")
+    assert got.n_links.to_dict() == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
+
+
 def test_embeddings_audit_counts_nodes(spark):
     dice = np.random.default_rng(2)
     x = [dice.normal(size=16) for _ in range(61)]
     x += [v + dice.normal(size=16) * 0.01 for v in x[:60]]
-    data = [(str(i), "0", v.astype(np.float32).tolist(), 5000 if i == 60 else 1) for i, v in enumerate(x)]
-    classes = spark.createDataFrame(data, "node string, label string, vec array<float>, copies long")
-    found = lambda n: spark.createDataFrame([(i, None, k - 1 + n * (i != "60"), n * (i != "60")) for i, _, _, k in data], "a string, b string, n_links long, n_nodes long")
+    data = [(str(i), "0", v.astype(np.float32).tobytes(), 5000 if i == 60 else 1) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(data, "node string, label string, vec binary, copies long")
+    found = lambda n: spark.createDataFrame([(i, None, n * (i != "60"), n * (i != "60")) for i, _, _, k in data], "a string, b string, n_links long, n_nodes long")
     assert embeddings.audit(classes, found(0), 0.93) == 0 and embeddings.audit(classes, found(1), 0.93) == 1
 
 
@@ -396,18 +433,11 @@ def test_embeddings_compared_exactly(spark, monkeypatch):
     x = np.concatenate([dice.normal(size=(60, 16)), dice.normal(size=16) + dice.normal(size=(150, 16)) * 0.15])
     data = [(i, v.astype(np.float32).tolist(), int(i % 2)) for i, v in enumerate(x)]
     data += [(900, data[100][1], 0), (901, data[100][1], 0)]
-    unit = np.array([v for _, v, _ in data], float)
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    label = np.array([k for _, _, k in data])
-    near = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    links, least = near(data)
     monkeypatch.setattr(embeddings, "audit", lambda *_: 0.0)
     monkeypatch.setattr(embeddings.exact, "__defaults__", (40,))
     got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), overlap=32, most=80, home=10).toPandas().set_index("vec_id")
-    assert [got.n_links[i] for i, _, _ in data] == (near.sum(1) - 1).tolist()
-    reach = near.copy()
-    for _ in range(8):
-        reach = reach @ reach
-    assert [got.component_id[i] for i, _, _ in data] == [data[row.argmax()][0] for row in reach]
+    assert all(got.n_links[i] == n and got.component_id[i] == least[i] for i, n in links.items())
 
 
 def test_pipeline_stages(spark, docs):
