@@ -16,6 +16,7 @@ OWN_DIR = "/tmp/checkpoints"
 SLICE_ROWS = 2000
 #: Separators of the word definition that the contracts share.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,8 +99,10 @@ def release() -> None:
 def append(df: DataFrame, compute, fields: str, column: str = "text") -> DataFrame:
     """df with the columns of ``fields`` after its own. compute takes a list of values of
     ``column`` and returns one sequence for each field; it runs on Arrow batches in slices
-    of bounded size, and df's own columns pass through as they are."""
+    of bounded size. df's own columns pass through as they are, but for those that have a
+    new field's name, which are replaced; ``column`` itself can't be."""
     added = T._parse_datatype_string(fields)
+    df = df.drop(*added.names)
     at = df.columns.index(column)
 
     def run(batches):

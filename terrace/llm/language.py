@@ -4,11 +4,12 @@ For each language the suffix automaton of labelled text gives, for any text, the
 parse into longest substrings of that labelled text: the fewer phrases a symbol, the closer
 the language. The language with the lowest rate wins, ties by code point.
 
-The labelled text is a bounded sample: documents in hash order until ``LEARN_SYMBOLS``
-symbols of a language are reached. Texts are reduced to lower-case letters and single
+The labelled text is a bounded sample: of ``LEARN_DOCS`` documents of a language in hash order
+a stretch each, from anywhere in it, until ``LEARN_SYMBOLS`` symbols are reached, for the
+``LEARN_LANGS`` most frequent languages. Texts are reduced to lower-case letters and single
 separators. Since the greedy parse starts anew at the root after each phrase, the automaton
-becomes one table, and many texts are parsed in step with numpy; whole texts are parsed, long
-ones in pieces of ``PIECE`` symbols whose phrases add up.
+becomes one table. Whole texts are parsed: many in step with numpy and, where fewer than
+``IN_STEP`` are still left, each of these alone from the state it has reached.
 
 A null text, or one without a letter, is ``und`` with score 0, as is every text where nothing
 was learned. The score is 1 - lowest / second lowest rate (one language: 1). Repeated rows
@@ -18,14 +19,17 @@ score alike; extra columns are kept by ``identify``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import append, held, table
 
 LEARN_SYMBOLS = 30_000
-LEARN_DOCS = 64
-PIECE = 2048
+LEARN_DOCS, LEARN_LANGS = 64, 500
+#: Symbols that a document gives at least, where it has them.
+STRETCH = 1000
+#: Texts from which a step of numpy is cheaper than steps of each text.
+IN_STEP = 40
 #: Letters with a code of their own, most frequent first; others share one.
 LETTERS = 61
 UNKNOWN = "und"
@@ -109,24 +113,32 @@ class Model:
         """Phrases a symbol, (texts, languages); NaN without a letter."""
         coded = [self.codes(t) for t in texts]
         letters = np.array([bool((c != _GAP).any()) for c in coded], bool)
-        pieces = [(i, c[a : a + PIECE]) for i, c in enumerate(coded) if letters[i] for a in range(0, len(c), PIECE)]
-        pieces.sort(key=lambda p: -len(p[1]))
+        order = sorted(np.nonzero(letters)[0].tolist(), key=lambda i: -len(coded[i]))
         phrases = np.zeros((len(texts), len(self.langs)))
-        owner = np.array([p[0] for p in pieces], np.int64)
-        sizes = np.array([len(p[1]) for p in pieces], np.int64)
-        if len(pieces):
-            grid = np.zeros((len(pieces), int(sizes[0])), np.uint8)
-            for row, (_, c) in zip(grid, pieces):
-                row[: len(c)] = c
+        if order:
+            sizes = np.array([len(coded[i]) for i in order])
+            together = int(sizes[IN_STEP - 1]) if len(order) >= IN_STEP else 0
+            grid = np.zeros((len(order), together), np.uint8)
+            for row, i in zip(grid, order):
+                row[: min(together, len(coded[i]))] = coded[i][:together]
             grid = np.ascontiguousarray(grid.T)
-            active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
-            for k, moves in enumerate(self.tables):
-                state, count = np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int64)
-                for symbols, a in zip(grid, active.tolist()):
-                    step = moves[state[:a] + symbols[:a]]
-                    count[:a] += step & 1
-                    state[:a] = step >> 1
-                np.add.at(phrases[:, k], owner, count)
+            active = np.searchsorted(-sizes, -np.arange(1, together + 1), side="right").tolist()
+            longer = [(k, coded[i][together:].tolist()) for k, i in enumerate(order[:IN_STEP]) if len(coded[i]) > together]
+            for lang, moves in enumerate(self.tables):
+                state, count = np.zeros(len(order), np.int32), np.ones(len(order), np.int64)
+                for symbols, n in zip(grid, active):
+                    step = moves[state[:n] + symbols[:n]]
+                    count[:n] += step & 1
+                    state[:n] = step >> 1
+                table = moves.tolist() if longer else []
+                for k, rest in longer:
+                    at, ended = int(state[k]), 0
+                    for c in rest:
+                        at = table[at + c]
+                        ended += at & 1
+                        at >>= 1
+                    count[k] += ended
+                phrases[order, lang] = count
         total = np.array([max(1, len(c)) for c in coded])
         return np.where(letters[:, None], phrases / total[:, None], np.nan)
 
@@ -148,18 +160,22 @@ def model_of(learned: dict[str, str]) -> Model:
     return held("language", hash(tuple(sorted(learned.items()))), lambda: Model(learned))
 
 
-def learn(labelled: DataFrame, symbols: int = LEARN_SYMBOLS, docs: int = LEARN_DOCS) -> dict[str, str]:
-    """Text of each language from labelled (doc_id, text, lang): whole documents in hash
-    order, about ``docs`` at most for each, cut at ``symbols`` characters together."""
+def learn(labelled: DataFrame, symbols: int = LEARN_SYMBOLS, docs: int = LEARN_DOCS, langs: int = LEARN_LANGS) -> dict[str, str]:
+    """Text of each language from labelled (doc_id, text, lang), for the ``langs`` most
+    frequent ones: a stretch of each of ``docs`` documents in hash order, ``symbols``
+    characters together. What reaches the driver is bounded by these."""
     rows = labelled.where("lang is not null and text is not null")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     if not per:
         return {}
-    place = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
-    wanted = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * docs / n)))])
-    drawn = rows.select("lang", "text", place.alias("p")).where(F.col("p") < F.element_at(wanted, F.col("lang"))).limit(4 * docs * len(per))
+    h = F.xxhash64(F.lit("language"), "doc_id", "text")
+    wanted = F.try_element_at(F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * docs / n)))]), F.col("lang"))
+    share = F.try_element_at(F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(max(STRETCH, symbols // min(n, docs))))]), F.col("lang"))
+    start = F.pmod(F.xxhash64(F.lit("stretch"), h), F.greatest(F.lit(1), F.length("text") - share + 1)) + 1
+    drawn = rows.select("lang", h.alias("h"), F.substring(F.col("text"), start.cast("int"), share).alias("text")).where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < wanted)
+    placed = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= docs)
     out: dict[str, str] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.p, r.text)):
+    for r in sorted(placed.collect(), key=lambda r: (r.lang, r.k)):
         out[r.lang] = out.get(r.lang, "") + (r.text + "\n")[: max(0, symbols - len(out.get(r.lang, "")))]
     return out
 

@@ -8,9 +8,10 @@ its chunk digests in order.
 Which digests belong to more than one row is found by a grouped count and a semi-join of
 digests alone; no payload moves for it. Media without such a digest keep their chunks
 together in ``packs``, written where they were read. All others give their chunks to
-``chunks``, one row a digest. The writer tells both kinds apart by a bit set of fixed size
-over hashed media ids (``FILTER_BITS``): a false hit sends a medium to ``chunks``, which is
-right as well. Reading back joins recipes with chunks by digest and verifies the text's hash.
+``chunks``, one row a digest. The writer tells both kinds apart by a bit set over hashed media
+ids, of ``BITS_A_MEDIUM`` bits for each one that shares, up to ``MOST_BITS`` (64 MB, the most
+that is broadcast). A false hit sends a medium to ``chunks``, which is right as well; beyond
+some hundred million sharing media ever more go there, at the cost of a shuffle. Reading back joins recipes with chunks by digest and verifies the text's hash.
 
 Null texts are empty ones: 64 bytes 0. Equal texts are one medium; null and repeated doc_ids
 are kept as rows; an empty table gives an empty result; other columns are ignored.
@@ -32,7 +33,7 @@ from terrace.llm.common import SLICE_ROWS, stage, table
 
 PAD = 64
 CUT_BITS, LEAST, MOST = 10, 256, 8192
-FILTER_BITS = 1 << 23
+BITS_A_MEDIUM, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
 MAGIC = b"TCM1"
 #: Gear values of the 256 bytes, by rule.
 GEAR = np.array([struct.unpack("<I", hashlib.sha256(b"gear %d" % b).digest()[:4])[0] for b in range(256)], np.uint32)
@@ -92,12 +93,12 @@ _CHUNK = pa.schema([("digest", pa.binary()), ("data", pa.binary())])
 
 def _stored(batches: Iterable[pa.RecordBatch], bits: bytes, alone: bool) -> Iterator[pa.RecordBatch]:
     """Packs of media outside the bit set, or chunks of those inside."""
-    held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").view(bool)
+    held = np.frombuffer(bits, np.uint8)
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             part = batch.slice(at, SLICE_ROWS)
             media, texts, places = part.column(0), part.column(1), part.column(2).to_numpy()
-            rows = np.nonzero(held[places] != alone)[0].tolist()
+            rows = np.nonzero((held[places >> 3] >> (places & 7) & 1).astype(bool) != alone)[0].tolist()
             cut = ((media[i].as_py(), *payload_of(texts[i].as_py())) for i in rows)
             if alone:
                 found = []
@@ -185,11 +186,12 @@ def store(docs: DataFrame) -> MediaStore:
     rows = stage(named.mapInArrow(_recipes, "doc_id long, media binary, n_bytes long, digests array<binary>"), "media-recipes")
     each = rows.select("media", F.explode(F.array_distinct("digests")).alias("digest"))
     shared = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    place = F.pmod(F.xxhash64("media"), F.lit(FILTER_BITS))
-    hit = each.join(shared, "digest", "left_semi").select((place + 1).alias("p"))
-    maps = hit.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    hit = stage(each.join(shared, "digest", "left_semi").select("media").distinct(), "media-sharing")
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_MEDIUM * hit.count()).bit_length()))
+    place = F.pmod(F.xxhash64("media"), F.lit(size))
+    maps = hit.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     by_bucket = {r.k: bytes(r.bits) for r in maps}
-    bits = b"".join(by_bucket.get(k, bytes(4096)) for k in range(1, FILTER_BITS // 32768 + 1))
+    bits = b"".join(by_bucket.get(k, bytes(4096)) for k in range(1, size // 32768 + 1))
     held = docs.sparkSession.sparkContext.broadcast(bits)
     source = named.select("media", "text", place.alias("place"))
     packs = stage(source.mapInArrow(lambda b: _stored(b, held.value, True), "media binary, n_bytes long, parts array<struct<pos: int, digest: binary, data: binary>>"), "media-packs")

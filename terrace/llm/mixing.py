@@ -4,8 +4,10 @@ Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share 150
 words; no target passes twice its source's words, the excess goes to the others by weight.
 A source's documents, in seeded order, form one stream of words cut into blocks of
 ``block_words``. Seats, one for each block of the mix, go to the highest quotients
-target / (2 j - 1); a source with q seats and n blocks takes its whole stream q div n times
-and the first q mod n blocks of the seeded stream once more.
+target / (2 j - 1), and runs of consecutive seats are the shards; a source with q seats and n
+blocks walks its seeded stream of blocks round and round, q blocks in all: its quota of the
+first shard, then of the second, and so on. So it takes its whole stream q div n times and the
+first q mod n blocks once more, and a document's ``shard`` is the one that takes it first.
 
 Only prefix sums are needed, never one row per block: bucket sums per (source, hash bucket),
 a running sum over these, and a window inside each bucket. The hot source is thus spread
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrace.llm.common import WORD, stage, table
+from terrace.llm.common import SPACE, WORD, stage, table
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 16
@@ -88,11 +90,17 @@ def quotas(goals: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, shard for every row of docs (doc_id, text,
+    source); shard is null where nothing is taken."""
+    return _mixed(docs, block_words, shards, seed).drop("skey", "sig")
+
+
+def _mixed(docs: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
     sized = stage(
         docs.select(
             "doc_id",
-            F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~")).alias("skey"),
+            _source_key().alias("skey"),
+            F.xxhash64("text").alias("sig"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 16).alias("h"),
         ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)),
@@ -100,9 +108,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
     )
     buckets = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     goals = targets(buckets.groupBy("skey").agg(F.sum("words").alias("source_size")))
-    seats = quotas(goals, block_words, shards).groupBy("skey").agg(F.sum("quota").alias("quota"))
-    plan = goals.join(seats, "skey").select(
-        "skey", "source_size", "target",
+    by_shard = quotas(goals, block_words, shards)
+    upto = F.sum("quota").over(Window.partitionBy("skey").orderBy("shard"))
+    ends = by_shard.select("skey", "shard", "quota", upto.alias("upto")).groupBy("skey").agg(F.sum("quota").alias("quota"), F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("ends"))
+    plan = goals.join(ends, "skey").select(
+        "skey", "source_size", "target", F.col("ends.upto").alias("ends"),
         F.expr(f"coalesce(try_divide(quota, ceil(source_size / {block_words}D)), 0)").cast("long").alias("whole_passes"),
         F.expr(f"coalesce(try_mod(quota, ceil(source_size / {block_words}D)), 0) * {block_words}").cast("long").alias("more_words"),
     )
@@ -110,27 +120,31 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
     starts = buckets.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).join(plan, "skey").drop("words")
     inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["skey", "bucket"])
-    return placed.select(
-        "doc_id", "size", "source_size", "target",
-        F.expr("whole_passes * size + greatest(0, least(size, more_words - start - within))").alias("taken"),
-    )
+    taken = placed.withColumn("taken", F.expr("whole_passes * size + greatest(0, least(size, more_words - start - within))"))
+    shard = F.expr(f"CASE WHEN taken > 0 THEN size(filter(ends, x -> x <= (start + within) div {block_words})) END")
+    return taken.select("skey", "sig", "doc_id", "size", "source_size", "target", "taken", shard.alias("shard"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def _source_key():
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~"))
+
+
+def apply_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = 7) -> DataFrame:
     """The mixed corpus, with the columns of docs: a row for each whole pass over a document
-    and one with its first words where the last block of the mix ends inside it. doc_id is
-    taken as the key; rows that repeat one share its largest count. Documents without a
-    taken word leave."""
-    kept = mix(docs, **options).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    rows = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).drop(F.col("k.doc_id"))
-    rows = rows.withColumn("_part", F.explode(F.expr("sequence(1L, cast(ceil(_taken / double(_size)) as bigint))")))
-    left = F.col("_taken") - (F.col("_part") - 1) * F.col("_size")
-    text = F.when(left >= F.col("_size"), F.col("d.text")).otherwise(
-        F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(f"({WORD})")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")
-    )
-    return rows.withColumn("_text", text).select(
-        *[F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    and one with its first words, as they stand in the text, where the last block of the mix
+    ends inside it. Rows of the same doc_id, source and text share their largest count.
+    Documents without a taken word leave."""
+    key = [F.col("doc_id"), _source_key(), F.xxhash64("text")]
+    kept = _mixed(docs, block_words, shards, seed).groupBy("doc_id", "skey", "sig").agg(F.max("taken").alias("n"), F.max("size").alias("size")).where("n > 0")
+    plan = kept.select(F.struct("doc_id", "skey", "sig").alias("k"), "n", "size")
+    packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.struct(key[0].alias("doc_id"), key[1].alias("skey"), key[2].alias("sig")).alias("k"))
+    rows = packed.join(plan, packed.k.eqNullSafe(plan.k)).select("row", "n", "size", F.explode(F.expr("sequence(1L, cast(ceil(n / double(size)) as bigint))")).alias("part"))
+    left = F.col("n") - (F.col("part") - 1) * F.col("size")
+    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(
+        F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(f"({SPACE}*{WORD})")), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), "")
     )
+    cut = rows.select("row", text.alias("cut"))
+    return cut.select(*[F.col("cut").alias("text") if c == "text" else F.length("cut").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,13 +167,16 @@ goal AS (SELECT skey, source_size, least(cap::DOUBLE, weight * max(lvl) OVER ())
          ceil(source_size / {BLOCK_WORDS}.0)::BIGINT AS n FROM lv),
 seat AS (SELECT skey, target / (2 * j - 1) AS q
          FROM (SELECT skey, target, unnest(range(1, 2 * n + 1)) AS j FROM goal)),
-won AS (SELECT skey, count(*) AS quota FROM
-        (SELECT skey, row_number() OVER (ORDER BY q DESC, skey) AS place FROM seat)
-        WHERE place <= (SELECT (3 * sum(source_size) + {BLOCK_WORDS}) // {2 * BLOCK_WORDS} FROM src) GROUP BY 1),
+ranked AS (SELECT skey, q, row_number() OVER (ORDER BY q DESC, skey) AS place, (SELECT (3 * sum(source_size) + {BLOCK_WORDS}) // {2 * BLOCK_WORDS} FROM src) AS seats FROM seat),
+dealt AS (SELECT skey, row_number() OVER (PARTITION BY skey ORDER BY q DESC) - 1 AS block,
+          (SELECT min(s) FROM range(0, {SHARDS}) g(s) WHERE place <= seats * (s + 1) // {SHARDS})::INT AS shard FROM ranked WHERE place <= seats),
+won AS (SELECT skey, count(*) AS quota FROM dealt GROUP BY 1),
 pos AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id NULLS FIRST, size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM sized)
-SELECT doc_id, size, source_size, target,
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM sized),
+res AS (SELECT skey, p, doc_id, size, source_size, target,
        CASE WHEN n = 0 THEN 0 ELSE (coalesce(quota, 0) // n) * size
          + greatest(0, least(size, (coalesce(quota, 0) % n) * {BLOCK_WORDS} - p)) END::BIGINT AS taken
-FROM pos JOIN goal USING (skey) LEFT JOIN won USING (skey)
+FROM pos JOIN goal USING (skey) LEFT JOIN won USING (skey))
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN shard END AS shard
+FROM res LEFT JOIN dealt ON dealt.skey = res.skey AND block = p // {BLOCK_WORDS}
 """

@@ -37,7 +37,7 @@ from terrace.llm.common import SLICE_ROWS, append, held, stage, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 32_768
-CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 500_000
 #: The state of a cut that every path passes between two pieces.
 OPEN = -(1 << 30)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -68,9 +68,14 @@ class Segmenter:
         self.score = {self.text[i]: model.get_score(i) for i in self.text}
         self.ids = {p: i for i, p in self.text.items()}
         self.reach = max(map(len, self.ids))
-        #: Beginnings of pieces: the id of a piece that merging makes at all, or OPEN.
-        self.begun = {p[:n]: OPEN for p in self.ids for n in range(1, len(p) + 1)}
-        self.begun |= {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
+        #: Pieces by their symbols: symbol -> (what may follow, the id of a piece that ends
+        #: here and that merging makes at all, or OPEN).
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, ({}, OPEN))[0]
+            node[p[-1]] = (node.get(p[-1], ({}, OPEN))[0], i if self.merged(p) == [p] else OPEN)
         #: Neighbours inside any piece; between others no piece passes.
         self.bound = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.known: dict[str, bytes] = {}
@@ -109,13 +114,14 @@ class Segmenter:
 
     def starting(self, text: str, at: int) -> list[tuple[int, int]]:
         """(token, length) of what may start at a place."""
-        out = []
-        for end in range(at + 1, min(at + self.reach, len(text)) + 1):
-            i = self.begun.get(text[at:end])
-            if i is None:
+        out, node = [], self.trie
+        for end in range(at, min(at + self.reach, len(text))):
+            found = node.get(text[end])
+            if found is None:
                 break
+            node, i = found
             if i >= 0:
-                out.append((i, end - at))
+                out.append((i, end + 1 - at))
         return out or [(-1 - ord(text[at]), 1)]
 
     def run(self, text: str, at: int, last: int, stop: int) -> dict[int, tuple[int, int, int]]:
@@ -123,16 +129,18 @@ class Segmenter:
         from ``at``, after token ``last``, reaches with its last piece starting before
         ``stop``. A place has one such path at most."""
         reached = {at: (last, at, 0)}
-        begun, pairs, size = self.begun, self.pairs, len(text)
+        trie, pairs, size = self.trie, self.pairs, len(text)
         for place in range(at, min(stop, size)):
             here = reached.get(place)
             if here is None:
                 continue
-            before, count, found = here[0], here[2] + 1, False
-            for end in range(place + 1, min(place + self.reach, size) + 1):
-                token = begun.get(text[place:end])
-                if token is None:
+            before, count, found, node, end = here[0], here[2] + 1, False, trie, place
+            while end < size:
+                step = node.get(text[end])
+                if step is None:
                     break
+                node, token = step
+                end += 1
                 if token >= 0:
                     found = True
                     if end not in reached:
@@ -333,6 +341,12 @@ def _traced(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("k", pa.int32()), ("ids", pa.binary())]))
 
 
+def _joined(parts: pa.Table) -> pa.Table:
+    """A document's ids, which are one value of the result, from its chunks'."""
+    ids = b"".join(parts.sort_by("k")["ids"].to_pylist())
+    return pa.table({"key": parts["key"][:1], "ids": pa.array([ids], pa.binary())})
+
+
 def _whole(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     seg = segmenter(path)
     for batch in batches:
@@ -353,9 +367,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     ways = chunks.mapInArrow(lambda b: _matrices(b, path), _WAYS)
     cuts = ways.groupBy("key").applyInArrow(_cuts, "key long, k int, in_at int, in_token int, out_at int, out_token int")
     traced = chunks.join(cuts, ["key", "k"]).mapInArrow(lambda b: _traced(b, path), "key long, k int, ids binary")
-    parts = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    ids = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))")
-    return short.unionByName(long.join(parts, "key").select("doc_id", "text", ids.alias("ids")))
+    joined = traced.groupBy("key").applyInArrow(_joined, "key long, ids binary")
+    return short.unionByName(long.join(joined, "key").select("doc_id", "text", "ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -63,12 +63,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     release()
     for batch in batches:
         found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "sig"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, sig): fp is the fingerprint as a signed long, sig a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("sig")).mapInArrow(_fingerprints, "doc_id long, fp long, sig long")
 
 
 def _key(a: int, b: int):
@@ -115,7 +116,8 @@ def _signed(x: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, max_posting: int = MAX_POSTING) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every row of docs.
+    """doc_id, fingerprint (16 hex digits), component_id and text_hash (xxhash64) for every
+    row of docs.
 
     Nulls count as empty texts, and texts without a word share fingerprint 0. Null doc_ids
     stay as rows but never name a component (null if a component has no other). Repeated
@@ -127,7 +129,7 @@ def near_duplicates(docs: DataFrame, max_posting: int = MAX_POSTING) -> DataFram
     rooted = stage(nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("sig").alias("text_hash"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

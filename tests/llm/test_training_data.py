@@ -155,34 +155,40 @@ def test_quality_ranks_and_survives_edges(spark, docs, none):
     model = quality.learn(table, labels)
     scored = quality.score(table, model).toPandas().set_index("doc_id").score
     assert scored[list(range(60))].min() >= 0.3 > scored[list(range(100, 160))].max()
-    out = quality.score(docs.drop("score"), model).toPandas()
+    out = quality.score(docs, model).toPandas()
     assert len(out) == len(rows()) and out.score.between(0, 1).all()
-    assert quality.learn(none, labels) is None and set(quality.score(docs.drop("score"), None).toPandas().score) == {0.5}
+    assert quality.learn(none, labels) is None and set(quality.score(docs, None).toPandas().score) == {0.5}
 
 
 def test_language_on_held_out_and_edges(docs, none):
     learned = language.learn(docs.where("lang is not null and doc_id < 20"))
-    got = language.identify(docs.drop("score"), learned).toPandas()
+    got = language.identify(docs, learned).toPandas()
     assert len(got) == len(rows())
     late = got[got.doc_id.between(20, 35)]
     assert (late.lang_pred == np.where(late.doc_id % 2 == 1, "en", "de")).all()
     assert set(got[got.doc_id.isin([36, 37, 38, 39])].lang_pred) == {"und"} and got.score.between(0, 1).all()
-    assert language.learn(none) == {} and set(language.identify(docs.drop("score"), {}).toPandas().lang_pred) == {"und"}
+    assert language.learn(none) == {} and set(language.identify(docs, {}).toPandas().lang_pred) == {"und"}
 
 
-def test_cross_parse_is_greedy():
-    model = language.Model({"a": "abracadabra banana", "b": "zzz"})
-    text, learned = "bananabracadab xyz abra", "abracadabra banana"
-    code = lambda t: model.codes(t).tolist()
-    of, seq = code(learned), code(text)
-    has = lambda s: any(of[i : i + len(s)] == s for i in range(len(of)))
-    n, at = 1, []
-    for c in seq:
-        if has([*at, c]):
-            at.append(c)
+def greedy_phrases(learned, text):
+    """Phrases of the greedy parse of symbols into longest stretches of learned ones."""
+    of, n, at = bytes(learned), 1, b""
+    for c in text:
+        if at + bytes([c]) in of:
+            at += bytes([c])
         else:
-            n, at = n + 1, [c] if has([c]) else []
-    assert model.rates([text])[0, 0] * len(seq) == pytest.approx(n)
+            n, at = n + 1, bytes([c]) if bytes([c]) in of else b""
+    return n
+
+
+def test_cross_parse_is_greedy():
+    model, dice = language.Model({"a": "abracadabra banana", "b": "zzz"}), random.Random(3)
+    texts = ["bananabracadab xyz abra", None, "a", *("".join(dice.choice("abrcdnz xy") for _ in range(dice.randint(1, 400))) for _ in range(90)), "abra ban" * 3000]
+    rates = model.rates(texts)
+    for text, row in zip(texts, rates):
+        seq = model.codes(text).tolist()
+        for k, learned in enumerate(("abracadabra banana", "zzz")):
+            assert np.isnan(row[k]) if not text or not text.strip() else row[k] * len(seq) == pytest.approx(greedy_phrases(model.codes(learned).tolist(), seq))
 
 
 def test_token_files(docs, none):
@@ -239,8 +245,25 @@ def test_mix_takes_targets(docs, none):
     by = got.assign(k=got.source_size).groupby("k")
     assert (abs(by.taken.sum() - by.target.first()) <= 2 * mixing.BLOCK_WORDS).all()
     assert mixing.mix(docs).toPandas().sort_values(["doc_id", "taken"]).taken.tolist() == got.sort_values(["doc_id", "taken"]).taken.tolist()
+    assert got.shard[got.taken > 0].between(0, mixing.SHARDS - 1).all() and got.shard[got.taken == 0].isna().all()
     mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns and mixing.mix(none).count() == 0
+    starts: dict = {}
+    for r in rows():
+        starts.setdefault(r[0], []).append(r[1] or "")
+    assert all(any(t.startswith(m.text) for t in starts[m.doc_id]) for m in mixed.collect())  # spaces and line feeds stay
+
+
+def test_mix_keeps_spaces_and_texts_of_one_doc_id(spark):
+    data = [(i, f"a{i}  b\n\nc\td   e f{i}", f"s{i % 3}", "x", 1) for i in range(40)] + [(3, "another text of three", "s0", "x", 1), (None, "k l m", None, "x", 1), (None, "n\n o", None, "x", 1)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string, n string, size int")
+    taken = mixing.mix(table).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()
+    mixed = mixing.apply_mix(table).collect()
+    assert all(any((m.doc_id, m.source) == (i, s) and t.startswith(m.text) for i, t, s, _, _ in data) for m in mixed)
+    words = {}
+    for m in mixed:
+        words[m.doc_id] = words.get(m.doc_id, 0) + len(m.text.split())
+    assert words == {r.doc_id: r.n for r in taken if r.n}
 
 
 def test_mix_quotas_are_the_highest_quotients(spark):
