@@ -9,7 +9,7 @@ become one in the second stage. Empty tables pass through empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.llm import language, mixing, pieces, secrets, simhash
@@ -32,11 +32,14 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """The document of the smallest doc_id of each group. Where rows repeat a doc_id, one
+    that is in that group stays, the same in every run."""
+    groups = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id"))
+    kept = groups.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.source", "row.lang"))
+    named = rows.where("doc_id is not null").join(kept, ["doc_id", "text_hash"], "left_semi").withColumn("place", place).where("place = 1")
+    return named.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
