@@ -75,9 +75,11 @@ def recency(published: str, as_of: str) -> Column:
 def token_sentiment(text: str, for_: list[str] = TERMS_FOR, against: list[str] = TERMS_AGAINST, negators: list[str] = NEGATORS, amplifiers: list[str] = AMPLIFIERS) -> Column:
     """T9 as struct (sentiment, positive, negative, subjectivity): each word looks back at
     one modifier and forward for a phrase of two. The words are zipped with their
-    neighbours, since a lookup by index inside the lambda would split the text once a word."""
+    neighbours, since a lookup by index inside the lambda would split the text once a word;
+    one lookup a word leaves only those that are terms or begin a phrase."""
     words = F.filter(F.split(lower(text), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
     within = lambda w, terms: w.isin(*terms)
+    marked = sorted({t.split(" ")[0] for t in [*for_, *against]})
 
     none = F.array(F.lit(""))
     zipped = F.arrays_zip(words.alias("w"), F.slice(F.concat(none, words), 1, F.size(words)).alias("p"), F.concat(F.slice(words, 2, F.size(words)), none).alias("n"))
@@ -93,7 +95,7 @@ def token_sentiment(text: str, for_: list[str] = TERMS_FOR, against: list[str] =
         return F.struct(up.alias("up"), down.alias("down"))
 
     zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-    total = F.aggregate(F.transform(zipped, per_word), zero, lambda s, x: F.struct((s["up"] + x["up"]).alias("up"), (s["down"] + x["down"]).alias("down")))
+    total = F.aggregate(F.transform(F.filter(zipped, lambda x: x["w"].isin(*marked)), per_word), zero, lambda s, x: F.struct((s["up"] + x["up"]).alias("up"), (s["down"] + x["down"]).alias("down")))
     n, both = F.size(words), total["up"] + total["down"]
     part = lambda c: F.when(both > 0, F.round(c, 4)).otherwise(0.0)
     return F.struct(

@@ -5,6 +5,8 @@ table bounded by teams squared times scores; the likelihood is climbed on the dr
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,40 +82,60 @@ def rates(fixtures: DataFrame, params: DataFrame, home: float, mu: float) -> Dat
     )
 
 
-def _cells(rho: float, goals: int):
-    """Corrected, normalised cell probabilities as an array of structs (h, a, p): pmf arrays by
-    recurrence, their outer product, one sum."""
-    pm = lambda lam: F.aggregate(
-        F.sequence(F.lit(1), F.lit(goals - 1)), F.array(F.exp(-lam)), lambda s, k: F.concat(s, F.array(F.element_at(s, -1) * lam / k))
-    )
-    lh, la, r = F.col("lambda_home"), F.col("lambda_away"), F.lit(rho)
-    tau = lambda h, a: (
-        F.when((h == 0) & (a == 0), 1 - lh * la * r).when((h == 0) & (a == 1), 1 + lh * r).when((h == 1) & (a == 0), 1 + la * r).when((h == 1) & (a == 1), 1 - r).otherwise(1.0)
-    )
-    cell = lambda i: (F.floor(i / goals).cast("int"), (i % goals).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(goals * goals - 1)), lambda i: F.struct(
-        cell(i)[0].alias("h"), cell(i)[1].alias("a"), (F.get("_ph", cell(i)[0]) * F.get("_pa", cell(i)[1]) * tau(*cell(i))).alias("p")))
-    return pm(lh), pm(la), raw
+def _marginals(fixtures: DataFrame, rho: float, goals: int) -> DataFrame:
+    """fixtures with the chance of each number of goals, _h0.. and _a0.., the changes that the
+    correction makes to the four low scores, _d00.. (M2), and the sum of all cells, _total."""
+    pmf = {f"_{s}{k}": F.exp(-F.col(lam)) * F.pow(F.col(lam), F.lit(float(k))) / float(math.factorial(k)) for s, lam in (("h", "lambda_home"), ("a", "lambda_away")) for k in range(goals)}
+    lh, la = F.col("lambda_home"), F.col("lambda_away")
+    change = {(0, 0): -lh * la * rho, (0, 1): lh * rho, (1, 0): la * rho, (1, 1): F.lit(-rho)}
+    out = fixtures.withColumns(pmf).withColumns({f"_d{i}{j}": F.col(f"_h{i}") * F.col(f"_a{j}") * c for (i, j), c in change.items()})
+    one = lambda s: _sum([F.col(f"_{s}{k}") for k in range(goals)])
+    return out.withColumn("_total", one("h") * one("a") + _sum([F.col(f"_d{i}{j}") for i, j in LOW]))
+
+
+LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
+
+
+def _sum(columns: list):
+    return sum(columns[1:], columns[0])
+
+
+def _cell(i: int, j: int):
+    p = F.col(f"_h{i}") * F.col(f"_a{j}")
+    return (p + F.col(f"_d{i}{j}") if (i, j) in LOW else p) / F.col("_total")
 
 
 def score_grid(fixtures: DataFrame, rho: float, goals: int = GOALS) -> DataFrame:
     """fixtures with cells: array of (h, a, p), summing to 1. M3."""
-    ph, pa, raw = _cells(rho, goals)
-    out = fixtures.withColumn("_ph", ph).withColumn("_pa", pa).withColumn("_raw", raw)
-    total = F.aggregate("_raw", F.lit(0.0), lambda s, c: s + c["p"])
-    out = out.withColumn("_total", total)
-    return out.withColumn("cells", F.transform("_raw", lambda c: F.struct(c["h"].alias("h"), c["a"].alias("a"), (c["p"] / F.col("_total")).alias("p")))).drop("_ph", "_pa", "_raw", "_total")
-
-
-def outcomes(grid: DataFrame, top: int = 12) -> DataFrame:
-    """M3, L4: outcome, over 2.5, both score, and the likeliest scores (7 x 7)."""
-    part = lambda when: F.aggregate(F.filter("cells", when), F.lit(0.0), lambda s, c: s + c["p"])
-    ranked = F.array_sort(F.transform(F.filter("cells", lambda c: (c["h"] < 7) & (c["a"] < 7)), lambda c: F.struct((-c["p"]).alias("k"), c["h"].alias("h"), c["a"].alias("a"))))
-    return grid.select(
-        "match_id", "lambda_home", "lambda_away", part(lambda c: c["h"] > c["a"]).alias("p_home"), part(lambda c: c["h"] == c["a"]).alias("p_draw"), part(lambda c: c["h"] < c["a"]).alias("p_away"),
-        part(lambda c: c["h"] + c["a"] > 2).alias("over_2_5"), part(lambda c: (c["h"] > 0) & (c["a"] > 0)).alias("btts"),
-        F.transform(F.slice(ranked, 1, top), lambda c: F.concat_ws("-", c["h"], c["a"])).alias("top_scorelines"),
-    )
+    cells = F.array(*[F.struct(F.lit(i).alias("h"), F.lit(j).alias("a"), _cell(i, j).alias("p")) for i in range(goals) for j in range(goals)])
+    return _marginals(fixtures, rho, goals).select(*fixtures.columns, cells.alias("cells"))
+
+
+def outcomes(fixtures: DataFrame, rho: float, goals: int = GOALS, top: int = 12, shown: int = 7) -> DataFrame:
+    """M3, L4: outcome, over 2.5, both score, and the likeliest scores (7 x 7; equal ones by
+    home, then away goals). Sums run over the numbers of goals of one side, not over cells."""
+    h, a = ([F.col(f"_{s}{k}") for k in range(goals)] for s in "ha")
+    low = lambda *cells: _sum([F.col(f"_d{i}{j}") for i, j in cells])
+    upto = lambda x, k: _sum(x[:k])
+    home = _sum([h[i] * upto(a, i) for i in range(1, goals)]) + low((1, 0))
+    away = _sum([a[j] * upto(h, j) for j in range(1, goals)]) + low((0, 1))
+    draw = _sum([h[k] * a[k] for k in range(goals)]) + low((0, 0), (1, 1))
+    few = h[0] * upto(a, 3) + h[1] * upto(a, 2) + h[2] * a[0] + low(*LOW)
+    both = (upto(h, goals) - h[0]) * (upto(a, goals) - a[0]) + low((1, 1))
+    part = {"p_home": home, "p_draw": draw, "p_away": away, "btts": both}
+    cells = F.array(*[F.struct((-F.round(_cell(i, j), 12)).alias("k"), F.lit(i).alias("h"), F.lit(j).alias("a")) for i in range(shown) for j in range(shown)])
+    scores = F.transform(F.slice(F.sort_array(cells), 1, top), lambda c: F.concat_ws("-", c["h"], c["a"]))
+    out = _marginals(fixtures, rho, goals)
+    return out.select("match_id", "lambda_home", "lambda_away", *[(x / F.col("_total")).alias(n) for n, x in part.items()], (1 - few / F.col("_total")).alias("over_2_5"), scores.alias("top_scorelines"))
+
+
+def best_score(scores: str, outcome: str):
+    """The likeliest score that fits an outcome (0 home, 1 draw, 2 away), else the
+    likeliest of all."""
+    goals = lambda s, k: F.element_at(F.split(s, "-"), k).cast("int")
+    sign = F.when(F.col(outcome) == 0, 1).when(F.col(outcome) == 1, 0).otherwise(-1)
+    fits = F.filter(F.col(scores), lambda s: F.signum(goals(s, 1) - goals(s, 2)) == sign)
+    return F.coalesce(F.get(fits, F.lit(0)), F.get(F.col(scores), F.lit(0)))
 
 
 def team_ratings(params: DataFrame, home: float, mu: float) -> DataFrame:
@@ -126,5 +148,26 @@ def team_ratings(params: DataFrame, home: float, mu: float) -> DataFrame:
 
 
 def bivariate_rates(matches: DataFrame) -> DataFrame:
-    """M5: per-team means against the global mean and the shared rate max(0, 0.3 r)."""
+    """M5: global means and the shared rate max(0, 0.3 r), one row."""
     return matches.agg(F.avg("goals_home").alias("mean_home"), F.avg("goals_away").alias("mean_away"), F.greatest(F.lit(0.0), 0.3 * F.corr(F.col("goals_home").cast("double"), F.col("goals_away").cast("double"))).alias("lambda_3"))
+
+
+def bivariate_strengths(sides: DataFrame) -> DataFrame:
+    """M5: a team's goals for and against a game over the mean of all games (1.3 without any),
+    one row a team. sides: two rows a match."""
+    mean = F.broadcast(sides.agg(F.coalesce(F.nullif(F.avg("gf"), F.lit(0.0)), F.lit(1.3)).alias("_mean")))  # one row
+    per = sides.groupBy("team").agg(F.sum("gf").alias("_f"), F.sum("ga").alias("_a"), F.count("*").alias("_n"))
+    return per.crossJoin(mean).select("team", (F.col("_f") / F.col("_n") / F.col("_mean")).alias("attack"), (F.col("_a") / F.col("_n") / F.col("_mean")).alias("defence"))
+
+
+def bivariate_outcomes(fixtures: DataFrame, goals: int = GOALS) -> DataFrame:
+    """M5: outcomes of two Poisson counts that share a third: on lambda_1, lambda_2 (what is
+    each side's own) and lambda_3, the chance of (h, a) is the sum over k shared goals. The
+    grid is renormalised."""
+    own = {f"_{s}{k}": F.exp(-F.col(lam)) * F.pow(F.col(lam), F.lit(float(k))) / float(math.factorial(k)) for s, lam in (("h", "lambda_1"), ("a", "lambda_2"), ("s", "lambda_3")) for k in range(goals)}
+    out = fixtures.withColumns(own)
+    cell = lambda i, j: _sum([F.col(f"_s{k}") * F.col(f"_h{i - k}") * F.col(f"_a{j - k}") for k in range(min(i, j) + 1)])
+    part = lambda fits: _sum([cell(i, j) for i in range(goals) for j in range(goals) if fits(i, j)])
+    out = out.select("match_id", part(lambda i, j: i > j).alias("_x"), part(lambda i, j: i == j).alias("_y"), part(lambda i, j: i < j).alias("_z"))
+    total = F.col("_x") + F.col("_y") + F.col("_z")
+    return out.select("match_id", (F.col("_x") / total).alias("p_home"), (F.col("_y") / total).alias("p_draw"), (F.col("_z") / total).alias("p_away"))

@@ -30,9 +30,8 @@ def share(condition: str, frame: str) -> str:
     return f"avg(CAST({flag(condition)} AS DOUBLE)) OVER {frame}"
 
 
-def rolling_form(windows=ROLLING_WINDOWS) -> tuple[list[dict], list[str]]:
-    """17 metrics over each window, null without history; the optional columns that the
-    view lacks (possession, pass accuracy) stay null."""
+def rolling_frames(windows=ROLLING_WINDOWS) -> tuple[list[dict], list[str]]:
+    """W1 by its definition: a frame for each metric and window. The twin of ``rolling_form``."""
     layer: dict[str, str] = {}
     for w in windows:
         f = last(w)
@@ -48,6 +47,32 @@ def rolling_form(windows=ROLLING_WINDOWS) -> tuple[list[dict], list[str]]:
     return [layer], list(layer)
 
 
+def rolling_form(windows=ROLLING_WINDOWS) -> tuple[list[dict], list[str]]:
+    """17 metrics over each window, null without history; the optional columns that the
+    view lacks (possession, pass accuracy) stay null. Each quantity is summed once along the
+    team's matches; a window's sum is that sum less the one so many rows before, so work
+    doesn't grow with windows and their lengths."""
+    wins = {"wins": "pts = 3", "draws": "pts = 1", "losses": "pts = 0", "clean": "ga = 0", "btts": "gf > 0 AND ga > 0", "over": "gf + ga > 2"}
+    of = {"pts": "pts", "gf": "gf", "ga": "ga", **{k: flag(c) for k, c in wins.items()}, "sxf": "xgf", "sxa": "xga", "sov": "gf - xgf", "shf": "shots_f", "sha": "shots_a", "sot": "sot_f"}
+    sums = {f"c_{k}": f"coalesce(sum({e}) OVER {PRIOR}, 0)" for k, e in of.items()}
+    counts = {f"k_{k}": f"count({of[k]}) OVER {PRIOR}" for k in ("sxf", "sxa", "sov", "shf", "sha")}
+    layer: dict[str, str] = {}
+    for w in windows:
+        late = lambda c, w=w: f"({c} - coalesce(lag({c}, {w}) OVER ({TEAM}), 0))"
+        mean = lambda k, w=w: f"CASE WHEN prior > 0 THEN {late(f'c_{k}')} / CAST(least(prior, {w}) AS DOUBLE) END"
+        some = lambda k: f"{late(f'c_{k}')} / CAST(nullif({late(f'k_{k}')}, 0) AS DOUBLE)"
+        layer |= {
+            f"ppg_l{w}": mean("pts"), f"goals_scored_l{w}": mean("gf"), f"goals_conceded_l{w}": mean("ga"),
+            f"xg_for_l{w}": some("sxf"), f"xg_against_l{w}": some("sxa"), f"xg_overperformance_l{w}": some("sov"),
+            f"clean_sheets_l{w}": mean("clean"), f"btts_pct_l{w}": mean("btts"), f"over25_pct_l{w}": mean("over"),
+            f"win_pct_l{w}": mean("wins"), f"draw_pct_l{w}": mean("draws"), f"loss_pct_l{w}": mean("losses"),
+            f"shots_for_l{w}": some("shf"), f"shots_against_l{w}": some("sha"),
+            f"sot_pct_l{w}": f"{late('c_sot')} / nullif({late('c_shf')}, 0) * 100",
+            f"possession_l{w}": "CAST(NULL AS DOUBLE)", f"pass_accuracy_l{w}": "CAST(NULL AS DOUBLE)",
+        }
+    return [{"prior": RN["prior"], **sums, **counts}, layer], list(layer)
+
+
 def runs() -> tuple[list[dict], list[str]]:
     """Streak (wins positive, losses negative, draws 0), unbeaten and winless runs, as
     gaps from the last row that breaks them."""

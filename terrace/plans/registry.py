@@ -10,12 +10,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _sides(name: str, spec, whole: tuple[str, ...] = ()) -> None:
-    """A history of both teams: name_home and name_away of each match."""
+def _sides(name: str, spec, whole: tuple[str, ...] = (), twin=None) -> None:
+    """A history of both teams: name_home and name_away of each match. twin: the layers of the
+    SQL, where they are written apart."""
     layers, names = spec
     final = steps.rounded(["match_id", *[f"{n}_{s}" for n in names for s in ("home", "away") if n in whole]], [f"{n}_{s}" for n in names for s in ("home", "away") if n not in whole])
     QUERIES[name] = lambda spark, d: steps.both_sides(steps.columns(source.sides(source.contest(spark, d)), *layers), names).selectExpr(*final)
-    ORACLES[name] = steps.final_sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *layers), names), final)
+    ORACLES[name] = steps.final_sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *(twin or layers)), names), final)
 
 
 def _matches(name: str, spec, whole: tuple[str, ...] = ()) -> None:
@@ -25,7 +26,7 @@ def _matches(name: str, spec, whole: tuple[str, ...] = ()) -> None:
     ORACLES[name] = steps.final_sql(steps.sql(source.CONTEST_SQL, *layers), final)
 
 
-_sides("w01_rolling_form", history.rolling_form())
+_sides("w01_rolling_form", history.rolling_form(), twin=history.rolling_frames()[0])
 _sides("w03_runs", history.runs(), ("streak", "unbeaten_run", "winless_run"))
 _sides("w04_momentum", history.momentum(), ("congestion",))
 _sides("w05_surprise", history.surprise())
@@ -228,12 +229,13 @@ def _models() -> None:
     out = ["lambda_home", "lambda_away", "p_home", "p_draw", "p_away", "over_2_5", "btts"]
     pm = lambda lam, k: f"exp(-{lam}) * pow({lam}, {k}) / factorial(CAST({k} AS INT))"
     tau = f"CASE WHEN h = 0 AND a = 0 THEN 1 - lh * la * {rho} WHEN h = 0 AND a = 1 THEN 1 + lh * {rho} WHEN h = 1 AND a = 0 THEN 1 + la * {rho} WHEN h = 1 AND a = 1 THEN 1 - {rho} ELSE 1 END"
-    add("m03_goal_model", lambda s, d: goals.outcomes(goals.score_grid(goals.rates(source.contest(s, d), params(s, d), home, mu), rho)).drop("top_scorelines"),
+    add("m03_goal_model", lambda s, d: goals.outcomes(goals.rates(source.contest(s, d), params(s, d), home, mu), rho).withColumn("top_scorelines", F.concat_ws("|", "top_scorelines")),
         f"""WITH p AS ({par}), av AS (SELECT avg(attack) AS att, avg(defence) AS dfn FROM p), c AS ({C}),
         r AS (SELECT match_id, exp({mu} + coalesce(h.attack, att) - coalesce(a.defence, dfn) + {home}) AS lh, exp({mu} + coalesce(a.attack, att) - coalesce(h.defence, dfn)) AS la FROM c CROSS JOIN av LEFT JOIN p h ON h.team = home_team LEFT JOIN p a ON a.team = away_team),
-        g AS (SELECT match_id, lh, la, h, a, {pm('lh', 'h')} * {pm('la', 'a')} * {tau} AS p FROM r, range(8) x(h), range(8) y(a))
+        g0 AS (SELECT match_id, lh, la, h, a, {pm('lh', 'h')} * {pm('la', 'a')} * {tau} AS p FROM r, range(8) x(h), range(8) y(a)),
+        g AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY h >= 7 OR a >= 7, round(p / total, 12) DESC, h, a) AS place FROM (SELECT *, sum(p) OVER (PARTITION BY match_id) AS total FROM g0))
         SELECT match_id, max(lh) AS lambda_home, max(la) AS lambda_away, sum(CASE WHEN h > a THEN p ELSE 0 END) / sum(p) AS p_home, sum(CASE WHEN h = a THEN p ELSE 0 END) / sum(p) AS p_draw, sum(CASE WHEN h < a THEN p ELSE 0 END) / sum(p) AS p_away,
-        sum(CASE WHEN h + a > 2 THEN p ELSE 0 END) / sum(p) AS over_2_5, sum(CASE WHEN h > 0 AND a > 0 THEN p ELSE 0 END) / sum(p) AS btts FROM g GROUP BY match_id""", steps.rounded(["match_id"], out))
+        sum(CASE WHEN h + a > 2 THEN p ELSE 0 END) / sum(p) AS over_2_5, sum(CASE WHEN h > 0 AND a > 0 THEN p ELSE 0 END) / sum(p) AS btts, string_agg(h || '-' || a, '|' ORDER BY place) FILTER (place <= 12) AS top_scorelines FROM g GROUP BY match_id""", steps.rounded(["match_id"], out, ("top_scorelines",)))
     rk = lambda c, o: f"floor(rank() OVER (ORDER BY {c} {o}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
     add("m04_team_ratings", lambda s, d: goals.team_ratings(params(s, d), home, mu),
         f"SELECT *, {rk('attack', 'DESC')} AS attack_rank, {rk('defence', 'ASC')} AS defense_rank FROM (SELECT team, round(attack, 4) AS attack, round(defence, 4) AS defence, round(exp({mu} + attack + {home}), 2) AS expected_home_goals, round(exp({mu} + attack), 2) AS expected_away_goals FROM ({par}))",

@@ -32,11 +32,14 @@ def final_sql(base: str, parts: list[str]) -> str:
 
 
 def both_sides(rows: DataFrame, names: list[str]) -> DataFrame:
-    """match_id and name_home, name_away of two rows a match: one grouped pass, no self-join."""
+    """match_id and name_home, name_away of two rows a match: one grouped pass with a single
+    aggregate, no self-join."""
     from pyspark.sql import functions as F
 
-    pick = lambda n, at: F.max(F.when(F.col("is_home") == at, F.col(n))).alias(f"{n}_{'home' if at else 'away'}")
-    return rows.groupBy("match_id").agg(*[pick(n, at) for n in names for at in (1, 0)])
+    pair = rows.groupBy("match_id").agg(F.collect_list(F.struct("is_home", *names)).alias("_pair"))
+    side = lambda at: F.get(F.filter("_pair", lambda r: r["is_home"] == at), F.lit(0))
+    both = pair.select("match_id", side(1).alias("_home"), side(0).alias("_away"))
+    return both.select("match_id", *[F.col(f"_{s}.{n}").alias(f"{n}_{s}") for n in names for s in ("home", "away")])
 
 
 def both_sides_sql(base: str, names: list[str]) -> str:

@@ -104,7 +104,9 @@ def test_goal_grid_sums_to_one_and_fit_is_centred(spark, matches):
     fixtures = spark.sql("SELECT 1L AS match_id, 1.4D AS lambda_home, 1.1D AS lambda_away")
     cells = goals.score_grid(fixtures, -0.05).first().cells
     assert len(cells) == 64 and sum(c.p for c in cells) == pytest.approx(1)
-    assert len(goals.outcomes(goals.score_grid(fixtures, -0.05)).first().top_scorelines) == 12
+    shown = goals.outcomes(fixtures, -0.05).first()
+    assert len(shown.top_scorelines) == 12 and shown.p_home == pytest.approx(sum(c.p for c in cells if c.h > c.a)) and shown.over_2_5 == pytest.approx(sum(c.p for c in cells if c.h + c.a > 2))
+    assert shown.top_scorelines[0] == max(cells, key=lambda c: c.p)[:2].__str__().strip("()").replace(", ", "-")
     model = goals.GoalModel.fit(matches, steps=60)
     assert abs(model.attack.sum()) < 1e-6 and 0 <= model.home <= 1
 
