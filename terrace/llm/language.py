@@ -130,7 +130,7 @@ class Model:
                     step = moves[state[:n] + symbols[:n]]
                     count[:n] += step & 1
                     state[:n] = step >> 1
-                table = moves.tolist() if longer else []
+                table = memoryview(moves)  # single values without a copy
                 for k, rest in longer:
                     at, ended = int(state[k]), 0
                     for c in rest:

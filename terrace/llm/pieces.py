@@ -37,7 +37,7 @@ from terrace.llm.common import SLICE_ROWS, append, held, stage, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 CHUNK = 32_768
-CACHE_WORDS, CACHE_PAIRS = 300_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 250_000
 #: The state of a cut that every path passes between two pieces.
 OPEN = -(1 << 30)
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
