@@ -1,4 +1,4 @@
-"""Pure column operators (P4-P15, P17, P19-P28) as SQL expressions over named columns.
+"""Pure column operators (P4-P6, P8-P13, P17, P19-P21, P23, P25) as SQL expressions.
 
 Missing values are NULL, never NaN; flags read a NULL comparison as false; divisions by zero
 give NULL."""
@@ -24,7 +24,7 @@ BASIC = {
 
 
 def contextual(weekday: str) -> dict[str, str]:
-    """P8 with P26's month rule; weekday gives 0 for Monday."""
+    """P8's day and weather, and progress by month alone; weekday gives 0 for Monday."""
     return {
         "is_midweek": flag(f"{weekday} IN (1, 2, 3)"), "month_no": "month(match_date)", "day_of_week": weekday,
         "is_cold": flag("coalesce(temperature, 10) < 5"), "is_hot": flag("coalesce(temperature, 10) > 25"), "is_windy": flag("coalesce(wind_speed, 10) > 25"),
@@ -33,8 +33,42 @@ def contextual(weekday: str) -> dict[str, str]:
     }
 
 
+def season_stage() -> dict[str, str]:
+    """Rest and the stage of the season by gameweek (19 where there is none)."""
+    week = "coalesce(gameweek, 19)"
+    return {
+        "rest_diff": "coalesce(rest_home, 7) - coalesce(rest_away, 7)", "season_progress": f"{week} / CAST(38 AS DOUBLE)",
+        "is_early_season": flag(f"{week} <= 5"), "is_late_season": flag(f"{week} >= 33"), "is_run_in": flag(f"{week} >= 30"),
+    }
+
+
+# Bookmakers in order of trust, opening and closing.
+OPENING, CLOSING = ("pin", "b365", "avg", "iw", "wh"), ("pin", "b365", "avg")
+
+
+def priced(available: set[str]) -> dict[str, str]:
+    """Opening and closing odds from the first bookmaker with a number; closing odds fall
+    back on opening ones. available: the columns there are."""
+    first = lambda names: [f"TRY_CAST({n} AS DOUBLE)" for n in names if n in available]
+    out = {}
+    for o in ("home", "draw", "away"):
+        opening = first(f"odds_{b}_{o}" for b in OPENING)
+        closing = first(f"odds_{b}_{o}_close" for b in CLOSING) + opening
+        out[f"odds_{o}_open"] = f"coalesce({', '.join([*opening, 'NULL'])})"
+        out[f"odds_{o}_close"] = f"coalesce({', '.join([*closing, 'NULL'])})"
+    return out
+
+
+def trainer_extras() -> dict[str, str]:
+    """Odds drift, entropy of the opening market, agreement of ratings and market. On
+    implied_prob_* and elo_diff; a null on either side stays null."""
+    drift = {f"odds_drift_{o}": f"implied_prob_{o}_close - implied_prob_{o}_open" for o in ("home", "draw", "away")}
+    entropy = "-(" + " + ".join(f"implied_prob_{o}_open * ln(CASE WHEN implied_prob_{o}_open > 0.01 THEN implied_prob_{o}_open ELSE 0.01 END)" for o in ("home", "draw", "away")) + ")"
+    return drift | {"open_market_entropy": entropy, "elo_market_agree": "1 - abs(1 / (1 + pow(10, -elo_diff / 400)) - implied_prob_home_open)"}
+
+
 def market() -> list[dict[str, str]]:
-    """Implied probabilities and overround of opening and closing odds, movement."""
+    """Implied probabilities and overround of opening and closing odds, movement."""
     raw, out, moved = {}, {}, {}
     for p in ("open", "close"):
         for o in ("home", "draw", "away"):
@@ -78,6 +112,9 @@ def interactions() -> dict[str, str]:
         "ext_elo_diff": "elo_pre_home - elo_pre_away", "elo_agreement": flag(f"({sign('elo_diff')}) = ({sign('coalesce(elo_pre_home - elo_pre_away, 0)')})"),
         "weighted_streak_home_l5": "ppg_home_l5 * (1 + elo_momentum_home / 20)", "weighted_streak_away_l5": "ppg_away_l5 * (1 + elo_momentum_away / 20)",
         "combined_rating_diff": "(elo_diff / 200 + pi_diff * 2 + (table_pos_away - table_pos_home) / CAST(5 AS DOUBLE)) / 3",
+        "weighted_streak_home_l10": "ppg_home_l10 * (1 + elo_momentum_home / 20)", "weighted_streak_away_l10": "ppg_away_l10 * (1 + elo_momentum_away / 20)",
+        "attack_def_mismatch_home": "pi_home_attack + pi_away_defense", "attack_def_mismatch_away": "pi_away_attack + pi_home_defense",
+        "derby_intensity": "is_derby * season_progress", "weather_impact": "coalesce(precipitation, 0) * coalesce(wind_speed, 0) / 100",
         "position_pressure_home": pressure("table_pos_home"), "position_pressure_away": pressure("table_pos_away"),
     }
     for side, opp, base in (("home", "away", 1.3), ("away", "home", 1.1)):

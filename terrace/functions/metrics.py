@@ -75,6 +75,27 @@ def value_picks(df: DataFrame, edge: float = 0.10) -> DataFrame:
     return chosen.groupBy(picked().alias("pick")).agg(F.count("*").alias("n"), F.avg(won).alias("accuracy"), F.avg(at(P)).alias("mean_p"))
 
 
+MARGINS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
+
+
+def agreement(df: DataFrame) -> DataFrame:
+    """Matches and accuracy of our pick where the market's favourite is the same (agree 1)
+    and where it isn't (0). Rows without market chances are left out."""
+    h, d, a = (F.col(f"market_{o}") for o in ("home", "draw", "away"))
+    market = F.when((h >= d) & (h >= a), 0).when(d >= a, 1).otherwise(2)
+    known = df.where("market_home is not null and market_draw is not null and market_away is not null")
+    return known.groupBy((picked() == market).cast("int").alias("agree")).agg(F.count("*").alias("n"), F.avg((picked() == F.col("outcome")).cast("double")).alias("accuracy"))
+
+
+def decisive(df: DataFrame, margins: tuple[float, ...] = MARGINS) -> DataFrame:
+    """Matches and accuracy from each margin of the first chance over the second on, in one
+    pass with an aggregate a margin."""
+    ranked = F.sort_array(F.array(*P), asc=False)
+    rows = df.select(F.round(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)), 9).alias("m"), (picked() == F.col("outcome")).cast("double").alias("hit"))
+    one = lambda t: F.struct(F.lit(t).alias("margin"), F.count_if(F.col("m") >= t).alias("n"), F.avg(F.when(F.col("m") >= t, F.col("hit"))).alias("accuracy"))
+    return rows.agg(F.array(*map(one, margins)).alias("r")).select(F.explode("r").alias("r")).select("r.*").where("n > 0")
+
+
 def confident_share(df: DataFrame, shares: tuple[int, ...] = (5, 10, 20, 30, 50, 100)) -> DataFrame:
     """Accuracy of the most confident share of rows, at least one. Confidence is binned
     to 1e-4 and rows of a bin are ranked by match_id, so no sort gathers all rows: a running

@@ -95,6 +95,39 @@ def fusion_search(df: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFram
     return rows.agg(F.array(*map(scores, alphas)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+UNSURE = 0.45
+#: Shares of the first forecast in a blend of two.
+BLEND_SHARES = (0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75)
+
+
+def deferred(unsure: float = UNSURE) -> dict[str, str]:
+    """M9: our pick, or the market's favourite where our best chance is under ``unsure`` and
+    the market is known."""
+    from terrace.functions.columns import argmax
+
+    known = "market_home IS NOT NULL AND market_draw IS NOT NULL AND market_away IS NOT NULL"
+    market = argmax("market_home", "market_draw", "market_away")
+    return {"pick_deferred": f"CASE WHEN greatest(p_home, p_draw, p_away) < {unsure} AND {known} THEN {market} ELSE {argmax('p_home', 'p_draw', 'p_away')} END"}
+
+
+def super_blend(df: DataFrame, forecasts: list[str], draw_from: float = 0.0, shares: tuple[float, ...] = BLEND_SHARES) -> DataFrame:
+    """M9: (first, second, alpha, accuracy, rps) of every two of the forecasts name_home,
+    name_draw, name_away, blended alpha to 1 - alpha and renormalised; a draw is called above
+    draw_from (never at 0). One pass, two aggregates a blend; rows lacking a chance are left out
+    of that blend."""
+    def scores(first: str, second: str, alpha: float):
+        h, d, a = (alpha * F.col(f"{first}_{o}") + (1 - alpha) * F.col(f"{second}_{o}") for o in SIDES)
+        total = h + d + a
+        other = F.when(h >= a, 0).otherwise(2)
+        pick = F.when(F.round(d / total, 9) > draw_from, 1).otherwise(other) if draw_from > 0 else other
+        rps = (F.pow(h / total - (F.col("outcome") <= 0).cast("int"), 2) + F.pow((h + d) / total - (F.col("outcome") <= 1).cast("int"), 2)) / 2
+        hit = F.when(total.isNotNull(), (pick == F.col("outcome")).cast("double"))
+        return F.struct(F.lit(first).alias("first"), F.lit(second).alias("second"), F.lit(alpha).alias("alpha"), F.avg(hit).alias("accuracy"), F.avg(rps).alias("rps"))
+
+    pairs = [scores(x, y, alpha) for i, x in enumerate(forecasts) for y in forecasts[i + 1 :] for alpha in shares]
+    return df.agg(F.array(*pairs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def best(searched: DataFrame, by: str, high: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
     """The first row of a search, ties by the named columns."""
     return searched.orderBy(F.desc(by) if high else F.asc(by), *ties).limit(1)

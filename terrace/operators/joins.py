@@ -1,4 +1,4 @@
-"""Lookups, as-of ratings, latest records, set operations."""
+"""Lookups, as-of ratings, latest records, set operations."""
 
 from __future__ import annotations
 

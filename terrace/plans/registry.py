@@ -80,6 +80,8 @@ def _more() -> None:
         "elo_home": "CAST(1400 + match_id % 211 AS DOUBLE)", "elo_away": "CAST(1400 + match_id % 197 AS DOUBLE)", "elo_diff": "gap_elo", "pi_diff": "(match_id % 21 - 10) / CAST(10 AS DOUBLE)",
         "elo_momentum_home": "CAST(match_id % 7 - 3 AS DOUBLE)", "elo_momentum_away": "CAST(match_id % 5 - 2 AS DOUBLE)", "elo_pre_home": "CASE WHEN match_id % 4 = 0 THEN NULL ELSE CAST(1500 + match_id % 97 AS DOUBLE) END", "elo_pre_away": "CAST(1500 + match_id % 89 AS DOUBLE)",
         "table_pos_home": "match_id % 20 + 1", "table_pos_away": "match_id % 19 + 1", "rest_home": "match_id % 15", "rest_away": "match_id % 12",
+        "ppg_home_l10": "(match_id % 31) / CAST(10 AS DOUBLE)", "ppg_away_l10": "(match_id % 29) / CAST(10 AS DOUBLE)", "is_derby": "match_id % 2", "season_progress": "(match_id % 38 + 1) / CAST(38 AS DOUBLE)",
+        **{f"pi_{s}_{k}": f"(match_id % {m} - 4) / CAST(10 AS DOUBLE)" for s, k, m in (("home", "attack", 9), ("home", "defense", 8), ("away", "attack", 7), ("away", "defense", 11))},
         **{f"{n}_{s}_l5": f"CASE WHEN match_id % {m + k} = 0 THEN NULL ELSE (match_id % {m}) / CAST(5 AS DOUBLE) END" for n, m in (("ppg", 16), ("goals_scored", 14), ("goals_conceded", 13), ("clean_sheets", 6)) for k, s in ((3, "home"), (5, "away"))},
     }
     inter = columns.interactions()
@@ -277,6 +279,100 @@ def _models() -> None:
 _models()
 
 
+def _rest() -> None:
+    """Rows whose SQL is written apart from the query's own expressions."""
+    from pyspark.sql import functions as F
+
+    from terrace.functions import columns, metrics, text
+    from terrace.operators import decisions, goals, upcoming
+
+    C, S = source.CONTEST_SQL, source.SIDES_SQL
+
+    def add(name, query, oracle, final):
+        QUERIES[name] = lambda spark, d: query(spark, d).selectExpr(*final)
+        ORACLES[name] = steps.final_sql(oracle, final)
+
+    raw = {"odds_pin_home": "CASE WHEN match_id % 3 = 0 THEN NULL WHEN match_id % 5 = 0 THEN 'n/a' ELSE CAST(odds_home_open AS STRING) END", "odds_b365_home": "CASE WHEN match_id % 7 = 0 THEN NULL ELSE '2.5' END", "odds_wh_home": "'3.25'", "odds_b365_home_close": "CASE WHEN match_id % 2 = 0 THEN '2.75' END", "odds_avg_draw": "'3.5'"}
+    add("p06_odds_priority", lambda s, d: source.contest(s, d).selectExpr("match_id", *[f"{e} AS {n}" for n, e in raw.items()]).selectExpr("match_id", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in columns.priced(set(raw)).items()]),
+        f"""SELECT match_id, oh AS odds_home_open, 3.5 AS odds_draw_open, NULL AS odds_away_open, CASE WHEN match_id % 2 = 0 THEN 2.75 ELSE oh END AS odds_home_close, 3.5 AS odds_draw_close, NULL AS odds_away_close
+        FROM (SELECT match_id, CASE WHEN match_id % 3 <> 0 AND match_id % 5 <> 0 AND odds_home_open IS NOT NULL THEN odds_home_open WHEN match_id % 7 <> 0 THEN 2.5 ELSE 3.25 END AS oh FROM ({C}))""",
+        steps.rounded(["match_id"], [f"odds_{o}_{p}" for o in ("home", "draw", "away") for p in ("open", "close")]))
+    week = {"gameweek": "CASE WHEN match_id % 10 = 0 THEN NULL ELSE match_id % 38 + 1 END", "rest_home": "CASE WHEN match_id % 4 = 0 THEN NULL ELSE match_id % 12 END", "rest_away": "match_id % 9"}
+    add("p08_season_stage", lambda s, d: steps.columns(source.contest(s, d), week, columns.season_stage()),
+        f"""SELECT match_id, CASE WHEN match_id % 4 = 0 THEN 7 ELSE match_id % 12 END - match_id % 9 AS rest_diff, w / 38.0 AS season_progress, (w < 6)::INT AS is_early_season, (w > 32)::INT AS is_late_season, (w > 29)::INT AS is_run_in
+        FROM (SELECT match_id, CASE WHEN match_id % 10 = 0 THEN 19 ELSE match_id % 38 + 1 END AS w FROM ({C}))""",
+        steps.rounded(["match_id", "rest_diff", "is_early_season", "is_late_season", "is_run_in"], ["season_progress"]))
+    market = columns.market()
+    add("p17_trainer_extras", lambda s, d: steps.columns(source.contest(s, d), *market[:2], {"elo_diff": "gap_elo"}, columns.trainer_extras()),
+        f"""WITH o AS (SELECT match_id, gap_elo, 1 / odds_home_open AS a, 1 / odds_draw_open AS b, 1 / odds_away_open AS c, 1 / odds_home_close AS d, 1 / odds_draw_close AS e, 1 / odds_away_close AS f FROM ({C})),
+        q AS (SELECT match_id, gap_elo, a / (a + b + c) AS h, b / (a + b + c) AS x, c / (a + b + c) AS w, d / (d + e + f) AS h2, e / (d + e + f) AS x2, f / (d + e + f) AS w2 FROM o)
+        SELECT match_id, h2 - h AS odds_drift_home, x2 - x AS odds_drift_draw, w2 - w AS odds_drift_away, -(h * ln(greatest(h, 0.01)) + x * ln(greatest(x, 0.01)) + w * ln(greatest(w, 0.01))) AS open_market_entropy, 1 - abs(1 / (1 + 10 ** (-gap_elo / 400)) - h) AS elo_market_agree FROM q""",
+        steps.rounded(["match_id"], list(columns.trainer_extras())))
+    add("m05_team_strengths", lambda s, d: goals.bivariate_strengths(source.sides(source.contest(s, d))),
+        f"SELECT team, avg(gf) / (SELECT avg(gf) FROM ({S})) AS attack, avg(ga) / (SELECT avg(gf) FROM ({S})) AS defence FROM ({S}) GROUP BY team", steps.rounded(["team"], ["attack", "defence"]))
+    lam = {"lambda_1": "(5 + match_id % 20) / CAST(10 AS DOUBLE)", "lambda_2": "(3 + match_id % 17) / CAST(10 AS DOUBLE)", "lambda_3": "(match_id % 4) / CAST(20 AS DOUBLE)"}
+    pm = lambda x, k: f"exp(-{x}) * CASE WHEN {k} = 0 THEN 1 ELSE pow({x}, {k}) END / factorial(CAST({k} AS INT))"
+    add("m05_bivariate_outcomes", lambda s, d: goals.bivariate_outcomes(source.contest(s, d).selectExpr("match_id", *[f"{e} AS {n}" for n, e in lam.items()])),
+        f"""WITH l AS (SELECT DISTINCT {', '.join(f'{e} AS {n}' for n, e in lam.items())} FROM ({C})), g AS (SELECT l.*, i, j, k, {pm('lambda_3', 'k')} * {pm('lambda_1', '(i - k)')} * {pm('lambda_2', '(j - k)')} AS p FROM l, range(8) a(i), range(8) b(j), range(8) c(k) WHERE k <= i AND k <= j),
+        s AS (SELECT lambda_1, lambda_2, lambda_3, sum(p) FILTER (i > j) / sum(p) AS p_home, sum(p) FILTER (i = j) / sum(p) AS p_draw, sum(p) FILTER (i < j) / sum(p) AS p_away FROM g GROUP BY 1, 2, 3)
+        SELECT match_id, p_home, p_draw, p_away FROM (SELECT match_id, {', '.join(f'{e} AS {n}' for n, e in lam.items())} FROM ({C})) JOIN s USING (lambda_1, lambda_2, lambda_3)""",
+        steps.rounded(["match_id"], ["p_home", "p_draw", "p_away"]))
+    add("p28_best_score", lambda s, d: source.contest(s, d).selectExpr("match_id", "CAST(match_id % 3 AS INT) AS outcome", "CASE WHEN match_id % 5 = 0 THEN array('2-0', '1-0') ELSE array('1-1', '0-2', '2-1', '1-3') END AS scores").withColumn("score", goals.best_score("scores", "outcome")),
+        f"SELECT match_id, CASE WHEN match_id % 5 = 0 THEN '2-0' WHEN match_id % 3 = 0 THEN '2-1' WHEN match_id % 3 = 1 THEN '1-1' ELSE '0-2' END AS score FROM ({C})", steps.rounded(["match_id"], [], ("score",)))
+    chances = {"p_home": "(30 + match_id % 41) / CAST(120 AS DOUBLE)", "p_draw": "(10 + match_id % 29) / CAST(120 AS DOUBLE)", "p_away": "(60 - match_id % 41 + match_id % 17) / CAST(120 AS DOUBLE)", "outcome": "CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END",
+               "market_home": "CASE WHEN match_id % 10 = 0 THEN NULL ELSE (25 + match_id % 37) / CAST(100 AS DOUBLE) END", "market_draw": "(20 + match_id % 23) / CAST(100 AS DOUBLE)", "market_away": "(15 + match_id % 31) / CAST(100 AS DOUBLE)"}
+    priced = lambda s, d: steps.columns(source.contest(s, d), chances)
+    P = steps.sql(C, chances)
+    pick = lambda p: f"list_position([{p}_home, {p}_draw, {p}_away], greatest({p}_home, {p}_draw, {p}_away)) - 1"
+    add("m09_market_deferral", lambda s, d: steps.columns(priced(s, d), decisions.deferred()),
+        f"SELECT match_id, CASE WHEN p_home < 0.45 AND p_draw < 0.45 AND p_away < 0.45 AND match_id % 10 <> 0 THEN {pick('market')} ELSE {pick('p')} END AS pick_deferred FROM ({P})", steps.rounded(["match_id", "pick_deferred"], []))
+    grid = ", ".join(f"{a}::DOUBLE" for a in decisions.BLEND_SHARES)
+    add("m09_super_blend", lambda s, d: decisions.super_blend(priced(s, d), ["p", "market"], 0.3),
+        f"""SELECT 'p' AS first, 'market' AS second, alpha, avg(CASE WHEN t IS NOT NULL THEN (CASE WHEN round(x / t, 9) > 0.3 THEN 1 WHEN h >= w THEN 0 ELSE 2 END = outcome)::INT END) AS accuracy, avg(((h / t - (outcome = 0)::INT) ** 2 + ((h + x) / t - (outcome < 2)::INT) ** 2) / 2) AS rps
+        FROM (SELECT *, h + x + w AS t FROM (SELECT outcome, alpha, alpha * p_home + (1 - alpha) * market_home AS h, alpha * p_draw + (1 - alpha) * market_draw AS x, alpha * p_away + (1 - alpha) * market_away AS w FROM ({P}), (SELECT unnest([{grid}]) AS alpha))) GROUP BY alpha""",
+        steps.rounded([], ["alpha", "accuracy", "rps"], ("first", "second")))
+    add("m22_agreement", lambda s, d: metrics.agreement(priced(s, d)),
+        f"SELECT ({pick('p')} = {pick('market')})::INT AS agree, count(*) AS n, avg(({pick('p')} = outcome)::INT) AS accuracy FROM ({P}) WHERE match_id % 10 <> 0 GROUP BY 1", steps.rounded(["agree", "n"], ["accuracy"]))
+    add("m22_decisive", lambda s, d: metrics.decisive(priced(s, d)),
+        f"""SELECT margin, count(*) AS n, avg(hit) AS accuracy FROM (SELECT round(list_reverse_sort([p_home, p_draw, p_away])[1] - list_reverse_sort([p_home, p_draw, p_away])[2], 9) AS m, ({pick('p')} = outcome)::INT AS hit FROM ({P})), (SELECT unnest([{', '.join(f'{m}::DOUBLE' for m in metrics.MARGINS)}]) AS margin) WHERE m >= margin GROUP BY margin""",
+        steps.rounded(["n"], ["margin", "accuracy"]))
+    signals = "length(coalesce(text, '')) AS z"
+    news = {"score": "CASE WHEN z % 9 = 0 THEN NULL ELSE (z % 21 - 10) / CAST(10 AS DOUBLE) END", "has_content": "CASE WHEN z % 4 = 0 THEN 0 ELSE 1 END", "injury": "z % 3", "manager": "z % 2", "transfer": "z % 4", "morale": "(z % 11 - 5) / CAST(5 AS DOUBLE)", "tactical": "CASE WHEN z % 6 = 0 THEN 1 ELSE 0 END", "key_player": "CASE WHEN z % 5 = 0 THEN 1 ELSE 0 END"}
+    rates = [("injury", "injury_risk"), ("manager", "manager_instability"), ("transfer", "transfer_activity"), ("tactical", "tactical_disruption"), ("key_player", "key_player_concern")]
+    add("a13_team_news", lambda s, d: text.team_news(steps.columns(source.read(s, d, "documents").selectExpr("source AS team", signals), news)),
+        f"""WITH a AS ({steps.sql(f"SELECT source AS team, {signals} FROM documents", news)}), b AS (SELECT *, CASE WHEN has_content = 1 THEN score END AS c FROM a)
+        SELECT team, coalesce(avg(c), 0) AS sentiment, least(1, count(c) / 10) AS confidence, count(*) AS volume, {', '.join(f'CASE WHEN count(c) > 0 THEN least(1, sum({x}) / count(*)) ELSE 0 END AS {y}' for x, y in rates)},
+        CASE count(c) WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE 1 - stddev_pop(c) END AS consensus, CASE WHEN count(c) > 0 THEN greatest(-1, least(1, avg(morale))) ELSE 0 END AS morale FROM b GROUP BY team""",
+        steps.rounded(["volume"], ["sentiment", "confidence", *[y for _, y in rates], "consensus", "morale"], ("team",)))
+    add("t07_recency", lambda s, d: source.read(s, d, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS at").withColumn("weight", text.recency("at", "2024-01-04 00:00:00")),
+        "SELECT event_id, greatest(0.3, 1 - date_diff('second', ts, TIMESTAMP '2024-01-04 00:00:00') / 3600.0 / 120) AS weight FROM events", steps.rounded(["event_id"], ["weight"]))
+    add("t08_injury_amplified", lambda s, d: source.read(s, d, "documents").selectExpr("doc_id", "(length(text) % 21 - 10) / CAST(10 AS DOUBLE) AS raw", "length(text) % 5 AS injuries").withColumn("score", text.amplified(F.col("raw"), F.col("injuries"))[0]).withColumn("mention", text.amplified(F.col("raw"), F.col("injuries"))[1]),
+        "SELECT doc_id, greatest(-1, least(1, (length(text) % 21 - 10) / 10.0 - 0.12 * (length(text) % 5))) AS score, (length(text) % 5 > 0)::INT AS mention FROM documents", steps.rounded(["doc_id", "mention"], ["score"]))
+
+    # the last season's fixtures, turned round; teams divisible by nine did not play in it
+    feats = ["gf", "ga", "xgf", "shots_f"]
+    played = lambda s, d: source.sides(source.contest(s, d)).where("NOT (season = 1998 AND team % 9 = 0)")
+    to_come = lambda s, d: source.contest(s, d).where("season = 1998").selectExpr("match_id", "date_add(match_date, 400) AS match_date", "away_team AS home_team", "home_team AS away_team")
+    fresh = lambda s, d: source.read(s, d, "nation").where("n_nationkey % 2 = 0").selectExpr("n_nationkey AS team", "CAST(n_nationkey % 7 AS DOUBLE) AS shots_f", "CAST(n_nationkey % 5 AS INT) AS ga")
+    prepared = lambda s, d: upcoming.prepare(to_come(s, d), played(s, d), feats, fresh(s, d), {"xg_estimate": "gf"}, ["odds_home_close"])
+    top = lambda c, on: f"arg_max_null({c}, (match_date, match_id)) FILTER ({on})"
+    venue = lambda c, at: f"coalesce(CASE WHEN bool_or(is_home = {at} AND season = m) THEN {top(c, f'is_home = {at} AND season = m')} ELSE {top(c, f'is_home = {at}')} END, {top(c, 'true')})"
+    live = {"shots_f": "coalesce({0}, CASE WHEN {1} % 2 = 0 THEN {1} % 7 END)", "ga": "coalesce({0}, CASE WHEN {1} % 2 = 0 THEN {1} % 5 END)"}
+    cols = [live.get(c, "{0}").format(f"{t}.{c}_{v}", f"{v}_team") + f" AS {c}_{v}" for c in feats for t, v in (("h", "home"), ("a", "away"))]
+    add("m23_upcoming", prepared,
+        f"""WITH s AS (SELECT *, max(season) OVER () AS m FROM ({S}) WHERE NOT (season = 1998 AND team % 9 = 0)),
+        k AS (SELECT team, {', '.join(f'{venue(c, at)} AS {c}_{v}' for c in feats for at, v in ((1, 'home'), (0, 'away')))} FROM s GROUP BY team HAVING bool_or(season = m)),
+        u AS (SELECT match_id, match_date + 400 AS match_date, away_team AS home_team, home_team AS away_team FROM ({C}) WHERE season = 1998),
+        j AS (SELECT u.*, {', '.join(cols)} FROM u LEFT JOIN k h ON h.team = home_team LEFT JOIN k a ON a.team = away_team)
+        SELECT *, {', '.join(f'{c}_home - {c}_away AS {c}_diff' for c in feats)}, 0.85 * gf_home + 0.2025 AS xg_estimate_home, 0.85 * gf_away + 0.2025 AS xg_estimate_away, 0.85 * (gf_home - gf_away) AS xg_estimate_diff,
+        month(match_date) AS month_no, isodow(match_date) - 1 AS day_of_week, (isodow(match_date) IN (2, 3, 4))::INT AS is_midweek, (month(match_date) IN (8, 9))::INT AS is_early_season, (month(match_date) IN (4, 5))::INT AS is_run_in, (month(match_date) IN (11, 12, 1, 2))::INT AS is_cold,
+        least(((month(match_date) + 4) % 12) / 10.0, 1) AS season_progress, NULL AS odds_home_close FROM j""",
+        steps.rounded(["match_id", "month_no", "day_of_week", "is_midweek", "is_early_season", "is_run_in", "is_cold"], [*[f"{c}_{x}" for c in [*feats, "xg_estimate"] for x in ("home", "away", "diff")], "season_progress", "odds_home_close"]))
+
+
+_rest()
+
+
 def _learning() -> None:
     from terrace.plans import learning
 
