@@ -53,6 +53,15 @@ def promoted(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.select("team").distinct().join(before.select("team").distinct(), "team", "left_anti")
 
 
+def newcomers(played: DataFrame, season: str, team: str) -> DataFrame:
+    """J9 over all seasons: (season, team) of teams that did not play the season before; the
+    first season has none."""
+    seen = played.select(F.col(season).alias("season"), F.col(team).alias("team")).distinct()
+    first = F.broadcast(seen.agg(F.min("season").alias("_first")))  # one row
+    before = seen.select((F.col("season") + 1).alias("season"), "team")
+    return seen.join(before, ["season", "team"], "left_anti").crossJoin(first).where("season > _first").drop("_first")
+
+
 def override(base: DataFrame, live: DataFrame, key: str, columns: list[str], always: tuple[str, ...] = ()) -> DataFrame:
     """Live values where base has none, and always for columns with such a prefix."""
     renamed = live.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -138,9 +138,8 @@ def _relational() -> None:
     lat = [f"latest_{c}_{v}" for c in ("gf", "pts") for v in ("home", "away")]
     lats = ", ".join(f"coalesce(arg_max({c}, (match_date, match_id)) FILTER (is_home = {k}), arg_max({c}, (match_date, match_id))) AS latest_{c}_{v}" for c in ("gf", "pts") for k, v in ((1, "home"), (0, "away")))
     add("j08_latest_by_venue", lambda s, d: joins.latest(source.sides(source.contest(s, d)), ["gf", "pts"]), f"SELECT team, {lats} FROM ({S}) GROUP BY team", steps.rounded(["team", *lat], []))
-    season = lambda s, d, where: source.sides(source.contest(s, d)).where(where)
-    add("j09_promoted", lambda s, d: joins.promoted(season(s, d, "season = 1996 AND dn % 3 = 0"), season(s, d, "season = 1995 AND dn % 90 = 0")),
-        f"WITH s AS ({S}) SELECT DISTINCT team FROM s WHERE season = 1996 AND dn % 3 = 0 AND team NOT IN (SELECT team FROM s WHERE season = 1995 AND dn % 90 = 0)", steps.rounded(["team"], []))
+    add("j09_promoted", lambda s, d: joins.newcomers(source.read(s, d, "orders").selectExpr("year(o_orderdate) AS season", "o_custkey"), "season", "o_custkey"),
+        "WITH p AS (SELECT DISTINCT year(o_orderdate) AS season, o_custkey AS team FROM orders) SELECT season, team FROM p WHERE season > (SELECT min(season) FROM p) AND (season - 1, team) NOT IN (SELECT season, team FROM p)", steps.rounded(["season", "team"], []))
     live = lambda s, d: source.contest(s, d).where("match_id % 5 <> 0").selectExpr("match_id", "sot_home AS shots_home", "sot_away AS temperature")
     add("j10_live_override", lambda s, d: joins.override(source.contest(s, d).select("match_id", "shots_home", "temperature"), live(s, d), "match_id", ["shots_home", "temperature"], ("shots",)),
         f"WITH c AS ({C}) SELECT c.match_id, coalesce(l.sot_home, c.shots_home) AS shots_home, coalesce(c.temperature, l.sot_away) AS temperature FROM c LEFT JOIN (SELECT * FROM c WHERE match_id % 5 <> 0) l USING (match_id)",
