@@ -11,7 +11,7 @@ together in ``packs``, written where they were read. All others give their chunk
 ``chunks``, one row a digest. The writer tells both kinds apart by a bit set over hashed media
 ids, of ``BITS_A_MEDIUM`` bits for each one that shares, up to ``MOST_BITS`` (64 MB, the most
 that is broadcast). A false hit sends a medium to ``chunks``, which is right as well; beyond
-some hundred million sharing media ever more go there, at the cost of a shuffle. Reading back joins recipes with chunks by digest and verifies the text's hash.
+some ten million sharing media ever more go there, at the cost of a shuffle. Reading back joins recipes with chunks by digest and verifies the text's hash.
 
 Null texts are empty ones: 64 bytes 0. Equal texts are one medium; null and repeated doc_ids
 are kept as rows; an empty table gives an empty result; other columns are ignored.
@@ -33,7 +33,7 @@ from terrace.llm.common import SLICE_ROWS, stage, table
 
 PAD = 64
 CUT_BITS, LEAST, MOST = 10, 256, 8192
-BITS_A_MEDIUM, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 29
+BITS_A_MEDIUM, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 29
 MAGIC = b"TCM1"
 #: Gear values of the 256 bytes, by rule.
 GEAR = np.array([struct.unpack("<I", hashlib.sha256(b"gear %d" % b).digest()[:4])[0] for b in range(256)], np.uint32)
