@@ -21,11 +21,12 @@ from pyspark.sql.types import StructType
 FULL_NAME = r"\b([A-Z][a-z]{1,15}\s[A-Z][a-z]{1,20}(?:\s[A-Z][a-z]{1,20})?)\b"
 CAPITALISED = r"\b([A-Z][a-z]{2,20})\b"
 CONTEXT = ["scored", "goal", "assist", "injur", "sidelined", "ruled out", "return", "fit", "doubt", "miss", "absent", "surgery", "captain", "striker", "midfielder", "defender", "goalkeeper", "winger", "forward", "playmaker", "star"]
-NO_NAMES = frozenset(
-    "Premier League United City Palace Forest Villa Town Wednesday Saturday Sunday Monday Tuesday January February March April May June July August September October November December "
-    "Arsenal Chelsea Liverpool Tottenham Newcastle Brighton Everton Fulham Brentford Wolves Bournemouth Ipswich Leicester Southampton England Spain France Germany Brazil Argentina "
-    "Manager Coach Report Update Breaking".split()
-)
+NO_NAMES = {
+    "Premier", "League", "United", "City", "Palace", "Forest", "Villa", "Town", "Wednesday", "Saturday", "Sunday", "Monday", "Tuesday", "January",
+    "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December", "Arsenal", "Chelsea", "Liverpool",
+    "Tottenham", "Newcastle", "Brighton", "Everton", "Fulham", "Brentford", "Wolves", "Bournemouth", "Ipswich", "Leicester", "Southampton", "England",
+    "Spain", "France", "Germany", "Brazil", "Argentina", "Manager", "Coach", "Report", "Update", "Breaking",
+}
 ABSENT = ["injur", "ruled out", "sidelined", "doubt", "miss(?:es|ing)?", "absent", "out of", "surgery", "torn", "fracture", "hamstring", "knee", "ankle", "muscle", "ban", "suspend"]
 BACK = ["return", r"\bfit\b", "available", "recover", "back in", "training", "ready", "passed.*test"]
 NEAR, AROUND = 100, 80
