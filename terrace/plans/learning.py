@@ -129,8 +129,8 @@ def register(queries: dict, oracles: dict) -> None:
         steps.rounded([], ["alpha", "rps", "accuracy"]))
     add("m11_folds", lambda s, d: steps.columns(decisions.ordered_place(source.contest(s, d)), decisions.fold()),
         steps.sql(f"SELECT match_id, row_number() OVER (ORDER BY dn, match_id) AS place, count(*) OVER () AS total FROM ({C})", decisions.fold()), steps.rounded(["match_id", "place", "fold"], []))
-    teams = lambda s, d: steps.columns(source.read(s, d, "nation").selectExpr("n_nationkey AS team").where("team % 6 <> 0"), TEAMS)
-    teams_sql = steps.sql("SELECT n_nationkey AS team FROM nation WHERE n_nationkey % 6 <> 0", TEAMS)
+    teams = lambda s, d: steps.columns(source.read(s, d, "nation").selectExpr("n_nationkey AS team"), TEAMS)
+    teams_sql = steps.sql("SELECT n_nationkey AS team FROM nation", TEAMS)
     both = lambda p: ", ".join(f"coalesce({t}.{n}, 0) AS {p}{n}_{s}" for n in TEAMS for t, s in (("h", "home"), ("a", "away")))
     joined = lambda p: f"SELECT c.*, {both(p)} FROM ({steps.sql(C, FORM)}) c LEFT JOIN ({teams_sql}) h ON h.team = home_team LEFT JOIN ({teams_sql}) a ON a.team = away_team"
     sides = lambda p: [f"{p}{n}_{s}" for n in TEAMS for s in ("home", "away")]

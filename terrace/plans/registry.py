@@ -99,7 +99,7 @@ _more()
 #: Side tables that the driver's tables lack, from keys alone; the same text for both engines
 #: but for the form of a date series.
 _PROBS = {"p_home": "(30 + match_id % 41) / CAST(100 AS DOUBLE)", "p_draw": "(10 + match_id % 17) / CAST(100 AS DOUBLE)", "p_away": "(60 - match_id % 41 - match_id % 17) / CAST(100 AS DOUBLE)", "outcome": "CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END"}
-_SNAP = "CAST(1300 + (n_nationkey * 37 + month(s) * 11) % 300 AS DOUBLE)"
+_SNAP = "CAST(1300 + (team * 37 + month(snapshot_date) * 11) % 300 AS DOUBLE)"
 
 
 def _relational() -> None:
@@ -115,19 +115,18 @@ def _relational() -> None:
         ORACLES[name] = steps.final_sql(oracle, final)
 
     def xg_side(spark, d):
-        keep = source.contest(spark, d).where("match_id % 3 <> 0")
+        keep = source.contest(spark, d)
         return keep.select("match_date", "home_team", "away_team", F.col("xg_home").alias("us_home"), F.col("xg_away").alias("us_away"))
 
     add("j01_expected_goals", lambda s, d: joins.with_side_table(source.contest(s, d), xg_side(s, d), ["match_date", "home_team", "away_team"]),
-        f"WITH c AS ({C}), u AS (SELECT match_date, home_team, away_team, xg_home AS us_home, xg_away AS us_away, row_number() OVER (PARTITION BY match_date, home_team, away_team ORDER BY xg_home NULLS FIRST, xg_away NULLS FIRST) AS k FROM c WHERE match_id % 3 <> 0) SELECT match_id, us_home, us_away FROM c LEFT JOIN (SELECT * FROM u WHERE k = 1) USING (match_date, home_team, away_team)",
+        f"WITH c AS ({C}), u AS (SELECT match_date, home_team, away_team, xg_home AS us_home, xg_away AS us_away, row_number() OVER (PARTITION BY match_date, home_team, away_team ORDER BY xg_home NULLS FIRST, xg_away NULLS FIRST) AS k FROM c) SELECT match_id, us_home, us_away FROM c LEFT JOIN (SELECT * FROM u WHERE k = 1) USING (match_date, home_team, away_team)",
         steps.rounded(["match_id"], ["us_home", "us_away"]))
 
     def snapshots(spark, d):
-        months = source.contest(spark, d).select(F.trunc("match_date", "MM").alias("s")).where("month(s) % 2 = 1").distinct()
-        nations = source.read(spark, d, "nation")
-        return months.crossJoin(nations).where("(n_nationkey + month(s)) % 7 <> 0").selectExpr("s AS snapshot_date", "n_nationkey AS team", f"{_SNAP} AS elo")
+        """At each month's end the ratings of the teams that played in it; a team that did not has none."""
+        return source.sides(source.contest(spark, d)).selectExpr("last_day(match_date) AS snapshot_date", "team").distinct().selectExpr("*", f"{_SNAP} AS elo")
 
-    snap_sql = f"SELECT s AS snapshot_date, n_nationkey AS team, {_SNAP} AS elo FROM (SELECT DISTINCT CAST(date_trunc('month', match_date) AS DATE) AS s FROM c) CROSS JOIN nation WHERE month(s) % 2 = 1 AND (n_nationkey + month(s)) % 7 <> 0"
+    snap_sql = f"SELECT *, {_SNAP} AS elo FROM (SELECT DISTINCT last_day(match_date) AS snapshot_date, team FROM ({S}))"
     add("j03_as_of_ratings", lambda s, d: joins.as_of_ratings(source.contest(s, d), snapshots(s, d)),
         f"WITH c AS ({C}), sn AS ({snap_sql}), ds AS (SELECT DISTINCT snapshot_date AS sd FROM sn) SELECT match_id, h.elo AS elo_pre_home, a.elo AS elo_pre_away FROM c ASOF LEFT JOIN ds ON match_date >= sd LEFT JOIN sn h ON h.snapshot_date = sd AND h.team = home_team LEFT JOIN sn a ON a.snapshot_date = sd AND a.team = away_team",
         steps.rounded(["match_id"], ["elo_pre_home", "elo_pre_away"]))
@@ -140,9 +139,9 @@ def _relational() -> None:
     add("j08_latest_by_venue", lambda s, d: joins.latest(source.sides(source.contest(s, d)), ["gf", "pts"]), f"SELECT team, {lats} FROM ({S}) GROUP BY team", steps.rounded(["team", *lat], []))
     add("j09_promoted", lambda s, d: joins.newcomers(source.read(s, d, "orders").selectExpr("year(o_orderdate) AS season", "o_custkey"), "season", "o_custkey"),
         "WITH p AS (SELECT DISTINCT year(o_orderdate) AS season, o_custkey AS team FROM orders) SELECT season, team FROM p WHERE season > (SELECT min(season) FROM p) AND (season - 1, team) NOT IN (SELECT season, team FROM p)", steps.rounded(["season", "team"], []))
-    live = lambda s, d: source.contest(s, d).where("match_id % 5 <> 0").selectExpr("match_id", "sot_home AS shots_home", "sot_away AS temperature")
+    live = lambda s, d: source.contest(s, d).selectExpr("match_id", "sot_home AS shots_home", "sot_away AS temperature")
     add("j10_live_override", lambda s, d: joins.override(source.contest(s, d).select("match_id", "shots_home", "temperature"), live(s, d), "match_id", ["shots_home", "temperature"], ("shots",)),
-        f"WITH c AS ({C}) SELECT c.match_id, coalesce(l.sot_home, c.shots_home) AS shots_home, coalesce(c.temperature, l.sot_away) AS temperature FROM c LEFT JOIN (SELECT * FROM c WHERE match_id % 5 <> 0) l USING (match_id)",
+        f"WITH c AS ({C}) SELECT c.match_id, coalesce(l.sot_home, c.shots_home) AS shots_home, coalesce(c.temperature, l.sot_away) AS temperature FROM c LEFT JOIN c l USING (match_id)",
         steps.rounded(["match_id"], ["shots_home", "temperature"]))
     add("l03_first_of_pair", lambda s, d: joins.first_of_pair(source.contest(s, d)),
         f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY home_team, away_team ORDER BY match_date, match_id) AS k FROM ({C})) WHERE k = 1", steps.rounded(["match_id", "home_team", "away_team"], []))
@@ -224,8 +223,8 @@ def _models() -> None:
         add(name, lambda s, d, system=system: ratings.rate(leagues(s, d), system), None, steps.rounded(["match_id"], system.columns))
 
     # the goal model at fixed parameters, all from keys
-    par = "SELECT n_nationkey AS team, (n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack, (n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence FROM nation WHERE n_nationkey <> 3"
-    params = lambda s, d: source.read(s, d, "nation").where("n_nationkey <> 3").selectExpr("n_nationkey AS team", "(n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack", "(n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence")
+    par = "SELECT n_nationkey AS team, (n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack, (n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence FROM nation"
+    params = lambda s, d: source.read(s, d, "nation").selectExpr("n_nationkey AS team", "(n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack", "(n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence")
     home, rho, mu = 0.25, -0.05, 0.2
     out = ["lambda_home", "lambda_away", "p_home", "p_draw", "p_away", "over_2_5", "btts"]
     pm = lambda lam, k: f"exp(-{lam}) * pow({lam}, {k}) / factorial(CAST({k} AS INT))"
@@ -348,20 +347,20 @@ def _rest() -> None:
     add("t08_injury_amplified", lambda s, d: source.read(s, d, "documents").selectExpr("doc_id", "(length(text) % 21 - 10) / CAST(10 AS DOUBLE) AS raw", "length(text) % 5 AS injuries").withColumn("score", text.amplified(F.col("raw"), F.col("injuries"))[0]).withColumn("mention", text.amplified(F.col("raw"), F.col("injuries"))[1]),
         "SELECT doc_id, greatest(-1, least(1, (length(text) % 21 - 10) / 10.0 - 0.12 * (length(text) % 5))) AS score, (length(text) % 5 > 0)::INT AS mention FROM documents", steps.rounded(["doc_id", "mention"], ["score"]))
 
-    # the last season's fixtures, turned round; teams divisible by nine did not play in it
+    # every fixture turned round and put after the last season
     feats = ["gf", "ga", "xgf", "shots_f"]
-    played = lambda s, d: source.sides(source.contest(s, d)).where("NOT (season = 1998 AND team % 9 = 0)")
-    to_come = lambda s, d: source.contest(s, d).where("season = 1998").selectExpr("match_id", "date_add(match_date, 400) AS match_date", "away_team AS home_team", "home_team AS away_team")
-    fresh = lambda s, d: source.read(s, d, "nation").where("n_nationkey % 2 = 0").selectExpr("n_nationkey AS team", "CAST(n_nationkey % 7 AS DOUBLE) AS shots_f", "CAST(n_nationkey % 5 AS INT) AS ga")
+    played = lambda s, d: source.sides(source.contest(s, d))
+    to_come = lambda s, d: source.contest(s, d).selectExpr("match_id", "date_add(match_date, 3000) AS match_date", "away_team AS home_team", "home_team AS away_team")
+    fresh = lambda s, d: source.read(s, d, "nation").selectExpr("n_nationkey AS team", "CAST(n_nationkey % 7 AS DOUBLE) AS shots_f", "CAST(n_nationkey % 5 AS INT) AS ga")
     prepared = lambda s, d: upcoming.prepare(to_come(s, d), played(s, d), feats, fresh(s, d), {"xg_estimate": "gf"}, ["odds_home_close"])
     top = lambda c, on: f"arg_max_null({c}, (match_date, match_id)) FILTER ({on})"
     venue = lambda c, at: f"coalesce(CASE WHEN bool_or(is_home = {at} AND season = m) THEN {top(c, f'is_home = {at} AND season = m')} ELSE {top(c, f'is_home = {at}')} END, {top(c, 'true')})"
-    live = {"shots_f": "coalesce({0}, CASE WHEN {1} % 2 = 0 THEN {1} % 7 END)", "ga": "coalesce({0}, CASE WHEN {1} % 2 = 0 THEN {1} % 5 END)"}
+    live = {"shots_f": "coalesce({0}, {1} % 7)", "ga": "coalesce({0}, {1} % 5)"}
     cols = [live.get(c, "{0}").format(f"{t}.{c}_{v}", f"{v}_team") + f" AS {c}_{v}" for c in feats for t, v in (("h", "home"), ("a", "away"))]
     add("m23_upcoming", prepared,
-        f"""WITH s AS (SELECT *, max(season) OVER () AS m FROM ({S}) WHERE NOT (season = 1998 AND team % 9 = 0)),
+        f"""WITH s AS (SELECT *, max(season) OVER () AS m FROM ({S})),
         k AS (SELECT team, {', '.join(f'{venue(c, at)} AS {c}_{v}' for c in feats for at, v in ((1, 'home'), (0, 'away')))} FROM s GROUP BY team HAVING bool_or(season = m)),
-        u AS (SELECT match_id, match_date + 400 AS match_date, away_team AS home_team, home_team AS away_team FROM ({C}) WHERE season = 1998),
+        u AS (SELECT match_id, match_date + 3000 AS match_date, away_team AS home_team, home_team AS away_team FROM ({C})),
         j AS (SELECT u.*, {', '.join(cols)} FROM u LEFT JOIN k h ON h.team = home_team LEFT JOIN k a ON a.team = away_team)
         SELECT *, {', '.join(f'{c}_home - {c}_away AS {c}_diff' for c in feats)}, 0.85 * gf_home + 0.2025 AS xg_estimate_home, 0.85 * gf_away + 0.2025 AS xg_estimate_away, 0.85 * (gf_home - gf_away) AS xg_estimate_diff,
         month(match_date) AS month_no, isodow(match_date) - 1 AS day_of_week, (isodow(match_date) IN (2, 3, 4))::INT AS is_midweek, (month(match_date) IN (8, 9))::INT AS is_early_season, (month(match_date) IN (4, 5))::INT AS is_run_in, (month(match_date) IN (11, 12, 1, 2))::INT AS is_cold,

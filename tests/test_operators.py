@@ -146,3 +146,31 @@ def test_ratings_take_every_match_and_keep_leagues_apart(spark, matches):
     rows = {r.match_id: r.elo_home for r in ratings.rate(two, ratings.Elo).collect()}
     one = {r.match_id: r.elo_home for r in ratings.rate(matches, ratings.Elo).collect()}
     assert all(rows[k] == v for k, v in one.items()) and len(rows) == 2 * len(one)
+
+
+def test_rows_without_a_partner(spark):
+    from terrace.functions import players
+    from terrace.operators import upcoming
+
+    games = spark.createDataFrame([(1, 1, 2), (2, 2, 9), (3, None, 1)], "match_id int, home_team int, away_team int").withColumn("match_date", F.lit("2020-03-04").cast("date"))
+    side = spark.createDataFrame([(1, 0.5), (1, 0.2), (7, 0.1)], "match_id int, xg double")
+    got = {r.match_id: r.xg for r in joins.with_side_table(games, side, ["match_id"]).collect()}
+    assert got == {1: 0.2, 2: None, 3: None}
+    assert {r.xg for r in joins.with_side_table(games, side, ["match_id"], {"xg": 0.0}).collect()} == {0.2, 0.0}
+
+    base = spark.createDataFrame([(1, 3.0, None), (2, 4.0, 9.0), (3, 5.0, 8.0)], "match_id int, shots_home double, temperature double")
+    live = spark.createDataFrame([(1, 7.0, 1.0), (2, None, 2.0)], "match_id int, shots_home double, temperature double")
+    rows = joins.override(base, live, "match_id", ["shots_home", "temperature"], ("shots",)).orderBy("match_id").collect()
+    assert [(r.shots_home, r.temperature) for r in rows] == [(7.0, 1.0), (4.0, 9.0), (5.0, 8.0)]
+
+    news = spark.createDataFrame([(1, 0.5), (2, -0.25)], "team int, sentiment double")
+    rows = players.match_sentiment(games, news, ["sentiment"], ["sentiment"]).orderBy("match_id").collect()
+    assert [(r.live_sentiment_home, r.live_sentiment_away, r.live_sentiment_diff) for r in rows] == [(0.5, -0.25, 0.75), (-0.25, 0.0, -0.25), (0.0, 0.5, -0.5)]
+
+    params = spark.createDataFrame([(1, 0.4, 0.2), (2, 0.0, -0.2)], "team int, attack double, defence double")
+    rows = {r.match_id: r for r in goals.rates(games, params, 0.25, 0.1).collect()}
+    assert rows[2].lambda_away == pytest.approx(math.exp(0.1 + 0.2 + 0.2)) and rows[2].lambda_home == pytest.approx(math.exp(0.1 + 0.0 - 0.0 + 0.25))
+
+    played = spark.createDataFrame([(1, 1, 2019, 5, 2.0), (2, 0, 2018, 4, 1.0)], "team int, is_home int, season int, match_id int, gf double").withColumn("match_date", F.lit("2019-10-01").cast("date"))
+    rows = upcoming.prepare(games, played, ["gf"], spark.createDataFrame([(2, 3.0)], "team int, gf double")).orderBy("match_id").collect()
+    assert [(r.gf_home, r.gf_away) for r in rows] == [(2.0, 3.0), (3.0, None), (None, 2.0)]
