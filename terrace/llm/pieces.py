@@ -107,7 +107,8 @@ class Segmenter:
         found = self.pairs.get(a << 20 | b)
         if found is None:
             if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
+                for key in list(islice(reversed(self.pairs), CACHE_PAIRS // 2)):  # the last ones: the first are mostly frequent
+                    del self.pairs[key]
             x, y = self.text[a], self.text[b]
             found = self.pairs[a << 20 | b] = x[-1] + y[0] not in self.bound or self.merged(x + y) == [x, y]
         return found
@@ -161,7 +162,55 @@ class Segmenter:
             out.append(token)
         return out[::-1]
 
-    def emit(self, tokens: Iterable[int]) -> bytes:
+    def sole(self, text: str) -> list[int]:
+        """Tokens of the one admissible path over a stretch that every path enters and leaves
+        between pieces: ``run`` and ``back`` in depth, longest piece first. A place has one
+        admissible path to it at most, so a place that leads nowhere is given up for good."""
+        trie, pairs, size = self.trie, self.pairs, len(text)
+        out: list[int] = []
+        places: list[int] = []
+        choices: list[list[tuple[int, int]]] = []
+        lost: set[int] = set()
+        place, before, options = 0, OPEN, None
+        while place < size:
+            if options is None:
+                options, node, end = [], trie, place
+                while end < size:
+                    step = node.get(text[end])
+                    if step is None:
+                        break
+                    node, token = step
+                    end += 1
+                    if token >= 0:
+                        options.append((token, end))
+                if not options:
+                    options.append((-1 - ord(text[place]), place + 1))
+            while options:
+                token, end = options.pop()
+                if end in lost:
+                    continue
+                if before < 0 or token < 0:
+                    break
+                fits = pairs.get(before << 20 | token)
+                if fits is None:
+                    fits = self.joins(before, token)
+                if fits:
+                    break
+            else:
+                lost.add(place)
+                place, options = places.pop(), choices.pop()
+                out.pop()
+                before = out[-1] if out else OPEN
+                continue
+            out.append(token)
+            places.append(place)
+            choices.append(options)
+            place, before, options = end, token, None
+        return out
+
+    def emit(self, tokens: list[int]) -> bytes:
+        if min(tokens, default=0) >= 0:
+            return array("I", tokens).tobytes()
         ids = array("I")
         for t in tokens:
             if t >= 0:
@@ -181,7 +230,7 @@ class Segmenter:
             if len(starts) > 1:
                 found = b"".join(self.word(word[i:j]) for i, j in zip(starts, [*starts[1:], len(word)]))
             else:
-                found = self.emit(self.back(self.run(word, 0, OPEN, len(word)), 0, len(word)))
+                found = self.emit(self.sole(word))
             if len(word) <= 64:
                 if len(self.known) >= CACHE_WORDS:
                     self.known = dict(islice(self.known.items(), CACHE_WORDS // 2))  # the first ones: mostly frequent

@@ -521,3 +521,16 @@ def test_pipeline_stages(spark, docs):
     out = corpus_pipeline.STAGES[-1][1](spark, plain, "").toPandas()
     assert len(out) == len(got) and (out.n_pieces == out.ids.map(len) // 4).all() and set(out.columns) == {"doc_id", "n_pieces", "ids"}
     assert texts
+
+
+def test_sole_path_equals_the_lattice_and_small_caches_change_nothing(monkeypatch):
+    import random
+
+    seg = pieces.Segmenter(pieces.model_path())
+    draw, chars = random.Random(5), "▁▁etaoinshrdlucmfw.,'-éß你好😀019AZ"
+    words = ["".join(draw.choices(chars, k=draw.randint(1, 40))) for _ in range(3000)]
+    expected = [seg.back(seg.run(w, 0, pieces.OPEN, len(w)), 0, len(w)) for w in words]
+    assert [seg.sole(w) for w in words] == expected and seg.sole("") == []
+    monkeypatch.setattr(pieces, "CACHE_PAIRS", 50)
+    small = pieces.Segmenter(pieces.model_path())
+    assert [small.sole(w) for w in words] == expected and len(small.pairs) <= 50
