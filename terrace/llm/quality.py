@@ -121,13 +121,15 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, pairs: int = PAIRS, see
 
 def learn(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from docs (doc_id, text) and labelled (doc_id, label 0 or 1). At most
-    ``sample`` rows of a class, lowest hash first; None without both classes."""
+    ``sample`` rows of a class, lowest hash first; where rows repeat a doc_id, the text of the
+    lowest hash; None without both classes."""
     order = F.xxhash64(F.lit("quality"), "doc_id")
     rows = labelled.where("doc_id is not null and label in (0, 1)").select("doc_id", "label", order.alias("h")).groupBy("doc_id", "label", "h").count()
     drawn = [rows.where(F.col("label") == v).orderBy("h", "doc_id").limit(sample).select("doc_id", "label") for v in (0, 1)]
     known = F.broadcast(drawn[0].unionByName(drawn[1]))
-    found = append(docs.join(known, "doc_id").select("doc_id", "label", "text"), lambda texts: [[features(t) for t in texts]], "x array<double>")
-    rows = sorted((r.doc_id, r.label, r.x) for r in found.select("doc_id", "label", "x").limit(4 * sample).collect())
+    texts = docs.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = append(texts, lambda texts: [[features(t) for t in texts]], "x array<double>")
+    rows = sorted((r.doc_id, r.label, r.x) for r in found.select("doc_id", "label", "x").collect())  # 2 * sample at most
     if not all(any(r[1] == v for r in rows) for v in (0, 1)):
         return None
     x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])

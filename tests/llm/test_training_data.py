@@ -534,3 +534,13 @@ def test_sole_path_equals_the_lattice_and_small_caches_change_nothing(monkeypatc
     monkeypatch.setattr(pieces, "CACHE_PAIRS", 50)
     small = pieces.Segmenter(pieces.model_path())
     assert [small.sole(w) for w in words] == expected and len(small.pairs) <= 50
+
+
+def test_quality_learns_alike_from_repeated_rows(spark):
+    good, bad = "The river runs through a quiet valley, and people walk there.", "click!!! $$$ WIN 999 !!!"
+    rows = [(i, (good if i % 2 else bad) + " " * (i % 5)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    # one doc_id holds a third of all rows and more than the sample's rows
+    one, many = quality.learn(frame(rows), labels, 10), quality.learn(frame(rows * 2 + rows[3:4] * 50 + rows[2:3] * 50), labels, 10)
+    assert (one.score([good, bad]) == many.score([good, bad])).all()
