@@ -128,6 +128,38 @@ def super_blend(df: DataFrame, forecasts: list[str], draw_from: float = 0.0, sha
     return df.agg(F.array(*pairs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def two_class(stacked: str = "p", share: float = 0.4) -> list[dict[str, str]]:
+    """The forecast two_home, two_draw, two_away from three answers is_home, is_draw and
+    is_away, and both_*: ``share`` of it to the rest of ``stacked``_*. Null where no answer is
+    above zero."""
+    two = {f"two_{o}": f"is_{o} / nullif(is_home + is_draw + is_away, 0)" for o in SIDES}
+    raw = {f"sum_{o}": f"{share} * two_{o} + {1 - share} * {stacked}_{o}" for o in SIDES}
+    return [two, raw, {f"both_{o}": f"sum_{o} / nullif(sum_home + sum_draw + sum_away, 0)" for o in SIDES}]
+
+
+def candidate_scores(df: DataFrame, names: list[str]) -> DataFrame:
+    """(name, n, accuracy, rps) of the forecasts name_home, name_draw, name_away, in one
+    pass with three aggregates a forecast. Rows without an outcome or a chance are left out of
+    that forecast; the earlier side wins ties (chances to 9 places)."""
+
+    def scores(name: str):
+        h, d, a = (F.col(f"{name}_{o}") for o in SIDES)
+        known = (h + d + a + F.col("outcome")).isNotNull()
+        rh, rd, ra = (F.round(x, 9) for x in (h, d, a))
+        pick = F.when((rh >= rd) & (rh >= ra), 0).when(rd >= ra, 1).otherwise(2)
+        rps = (F.pow(h - (F.col("outcome") <= 0).cast("int"), 2) + F.pow(h + d - (F.col("outcome") <= 1).cast("int"), 2)) / 2
+        return F.struct(F.lit(name).alias("name"), F.count_if(known).alias("n"), F.avg(F.when(known, (pick == F.col("outcome")).cast("double"))).alias("accuracy"), F.avg(F.when(known, rps)).alias("rps"))
+
+    return df.agg(F.array(*map(scores, names)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def chosen(df: DataFrame, names: list[str]) -> str:
+    """The forecast of the highest accuracy on df, then of the lowest ranked score, then the
+    first named; the first named where nothing can be scored."""
+    found = {r.name: r for r in candidate_scores(df, names).collect() if r.n}
+    return min((n for n in names if n in found), key=lambda n: (-found[n].accuracy, found[n].rps), default=names[0])
+
+
 def best(searched: DataFrame, by: str, high: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
     """The first row of a search, ties by the named columns."""
     return searched.orderBy(F.desc(by) if high else F.asc(by), *ties).limit(1)

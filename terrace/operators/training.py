@@ -14,8 +14,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,6 +35,18 @@ LOW, HIGH = 0.02, 0.96
 LEAST_VARIANCE, MOST_CORRELATED = 1e-10, 0.95
 TAILS = (0.001, 0.999)
 ACCURACY = 100_000
+#: A fit is many short passes over its rows: a task of a pass takes about this many.
+ROWS_A_TASK = 50_000
+#: Independent fits that run at once; each keeps its training vectors while it runs.
+FITS = 8
+
+
+def at_once(df: DataFrame, work, items: list) -> list:
+    """work of every item on df's session, FITS at a time, in the order of items."""
+    if not items:
+        return []
+    with ThreadPool(min(FITS, len(items))) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), items)
 
 
 def feature_columns(df: DataFrame, leave: Iterable[str] = OUTCOMES) -> list[str]:
@@ -106,15 +120,20 @@ def _prepared(df: DataFrame, label: str, weight: str | None) -> DataFrame:
     return df.withColumns({"_label": F.col(label).cast("double"), "_weight": F.col(weight) if weight else F.lit(1.0)})
 
 
-def fit_learner(train: DataFrame, name: str, features: list[str], label: str = "outcome", weight: str | None = None):
-    """A fitted pipeline of one learner; a class number where training rows have just one
-    class, -1 where there are none."""
+def fit_learner(train: DataFrame, learner, features: list[str], label: str = "outcome", weight: str | None = None):
+    """A fitted pipeline of a learner, by name or as an estimator on the same columns; a class
+    number where training rows have just one class, -1 where there are none."""
     rows = _prepared(train.where(F.col(label).isNotNull()), label, weight)
-    low, high = rows.agg(F.min("_label"), F.max("_label")).first()
+    low, high, n = rows.agg(F.min("_label"), F.max("_label"), F.count("*")).first()
     if low is None or low == high or not features:
         return -1 if low is None or low != high else int(low)
-    parts = [VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True), learners(len(features))[name]]
-    return Pipeline(stages=parts).fit(rows)
+    assembler = VectorAssembler(inputCols=features, outputCol="_x")
+    vectors = assembler.transform(rows).select("_x", "_label", "_weight").coalesce(max(1, -(-n // ROWS_A_TASK)))
+    scaler = StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True).fit(vectors)
+    ready = scaler.transform(vectors).persist()
+    model = (learners(len(features))[learner] if isinstance(learner, str) else learner).fit(ready)
+    ready.unpersist()
+    return PipelineModel([assembler, scaler, model])
 
 
 def chances(model, df: DataFrame, keep: list[str], prefix: str = "p_") -> DataFrame:
@@ -133,23 +152,25 @@ def chances(model, df: DataFrame, keep: list[str], prefix: str = "p_") -> DataFr
     return scored.select(*keep, *[x.alias(f"{prefix}{s}") for x, s in zip(clipped(one), SIDES)])
 
 
+def _edges(df: DataFrame, folds: int) -> dict[int, int]:
+    """The first place of each fold that has rows."""
+    return {r.fold: r.edge for r in df.where(F.col("fold").between(0, folds - 1)).groupBy("fold").agg(F.min("place").alias("edge")).collect()}
+
+
 def out_of_fold(df: DataFrame, names: list[str], features: list[str], folds: int = 5, weight: str | None = None) -> DataFrame:
     """match_id, fold, outcome and name_home, _draw, _away of every learner, each row
     scored by a fit on earlier rows alone. df carries ``fold`` (decisions.fold) and ``place``."""
+    edges = _edges(df, folds)
+    if not edges:
+        return df.where("1 = 0").select("match_id", "fold", "outcome", *[F.lit(0.0).alias(f"{n}_{s}") for n in names for s in SIDES])
+    fits = [(k, name) for name in reversed(names) for k in sorted(edges)]  # the last named take longest
+    models = dict(zip(fits, at_once(df, lambda f: fit_learner(df.where(F.col("place") < edges[f[0]]), f[1], features, weight=weight), fits)))
     out = []
-    for k in range(folds):
-        now = df.where(F.col("fold") == k)
-        edge = now.agg(F.min("place")).first()[0]
-        if edge is None:
-            continue
-        before, scored = df.where(F.col("place") < edge), None
+    for k in sorted(edges):
+        scored = df.where(F.col("fold") == k)
         for name in names:
-            found = chances(fit_learner(before, name, features, weight=weight), now, ["match_id"] if scored is not None else ["match_id", "fold", "outcome"], f"{name}_")
-            scored = found if scored is None else scored.join(found, "match_id")
-        out.append(scored)
-    if not out:
-        empty = df.where("1 = 0").select("match_id", "fold", "outcome", *[F.lit(0.0).alias(f"{n}_{s}") for n in names for s in SIDES])
-        return empty
+            scored = chances(models[k, name], scored, scored.columns, f"{name}_")
+        out.append(scored.select("match_id", "fold", "outcome", *[f"{n}_{s}" for n in names for s in SIDES]))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -182,6 +203,57 @@ def stacked(oof: DataFrame, names: list[str], held: str = "fold >= 3", keep: tup
     return chances(fit_learner(oof.where(f"not ({held})"), "logistic", x), oof.where(held), list(keep))
 
 
+#: Yes-or-no questions about the outcome; their chances join the learners' in stacking.
+QUESTIONS = {"is_home": "outcome = 0", "is_away": "outcome = 2", "is_draw": "outcome = 1", "not_away": "outcome <> 2"}
+#: Meta-learners over the learners' chances, and those over chances and answers.
+META, AUGMENTED = ("logistic", "network", "boosted", "forest"), ("logistic", "boosted")
+
+
+def yes(model, df: DataFrame, name: str) -> DataFrame:
+    """df with the chance of label 1 by a two-class fit; half where nothing was trained on."""
+    if isinstance(model, int):
+        return df.withColumn(name, F.lit(0.5 if model < 0 else float(model)))
+    return model.transform(_prepared(df, "match_id", None)).select(*df.columns, F.get(vector_to_array("_chances"), F.lit(1)).alias(name))
+
+
+def answered(df: DataFrame, features: list[str], folds: int = 5, weight: str | None = None, seed: int = 42) -> DataFrame:
+    """match_id and the chance of each question, by boosted trees on earlier rows alone.
+    df carries ``fold`` and ``place``."""
+    edges = _edges(df, folds)
+    asked = df.withColumns({f"_{q}": F.expr(f"CAST({e} AS INT)") for q, e in QUESTIONS.items()})
+    trees = lambda: GBTClassifier(featuresCol="_x", labelCol="_label", weightCol="_weight", predictionCol="_pick", maxIter=10, maxDepth=3, seed=seed).setRawPredictionCol("_raw").setProbabilityCol("_chances")
+    fits = [(k, q) for k in sorted(edges, reverse=True) for q in QUESTIONS]
+    models = dict(zip(fits, at_once(df, lambda f: fit_learner(asked.where(F.col("place") < edges[f[0]]), trees(), features, f"_{f[1]}", weight), fits)))
+    out = [df.where("1 = 0").select("match_id", *[F.lit(0.0).alias(q) for q in QUESTIONS])]
+    for k in sorted(edges):
+        scored = df.where(F.col("fold") == k)
+        for q in QUESTIONS:
+            scored = yes(models[k, q], scored, q)
+        out.append(scored.select("match_id", *QUESTIONS))
+    return reduce(DataFrame.unionByName, out)
+
+
+def meta_stacked(oof: DataFrame, names: list[str], fit_on: str = "fold < 2", weigh_on: str = "fold = 2", held: str = "fold >= 3") -> DataFrame:
+    """oof's weigh_on and held rows with p_home, p_draw, p_away: the average of the META
+    learners by the inverse fourth power of their ranked score on weigh_on, or that of the
+    AUGMENTED ones, which also see the questions of ``answered``, where its score there is
+    lower. oof carries the chances of ``out_of_fold`` and the answers; no held row is fitted or
+    weighed on."""
+    plain = [f"{n}_{s}" for n in names for s in SIDES]
+    fits = [(m, plain, f"meta_{m}") for m in META] + [(m, [*plain, *QUESTIONS], f"more_{m}") for m in AUGMENTED]
+    early = oof.where(fit_on)
+    scored, ends = oof.where(f"({weigh_on}) or ({held})"), oof.columns
+    for (_, _, name), model in zip(fits, at_once(oof, lambda f: fit_learner(early, f[0], f[1]), fits)):
+        scored = chances(model, scored, scored.columns, f"{name}_")
+    weighed = scored.where(weigh_on).persist()
+    sets = [[name for _, _, name in fits if name.startswith(kind)] for kind in ("meta_", "more_")]
+    mixes = [voting_weights(weighed, names_, gate=float("inf")) for names_ in sets]
+    worth = [voted(weighed, mix).agg(F.avg(_rps("p"))).first()[0] for mix in mixes]
+    weighed.unpersist()
+    better = worth[0] is not None and worth[1] < worth[0]
+    return voted(scored, mixes[1] if better else mixes[0]).select(*ends, *P)
+
+
 def calibrated(fit_on: DataFrame, df: DataFrame) -> DataFrame:
     """An isotonic curve for each class from fit_on, applied to df and renormalised. df
     comes back as it is where accuracy on fit_on falls or its ranked score passes 1.05 times."""
@@ -246,14 +318,16 @@ def walk_forward(df: DataFrame, features: list[str], target: str = "outcome", by
     without steps), each by a fit on all rows of earlier values, cleaned by those rows. A value with fewer
     than ``least`` rows before it is left out."""
     values = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().orderBy(F.desc(by)).collect()][:steps]
-    out = []
-    for v in sorted(values):
+
+    def forecast(v):
         before = df.where(F.col(by) < v)
         if before.count() < least:
-            continue
+            return None
         state = clean(before, features, target)
         model = fit_learner(state.apply(before), learner, state.features, target)
-        out.append(chances(model, state.apply(df.where(F.col(by) == v)), ["match_id", by, target]))
+        return chances(model, state.apply(df.where(F.col(by) == v)), ["match_id", by, target])
+
+    out = [found for found in at_once(df, forecast, sorted(values)) if found is not None]
     return reduce(DataFrame.unionByName, out) if out else df.where("1 = 0").select("match_id", by, target, *[F.lit(0.0).alias(p) for p in P])
 
 
@@ -261,13 +335,7 @@ def hierarchical(train: DataFrame, test: DataFrame, features: list[str]) -> Data
     """First draw or not, then the winner among decided matches; chances are products."""
     drawn = fit_learner(train.withColumn("_d", F.when(F.col("outcome").isNotNull(), (F.col("outcome") == 1).cast("int"))), "logistic", features, "_d")
     home = fit_learner(train.where("outcome <> 1").withColumn("_h", (F.col("outcome") == 0).cast("int")), "logistic", features, "_h")
-
-    def chance(model, rows: DataFrame, name: str) -> DataFrame:
-        if isinstance(model, int):
-            return rows.select("match_id", F.lit(0.5 if model < 0 else float(model)).alias(name))
-        return model.transform(_prepared(rows, "match_id", None)).select("match_id", F.get(vector_to_array("_chances"), F.lit(1)).alias(name))
-
-    both = chance(drawn, test, "_d").join(chance(home, test, "_h"), "match_id")
+    both = yes(home, yes(drawn, test, "_d"), "_h")
     d, h = F.col("_d"), F.col("_h")
     return both.select("match_id", *[x.alias(p) for p, x in zip(P, clipped([(1 - d) * h, d, (1 - d) * (1 - h)]))])
 

@@ -56,6 +56,27 @@ def _voted(spark: SparkSession, d: str) -> DataFrame:
     return training.voted(oof.where("fold >= 3"), weights).select("match_id", "outcome", *training.P)
 
 
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    """Stacked chances of folds 2 and later, with the learners' chances and the answers."""
+    table = feature_table(spark, d).persist()
+    state = training.clean(table.where("fold = -1"), training.feature_columns(table), "outcome")
+    ready = state.apply(table)
+    oof = training.out_of_fold(ready, NAMES, state.features).join(training.answered(ready, state.features), "match_id").persist()
+    return training.meta_stacked(oof, NAMES)
+
+
+def _meta_stacked(spark: SparkSession, d: str) -> DataFrame:
+    return _meta(spark, d).where("fold >= 3").select("match_id", "fold", "outcome", *training.P)
+
+
+def _best_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """The candidate that is best on fold 2, for the folds after it."""
+    weights = [f"({' + '.join(f'{n}_{o}' for n in NAMES)}) / CAST({len(NAMES)} AS DOUBLE) AS weighted_{o}" for o in decisions.SIDES]
+    rows = steps.columns(_meta(spark, d).selectExpr("*", *weights), *decisions.two_class()).persist()
+    name = decisions.chosen(rows.where("fold = 2"), ["p", "weighted", "two", "both"])
+    return rows.where("fold >= 3").select("match_id", F.lit(name).alias("method"), *[F.col(f"{name}_{o}").alias(f"p_{o}") for o in decisions.SIDES])
+
+
 def _calibrated(spark: SparkSession, d: str) -> DataFrame:
     oof = training.voted(_oof(spark, d), dict.fromkeys(NAMES, 1 / len(NAMES))).persist()
     return training.calibrated(oof.where("fold = 2"), oof.where("fold >= 3")).select("match_id", "outcome", *training.P)
@@ -127,6 +148,16 @@ def register(queries: dict, oracles: dict) -> None:
     add("m13_market_fusion", lambda s, d: decisions.fusion_search(priced(s, d)),
         f"SELECT alpha, avg((pow(b_home / t - CASE WHEN outcome <= 0 THEN 1 ELSE 0 END, 2) + pow((b_home + b_draw) / t - CASE WHEN outcome <= 1 THEN 1 ELSE 0 END, 2)) / 2) AS rps, avg(CASE WHEN CASE WHEN b_home >= b_draw AND b_home >= b_away THEN 0 WHEN b_draw >= b_away THEN 1 ELSE 2 END = outcome THEN 1.0 ELSE 0 END) AS accuracy FROM ({fused}) GROUP BY alpha",
         steps.rounded([], ["alpha", "rps", "accuracy"]))
+    answers = {f"is_{o}": f"(match_id * {k} % {m}) / CAST(50 AS DOUBLE)" for o, k, m in (("home", 7, 41), ("draw", 5, 23), ("away", 3, 37))}
+    ranked = "((h - (outcome = 0)::INT) ** 2 + (h + x - (outcome < 2)::INT) ** 2) / 2"
+    forecasts = {"p": ("p_home", "p_draw", "p_away"), "market": ("market_home", "market_draw", "market_away"), "two": ("i / t", "j / t", "k / t"),
+                 "both": tuple(f"(0.4::DOUBLE * {y} / t + 0.6::DOUBLE * p_{o}) / (0.4::DOUBLE + 0.6::DOUBLE * (p_home + p_draw + p_away))" for o, y in zip(decisions.SIDES, "ijk"))}
+    long = " UNION ALL ".join(f"SELECT '{n}' AS name, outcome, {h} AS h, {x} AS x, {w} AS w FROM c" for n, (h, x, w) in forecasts.items())
+    add("m13_candidates", lambda s, d: decisions.candidate_scores(steps.columns(priced(s, d), answers, *decisions.two_class()), list(forecasts)),
+        f"""WITH b AS (SELECT *, match_id * 7 % 41 / 50 AS i, match_id * 5 % 23 / 50 AS j, match_id * 3 % 37 / 50 AS k FROM ({base})), c AS (SELECT *, nullif(i + j + k, 0) AS t FROM b),
+        l AS (SELECT * FROM ({long}) WHERE h + x + w IS NOT NULL)
+        SELECT name, count(*) AS n, avg((list_position([round(h, 9), round(x, 9), round(w, 9)], round(greatest(h, x, w), 9)) - 1 = outcome)::INT) AS accuracy, avg({ranked}) AS rps FROM l GROUP BY name""",
+        steps.rounded(["n"], ["accuracy", "rps"], ("name",)))
     add("m11_folds", lambda s, d: steps.columns(decisions.ordered_place(source.contest(s, d)), decisions.fold()),
         steps.sql(f"SELECT match_id, row_number() OVER (ORDER BY dn, match_id) AS place, count(*) OVER () AS total FROM ({C})", decisions.fold()), steps.rounded(["match_id", "place", "fold"], []))
     teams = lambda s, d: steps.columns(source.read(s, d, "nation").selectExpr("n_nationkey AS team"), TEAMS)
@@ -140,6 +171,6 @@ def register(queries: dict, oracles: dict) -> None:
     add("t11_historical_sentiment", lambda s, d: players.historical_sentiment(steps.columns(source.contest(s, d), FORM), teams(s, d)), steps.sql(joined(""), extra), steps.rounded(["match_id"], [*sides(""), *extra]))
     queries["t05_player_impact"] = lambda s, d: players.with_players(source.read(s, d, "documents").select("doc_id", "text")).drop("text")
     queries.update({
-        "m07_cleaned": _cleaned, "m11_out_of_fold": _oof, "m12_stacked": _stacked, "m12_voted": _voted, "m14_calibrated": _calibrated, "m15_weights": _weights,
+        "m07_cleaned": _cleaned, "m11_out_of_fold": _oof, "m12_stacked": _stacked, "m12_voted": _voted, "m12_meta_stacked": _meta_stacked, "m13_best_ensemble": _best_ensemble, "m14_calibrated": _calibrated, "m15_weights": _weights,
         "m16_important": _important, "m17_goals": _goals, "m18_seasons": _seasons, "m18_blocks": _blocks, "m21_two_steps": _two_steps,
     })

@@ -100,6 +100,27 @@ def test_stacking_voting_and_calibration(sample):
         assert len(rows) == 100 and all(abs(sum(r) - 1) < 1e-9 for r in rows)
 
 
+def test_meta_stacking_and_choice(sample):
+    names = ["logistic", "tree"]
+    asked = training.answered(sample, ["x"])
+    oof = training.out_of_fold(sample, names, ["x"]).join(asked, "match_id").cache()
+    assert oof.count() == 400 and asked.count() == 400
+    right = oof.selectExpr("avg(CAST((is_home > 0.5) = (outcome = 0) AS DOUBLE)) AS a", "avg(CAST((not_away > 0.5) = (outcome <> 2) AS DOUBLE)) AS b").first()
+    assert right.a > 0.75 and right.b > 0.75
+    rows = steps.columns(training.meta_stacked(oof, names), *decisions.two_class()).cache()
+    got = rows.collect()
+    assert {r.fold for r in got} == {2, 3, 4} or {r.fold for r in got} == {2, 3}
+    for r in got:
+        assert abs(r.p_home + r.p_draw + r.p_away - 1) < 1e-9 and abs(r.both_home + r.both_draw + r.both_away - 1) < 1e-9
+    assert sum(max(range(3), key=lambda k: (r.p_home, r.p_draw, r.p_away)[k]) == r.outcome for r in got) > 0.6 * len(got)
+    scores = {r.name: r for r in decisions.candidate_scores(rows, ["p", "two", "both"]).collect()}
+    assert all(r.n == len(got) for r in scores.values())
+    name = decisions.chosen(rows, ["p", "two", "both"])
+    assert all((scores[name].accuracy, -scores[name].rps) >= (r.accuracy, -r.rps) for r in scores.values())
+    assert decisions.chosen(rows.where("1 = 0"), ["p", "two"]) == "p"
+    assert training.answered(sample.where("1 = 0"), ["x"]).count() == 0
+
+
 def test_weights_importance_goals_and_two_steps(sample):
     early, late = sample.where("place <= 450"), sample.where("place > 450")
     halves = sample.where("place <= 300"), sample.where("place > 300")
