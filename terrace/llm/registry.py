@@ -1,10 +1,13 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from terrace.llm import embeddings, language, media, mixing, pieces, quality, secrets, sharding, simhash, tokenfile
+from terrace.llm import audit, codes, embeddings, language, lines, media, mixing, pieces, quality, secrets, sharding, simhash, tokenfile
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op10_embeddings": embeddings.op10_embeddings,
+    "op11_lines": lines.op11_lines,
+    "op12_filters": audit.op12_filters,
+    "op13_codes": codes.op13_codes,
     "op2_shards": sharding.op2_shards,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality": quality.op4_quality,
@@ -14,4 +17,4 @@ QUERIES = {
     "op8_pieces": pieces.op8_pieces,
     "op9_secrets": secrets.op9_secrets,
 }
-ORACLES = {"op7_mix": mixing.ORACLE, "op10_embeddings": embeddings.ORACLE}
+ORACLES = {"op10_embeddings": embeddings.ORACLE, "op11_lines": lines.ORACLE, "op12_filters": audit.ORACLE, "op13_codes": codes.ORACLE, "op7_mix": mixing.ORACLE}
