@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from terrace.operators import boosting
+
 SIDES = ("home", "draw", "away")
 P = ("p_home", "p_draw", "p_away")
 #: Never features: keys, dates and what is known only after the match.
@@ -97,8 +99,8 @@ def clean(train: DataFrame, features: list[str], target: str) -> Cleaning:
 
 def learners(n_features: int, seed: int = 42) -> dict[str, object]:
     """Base learners on (_x, _scaled, _label, _weight). Boosted trees are binary here, so
-    they go one against the rest; families without a form here are left to averages of these
-    (``voted``)."""
+    they go one against the rest. ``boosting.FAMILIES`` has those that pyspark.ml lacks: they
+    take the features themselves, missing ones too, and can be named wherever these can."""
     common = {"labelCol": "_label", "predictionCol": "_pick"}
     prob = {"probabilityCol": "_chances", "rawPredictionCol": "_raw"}
     return {
@@ -123,6 +125,8 @@ def _prepared(df: DataFrame, label: str, weight: str | None) -> DataFrame:
 def fit_learner(train: DataFrame, learner, features: list[str], label: str = "outcome", weight: str | None = None):
     """A fitted pipeline of a learner, by name or as an estimator on the same columns; a class
     number where training rows have just one class, -1 where there are none."""
+    if isinstance(learner, str) and learner in boosting.FAMILIES:
+        return boosting.fit(train, features, learner, label, weight)
     rows = _prepared(train.where(F.col(label).isNotNull()), label, weight)
     low, high, n = rows.agg(F.min("_label"), F.max("_label"), F.count("*")).first()
     if low is None or low == high or not features:
@@ -141,9 +145,9 @@ def chances(model, df: DataFrame, keep: list[str], prefix: str = "p_") -> DataFr
     if isinstance(model, int):
         p = [F.lit(1 / 3 if model < 0 else float(k == model)) for k in range(3)]
         return df.select(*keep, *[x.alias(f"{prefix}{s}") for x, s in zip(clipped(p), SIDES)])
-    scored = model.transform(_prepared(df, "match_id", None))
+    scored = model.transform(df if isinstance(model, boosting.Ensemble) else _prepared(df, "match_id", None))
     if "_chances" in scored.columns:
-        p = vector_to_array("_chances")
+        p = F.col("_chances") if isinstance(model, boosting.Ensemble) else vector_to_array("_chances")
         one = [F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)) for k in range(3)]
     else:  # one against the rest: margins, each to a chance
         p = vector_to_array("_raw")

@@ -101,6 +101,18 @@ def _goals(spark: SparkSession, d: str) -> DataFrame:
     return training.goal_forecast(*_split(spark, d))
 
 
+def _family(name: str):
+    """Chances of the last folds by one family of tree ensembles, fitted on the earlier ones;
+    features keep their gaps."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        table = feature_table(spark, d)
+        model = training.fit_learner(table.where("fold < 3"), name, training.feature_columns(table))
+        return training.chances(model, table.where("fold >= 3"), ["match_id", "outcome"])
+
+    return query
+
+
 def _two_steps(spark: SparkSession, d: str) -> DataFrame:
     return training.hierarchical(*_split(spark, d))
 
@@ -171,6 +183,6 @@ def register(queries: dict, oracles: dict) -> None:
     add("t11_historical_sentiment", lambda s, d: players.historical_sentiment(steps.columns(source.contest(s, d), FORM), teams(s, d)), steps.sql(joined(""), extra), steps.rounded(["match_id"], [*sides(""), *extra]))
     queries["t05_player_impact"] = lambda s, d: players.with_players(source.read(s, d, "documents").select("doc_id", "text")).drop("text")
     queries.update({
-        "m07_cleaned": _cleaned, "m11_out_of_fold": _oof, "m12_stacked": _stacked, "m12_voted": _voted, "m12_meta_stacked": _meta_stacked, "m13_best_ensemble": _best_ensemble, "m14_calibrated": _calibrated, "m15_weights": _weights,
+        "m07_cleaned": _cleaned, **{f"m10_{n}": _family(n) for n in ("hist_boosted", "hist_voted", "extra_trees")}, "m11_out_of_fold": _oof, "m12_stacked": _stacked, "m12_voted": _voted, "m12_meta_stacked": _meta_stacked, "m13_best_ensemble": _best_ensemble, "m14_calibrated": _calibrated, "m15_weights": _weights,
         "m16_important": _important, "m17_goals": _goals, "m18_seasons": _seasons, "m18_blocks": _blocks, "m21_two_steps": _two_steps,
     })
