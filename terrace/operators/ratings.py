@@ -2,7 +2,8 @@
 
 They can't be windows: each row reads what the last rows of two teams wrote. A league is one
 sequence, so leagues are the unit of work: dealt whole, sorted inside, read batch by batch
-(``mapInArrow``). State is a few numbers a team. In streams the same step functions run on keyed state.
+(``mapInArrow``). State is a few numbers a team, which ``own`` gives and ``put`` takes back; in
+streams the same step functions run on keyed state of these fields.
 """
 
 from __future__ import annotations
@@ -30,11 +31,17 @@ class Elo:
     """Margin-scaled Elo with a pull to the mean at each new season."""
 
     columns = ELO_COLUMNS
+    fields = "rating double, moves array<double>"
 
     def __init__(self) -> None:
         self.rating: dict = {}
         self.moves: dict = {}
-        self.seen_seasons = 0
+
+    def own(self, team) -> tuple:
+        return self.rating[team], list(self.moves.get(team, ()))
+
+    def put(self, team, state: tuple) -> None:
+        self.rating[team], self.moves[team] = state[0], deque(state[1], maxlen=5)
 
     def new_season(self) -> None:
         r = ELO["regression"]
@@ -58,11 +65,18 @@ class Pi:
     """Attack and defence at home and away; only the venue's own pair moves."""
 
     columns = PI_COLUMNS
+    fields = "home_attack double, home_defense double, away_attack double, away_defense double"
 
     def __init__(self) -> None:
         self.at_home: dict = {}
         self.away: dict = {}
 
+    def own(self, team) -> tuple:
+        return *self.at_home.get(team, (1.0, 1.0)), *self.away.get(team, (1.0, 1.0))
+
+    def put(self, team, state: tuple) -> None:
+        self.at_home[team], self.away[team] = tuple(state[:2]), tuple(state[2:])
+
     def new_season(self) -> None:
         pass
 
@@ -83,10 +97,17 @@ class Glicko:
     the home team's new state."""
 
     columns = GLICKO_COLUMNS
+    fields = "mu double, rd double, vol double"
 
     def __init__(self) -> None:
         self.state: dict = {}
 
+    def own(self, team) -> tuple:
+        return self.state[team]
+
+    def put(self, team, state: tuple) -> None:
+        self.state[team] = tuple(state)
+
     def new_season(self) -> None:
         self.state = {t: (mu, min(GLICKO["rd"], math.sqrt(rd * rd + 100 * vol * vol)), vol) for t, (mu, rd, vol) in self.state.items()}
 
@@ -141,11 +162,12 @@ def _walk(batches: Iterator[pa.RecordBatch], system: type) -> Iterator[pa.Record
             yield pa.record_batch({n: pa.array(v, pa.int64() if n == "match_id" else pa.float64()) for n, v in zip(names, zip(*out))})
 
 
-def rate(matches: DataFrame, system: type, league: str = "league") -> DataFrame:
+def rate(matches: DataFrame, system: type, league: str = "league", tasks: int = 64) -> DataFrame:
     """match_id and the system's columns before each match. matches needs the league and the
     contest's columns; goals must be known. Leagues are dealt to tasks whole and sorted there
-    by Spark, which spills; Python takes one Arrow batch at a time."""
+    by Spark, which spills; Python takes one Arrow batch at a time. The number of tasks is
+    given, since Spark would put small leagues together by their bytes, not by their work."""
     schema = ", ".join(["match_id long", *[f"{c} double" for c in system.columns]])
     rows = matches.select(F.col(league).alias("_league"), "match_date", *_IN)
-    ordered = rows.repartition("_league").sortWithinPartitions("_league", "match_date", "match_id")
+    ordered = rows.repartition(tasks, "_league").sortWithinPartitions("_league", "match_date", "match_id")
     return ordered.mapInArrow(lambda batches: _walk(batches, system), schema)

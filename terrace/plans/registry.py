@@ -215,12 +215,8 @@ def _models() -> None:
         steps.rounded(["share", "n"], ["accuracy"]))
     QUERIES["m19_simulated_accuracy"] = lambda s, d: metrics.simulated_accuracy(forecast(s, d))
 
-    def leagues(s, d):
-        # teams of all regions meet, so they are one league
-        return source.contest(s, d).withColumn("league", F.lit(0))
-
     for name, system in (("r01_elo", ratings.Elo), ("r02_pi", ratings.Pi), ("r03_glicko", ratings.Glicko)):
-        add(name, lambda s, d, system=system: ratings.rate(leagues(s, d), system), None, steps.rounded(["match_id"], system.columns))
+        add(name, lambda s, d, system=system: ratings.rate(source.competitions(s, d), system), None, steps.rounded(["match_id"], system.columns))
 
     # the goal model at fixed parameters, all from keys
     par = "SELECT n_nationkey AS team, (n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack, (n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence FROM nation"

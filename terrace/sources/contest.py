@@ -78,6 +78,15 @@ def contest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr("*", *[f"{e} AS {n}" for n, e in DERIVED.items()])
 
 
+def competitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with their league: the unordered pair of the teams' regions, as one number. The
+    nations are a fixed, small table."""
+    home, away = (read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(f"{s}_team"), F.col("n_regionkey").alias(f"_{s}")) for s in ("home", "away"))
+    both = contest(spark, sf_dir).join(F.broadcast(home), "home_team", "left").join(F.broadcast(away), "away_team", "left")
+    region = [F.coalesce(f"_{s}", F.lit(-1)) for s in ("home", "away")]
+    return both.withColumn("league", 1000 * F.least(*region) + F.greatest(*region)).drop("_home", "_away")
+
+
 def sides(matches: DataFrame) -> DataFrame:
     """Two rows a match, from each team's view; the match is read once."""
     view = lambda at: F.struct(F.lit(1 - at).alias("is_home"), *[F.col(c[at]).alias(n) for n, c in SIDES.items()])
@@ -93,6 +102,8 @@ CONTEST_SQL = f"""SELECT *, {', '.join(f'{e} AS {n}' for n, e in DERIVED.items()
          CAST(least(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END), 6) AS INT) AS goals_away
          FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON sk = s_suppkey WHERE c_nationkey <> s_nationkey)"""
+COMPETITIONS_SQL = f"""SELECT c.*, 1000 * least(coalesce(h.n_regionkey, -1), coalesce(a.n_regionkey, -1)) + greatest(coalesce(h.n_regionkey, -1), coalesce(a.n_regionkey, -1)) AS league
+  FROM ({CONTEST_SQL}) c LEFT JOIN nation h ON h.n_nationkey = home_team LEFT JOIN nation a ON a.n_nationkey = away_team"""
 SIDES_SQL = " UNION ALL ".join(
     f"SELECT {', '.join(_KEEP)}, {1 - at} AS is_home, {', '.join(f'{c[at]} AS {n}' for n, c in SIDES.items())} FROM ({CONTEST_SQL})" for at in (0, 1)
 )
