@@ -1,18 +1,27 @@
 """The low-score-corrected goal model.
 
 Fitting sees sufficient statistics only: weights summed by (home, away, goals) in Spark, a
-table bounded by teams squared times scores; the likelihood is climbed on the driver."""
+table bounded by teams squared times scores. While it has at most ``MOST_CELLS`` rows it goes to
+the driver, else every value and gradient of the likelihood is a pass of which each task sends
+one sum. The likelihood is climbed by a projected quasi-Newton method within bounds."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GOALS = 8
 XI = 0.002
+MOST_CELLS = 2_000_000
+#: Bounds of a team's parameters, home advantage, rho and mu; weight of the sum-to-zero penalty.
+TEAM_BOUND, OTHER_BOUNDS, PENALTY = 2.0, ((0.0, 1.0), (-0.5, 0.5), (-1.0, 1.0)), 100.0
+START = (0.25, -0.05, 0.2)
+#: Scores that the correction changes.
+LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
 
 
 def weighted_scores(matches: DataFrame, xi: float = XI) -> DataFrame:
@@ -29,47 +38,147 @@ class GoalModel:
         self.teams, self.attack, self.defence, self.home, self.rho, self.mu = teams, attack, defence, home, rho, mu
 
     @classmethod
-    def fit(cls, matches: DataFrame, xi: float = XI, steps: int = 400) -> "GoalModel":
-        rows = weighted_scores(matches, xi).collect()
-        teams = sorted({r.home_team for r in rows} | {r.away_team for r in rows})
-        at = {t: i for i, t in enumerate(teams)}
-        h, a = np.array([at[r.home_team] for r in rows]), np.array([at[r.away_team] for r in rows])
-        x, y, w = (np.array([getattr(r, c) for r in rows], float) for c in ("goals_home", "goals_away", "w"))
-        w /= w.sum()
-        n = len(teams)
-        theta = np.concatenate([np.zeros(2 * n), [0.25, -0.05, 0.2]])
-        low, high = np.concatenate([np.full(2 * n, -2.0), [0, -0.5, -1]]), np.concatenate([np.full(2 * n, 2.0), [1, 0.5, 1]])
-        first, second = np.zeros_like(theta), np.zeros_like(theta)
-        for t in range(1, steps + 1):  # projected Adam on the analytic gradient
-            g = cls._gradient(theta, n, h, a, x, y, w)
-            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-            theta = theta + 0.05 / np.sqrt(t) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
-            theta = np.clip(theta, low, high)
-            theta[:n] -= theta[:n].mean()
-            theta[n : 2 * n] -= theta[n : 2 * n].mean()
+    def fit(cls, matches: DataFrame, xi: float = XI, steps: int = 500, most_cells: int = MOST_CELLS) -> GoalModel:
+        """The optimum within the bounds. An empty table gives a model without teams."""
+        scores = weighted_scores(matches, xi).persist()
+        try:
+            size, total = scores.agg(F.count("*"), F.sum("w")).first()
+            if not size:
+                return cls([], np.zeros(0), np.zeros(0), *START)
+            teams = sorted(r[0] for r in scores.select(F.explode(F.array("home_team", "away_team"))).distinct().collect())
+            loss = _local(scores, teams) if size <= most_cells else _spread(scores, teams)
+            n = len(teams)
+            theta, _, _ = minimise(lambda x: _penalised(loss, x, n, total), np.concatenate([np.zeros(2 * n), START]), *bounds(n), steps=steps)
+        finally:
+            scores.unpersist()
         return cls(teams, theta[:n], theta[n : 2 * n], *map(float, theta[2 * n :]))
 
-    @staticmethod
-    def _gradient(theta, n, h, a, x, y, w):
-        att, dfn, (home, rho, mu) = theta[:n], theta[n : 2 * n], theta[2 * n :]
-        lh, la = np.clip(np.exp(mu + att[h] - dfn[a] + home), 0.01, 15), np.clip(np.exp(mu + att[a] - dfn[h]), 0.01, 15)
-        gh, ga, grho = x - lh, y - la, np.zeros_like(lh)
-        for i, j in ((0, 0), (0, 1), (1, 0), (1, 1)):
-            m = (x == i) & (y == j)
-            tau = {(0, 0): 1 - lh * la * rho, (0, 1): 1 + lh * rho, (1, 0): 1 + la * rho, (1, 1): 1 - rho + 0 * lh}[i, j][m]
-            tau = np.maximum(tau, 1e-10)
-            d_h, d_a, d_r = {(0, 0): (-lh * la * rho, -lh * la * rho, -lh * la), (0, 1): (lh * rho, 0 * lh, lh), (1, 0): (0 * lh, la * rho, la), (1, 1): (0 * lh, 0 * lh, -1 + 0 * lh)}[i, j]
-            gh[m] += d_h[m] / tau
-            ga[m] += d_a[m] / tau
-            grho[m] += d_r[m] / tau
-        add = lambda idx, v: np.bincount(idx, weights=w * v, minlength=n)
-        return np.concatenate([add(h, gh) + add(a, ga), -add(a, gh) - add(h, ga), [(w * gh).sum(), (w * grho).sum(), (w * (gh + ga)).sum()]])
-
     def table(self, spark) -> DataFrame:
         """(team, attack, defence), a row a team."""
         return spark.createDataFrame([(t, float(x), float(y)) for t, x, y in zip(self.teams, self.attack, self.defence)], "team int, attack double, defence double")
 
 
+def bounds(n: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = (np.concatenate([np.full(2 * n, x * TEAM_BOUND), [b[k] for b in OTHER_BOUNDS]]) for k, x in ((0, -1), (1, 1)))
+    return low, high
+
+
+def likelihood(theta: np.ndarray, n: int, h, a, x, y, w) -> tuple[float, np.ndarray]:
+    """The sum of w times the log-likelihood of scores, without its constant part, and its gradient."""
+    att, dfn, (home, rho, mu) = theta[:n], theta[n : 2 * n], theta[2 * n :]
+    lh, la = (np.exp(np.clip(z, math.log(0.01), math.log(15))) for z in (mu + att[h] - dfn[a] + home, mu + att[a] - dfn[h]))
+    inside = [(z > 0.01) & (z < 15) for z in (lh, la)]
+    gh, ga, grho = x - lh, y - la, np.zeros_like(lh)
+    value = x * np.log(lh) - lh + y * np.log(la) - la
+    # What the correction is and how it changes with log lambda_home, log lambda_away and rho.
+    for i, j in LOW:
+        m = (x == i) & (y == j)
+        p, q = lh[m], la[m]
+        tau, by_h, by_a, by_rho = {
+            (0, 0): (1 - p * q * rho, -p * q * rho, -p * q * rho, -p * q),
+            (0, 1): (1 + p * rho, p * rho, 0 * p, p),
+            (1, 0): (1 + q * rho, 0 * q, q * rho, q),
+            (1, 1): (1 - rho + 0 * p, 0 * p, 0 * p, -1 + 0 * p),
+        }[i, j]
+        sound, tau = tau > 1e-10, np.maximum(tau, 1e-10)
+        value[m] += np.log(tau)
+        gh[m] += sound * by_h / tau
+        ga[m] += sound * by_a / tau
+        grho[m] += sound * by_rho / tau
+    gh, ga = gh * inside[0] * w, ga * inside[1] * w
+    add = lambda idx, v: np.bincount(idx, weights=v, minlength=n)
+    return float((w * value).sum()), np.concatenate([add(h, gh) + add(a, ga), -add(a, gh) - add(h, ga), [gh.sum(), (w * grho).sum(), gh.sum() + ga.sum()]])
+
+
+def _penalised(loss, theta: np.ndarray, n: int, total: float) -> tuple[float, np.ndarray]:
+    """What is minimised, over the sum of weights, so that a gradient means the same at any size."""
+    value, slope = loss(theta)
+    sums = theta[:n].sum(), theta[n : 2 * n].sum()
+    pull = np.concatenate([np.full(n, 2 * PENALTY * sums[0]), np.full(n, 2 * PENALTY * sums[1]), np.zeros(3)])
+    return (-value + PENALTY * (sums[0] ** 2 + sums[1] ** 2)) / total, (-slope + pull) / total
+
+
+_CELL = ["home_team", "away_team", "goals_home", "goals_away", "w"]
+
+
+def _numbers(table, teams: np.ndarray) -> tuple:
+    h, a, x, y, w = (table.column(i).to_numpy(zero_copy_only=False) for i in range(len(_CELL)))
+    return np.searchsorted(teams, h), np.searchsorted(teams, a), x.astype(float), y.astype(float), w
+
+
+def _local(scores: DataFrame, teams: list):
+    cells = _numbers(scores.select(*_CELL).toArrow().combine_chunks().to_batches()[0], np.array(teams))
+    return lambda theta: likelihood(theta, len(teams), *cells)
+
+
+def _spread(scores: DataFrame, teams: list):
+    """The same from a pass: a task sends one row of sums."""
+    named, n = np.array(teams), len(teams)
+
+    def loss(theta):
+        def run(batches):
+            total, slope = 0.0, np.zeros(2 * n + 3)
+            for batch in batches:
+                if batch.num_rows:
+                    value, more = likelihood(theta, n, *_numbers(batch, named))
+                    total, slope = total + value, slope + more
+            yield pa.record_batch({"value": pa.array([total]), "slope": pa.array([slope.tolist()], pa.list_(pa.float64()))})
+
+        found = scores.select(*_CELL).mapInArrow(run, "value double, slope array<double>").collect()
+        return sum(r.value for r in found), np.sum([r.slope for r in found], axis=0)
+
+    return loss
+
+
+def minimise(fun, x: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int = 500, tolerance: float = 1e-8, memory: int = 12) -> tuple[np.ndarray, float, np.ndarray]:
+    """(x, value, gradient) of a smooth function within bounds: limited-memory quasi-Newton steps
+    in the coordinates that are free, projected, with backtracking. Ends when no coordinate can
+    improve by ``tolerance`` along its gradient."""
+    x = np.clip(x, low, high)
+    value, g = fun(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(np.clip(x - g, low, high) - x).max() < tolerance:
+            break
+        free = ~((x <= low) & (g > 0) | (x >= high) & (g < 0))
+        for attempt in (pairs, []):
+            d = -_two_loops(g * free, [(s * free, y * free) for s, y in attempt]) * free
+            if d @ g < 0:
+                break
+        t = 1.0 if pairs else min(1.0, 1.0 / max(1e-12, np.abs(g).max()))
+        for _ in range(60):
+            new = np.clip(x + t * d, low, high)
+            at, slope = fun(new)
+            if at <= value + 1e-4 * (g @ (new - x)) + 4e-16 * abs(value):
+                break
+            t /= 2
+        else:
+            if not pairs:
+                break
+            pairs = []
+            continue
+        s, y = new - x, slope - g
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs, (s, y)][-memory:]
+        x, value, g = new, at, slope
+    return x, value, g
+
+
+def _two_loops(g: np.ndarray, pairs: list) -> np.ndarray:
+    """The inverse curvature of the pairs (step, change of gradient) applied to g."""
+    q, known = g.copy(), []
+    sound = [(s, y, 1 / (s @ y)) for s, y in pairs if s @ y > 1e-14 * (y @ y) and s @ y > 0]
+    for s, y, r in reversed(sound):
+        known.append(r * (s @ q))
+        q -= known[-1] * y
+    if sound:
+        s, y, r = sound[-1]
+        q *= 1 / (r * (y @ y))
+    for (s, y, r), k in zip(sound, reversed(known)):
+        q += s * (k - r * (y @ q))
+    return q
+
+
 def rates(fixtures: DataFrame, params: DataFrame, home: float, mu: float) -> DataFrame:
     """fixtures with lambda_home and lambda_away; unknown teams get mean parameters."""
     mean = F.broadcast(params.agg(F.avg("attack").alias("_att"), F.avg("defence").alias("_def")))
@@ -93,9 +202,6 @@ def _marginals(fixtures: DataFrame, rho: float, goals: int) -> DataFrame:
     return out.withColumn("_total", one("h") * one("a") + _sum([F.col(f"_d{i}{j}") for i, j in LOW]))
 
 
-LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
-
-
 def _sum(columns: list):
     return sum(columns[1:], columns[0])
 

@@ -185,13 +185,13 @@ def _models() -> None:
 
     from terrace.functions import metrics, text
     from terrace.operators import goals, ratings
+    from terrace.plans import rated
 
     C = source.CONTEST_SQL
 
     def add(name, query, oracle, final):
         QUERIES[name] = lambda spark, d: query(spark, d).selectExpr(*final)
-        if oracle:
-            ORACLES[name] = steps.final_sql(oracle, final)
+        ORACLES[name] = steps.final_sql(oracle, final)
 
     forecast = lambda s, d: steps.columns(source.contest(s, d), _PROBS, {"market_home": "p_away", "market_draw": "p_draw", "market_away": "p_home"})
     P = steps.sql(C, _PROBS, {"pick": "CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 0 WHEN p_draw >= p_away THEN 1 ELSE 2 END"})
@@ -215,8 +215,8 @@ def _models() -> None:
         steps.rounded(["share", "n"], ["accuracy"]))
     QUERIES["m19_simulated_accuracy"] = lambda s, d: metrics.simulated_accuracy(forecast(s, d))
 
-    for name, system in (("r01_elo", ratings.Elo), ("r02_pi", ratings.Pi), ("r03_glicko", ratings.Glicko)):
-        add(name, lambda s, d, system=system: ratings.rate(source.competitions(s, d), system), None, steps.rounded(["match_id"], system.columns))
+    for name, system, twin in (("r01_elo", ratings.Elo, rated.elo_sql()), ("r02_pi", ratings.Pi, rated.pi_sql()), ("r03_glicko", ratings.Glicko, rated.glicko_sql())):
+        add(name, lambda s, d, system=system: ratings.rate(source.competitions(s, d), system), twin, steps.rounded(["match_id"], system.columns))
 
     # the goal model at fixed parameters, all from keys
     par = "SELECT n_nationkey AS team, (n_nationkey % 7 - 3) / CAST(10 AS DOUBLE) AS attack, (n_nationkey % 5 - 2) / CAST(8 AS DOUBLE) AS defence FROM nation"

@@ -99,7 +99,7 @@ def test_goal_grid_sums_to_one_and_fit_is_centred(spark, matches):
     shown = goals.outcomes(fixtures, -0.05).first()
     assert len(shown.top_scorelines) == 12 and shown.p_home == pytest.approx(sum(c.p for c in cells if c.h > c.a)) and shown.over_2_5 == pytest.approx(sum(c.p for c in cells if c.h + c.a > 2))
     assert shown.top_scorelines[0] == max(cells, key=lambda c: c.p)[:2].__str__().strip("()").replace(", ", "-")
-    model = goals.GoalModel.fit(matches, steps=60)
+    model = goals.GoalModel.fit(matches)
     assert abs(model.attack.sum()) < 1e-6 and 0 <= model.home <= 1
 
 
