@@ -159,3 +159,8 @@ def live_adjustment() -> list[dict[str, str]]:
     }
     clip = {f"k_{x}": f"greatest(0.02, least(0.95, q_{x}))" for x in ("home", "draw", "away")}
     return [shift, clip, {f"live_{x}": f"k_{x} / (k_home + k_draw + k_away)" for x in ("home", "draw", "away")}]
+
+
+def finite(names: list[str]) -> dict[str, str]:
+    """The named columns, null where they are infinite."""
+    return {f"{n}_finite": f"CASE WHEN abs({n}) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE {n} END" for n in names}

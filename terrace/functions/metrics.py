@@ -112,9 +112,23 @@ def confident_share(df: DataFrame, shares: tuple[int, ...] = (5, 10, 20, 30, 50,
 
 def simulated_accuracy(df: DataFrame, runs: int = 10_000, seed: int = 42) -> DataFrame:
     """Share of matches whose drawn result is the actual one, as quantiles over
-    seeded runs. A match is hit with the chance of its actual outcome; matches of one chance
+    seeded runs. Matches without an outcome or a chance are left out."""
+    per = _simulated(df, runs, seed)
+    return per.agg(*[F.percentile("a", F.lit(q)).alias(f"q{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)])
+
+
+def simulated_rank(df: DataFrame, runs: int = 10_000, seed: int = 42) -> DataFrame:
+    """One row: the mean over the runs, the accuracy of the likeliest results, and the
+    share of runs that are at most as good."""
+    actual = df.where("outcome between 0 and 2").agg(F.avg((picked() == F.col("outcome")).cast("double")).alias("actual"))
+    per = _simulated(df, runs, seed).crossJoin(F.broadcast(actual))  # one row
+    return per.agg(F.avg("a").alias("mean"), F.first("actual").alias("actual"), F.avg((F.col("a") <= F.col("actual")).cast("double")).alias("rank"))
+
+
+def _simulated(df: DataFrame, runs: int, seed: int) -> DataFrame:
+    """(run, a). A match is hit with the chance of its actual outcome; matches of one chance
     are hit together by an exact binomial draw for each run, so only (run, hits) of a task
-    is shuffled. Matches without an outcome or a chance are left out."""
+    is shuffled."""
     chance = F.when(F.col("outcome").between(0, 2), F.element_at(F.array(*P), F.col("outcome").cast("int") + 1)).cast("double")
     buckets = df.groupBy(chance.alias("c")).agg(F.count("*").alias("n")).where("c is not null")
 
@@ -128,5 +142,4 @@ def simulated_accuracy(df: DataFrame, runs: int = 10_000, seed: int = 42) -> Dat
         if total:
             yield pa.record_batch({"run": pa.array(np.arange(runs)), "hits": pa.array(hits), "n": pa.array(np.full(runs, total))})
 
-    per = buckets.mapInArrow(draw, "run long, hits long, n long").groupBy("run").agg((F.sum("hits") / F.sum("n")).alias("a"))
-    return per.agg(*[F.percentile("a", F.lit(q)).alias(f"q{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)])
+    return buckets.mapInArrow(draw, "run long, hits long, n long").groupBy("run").agg((F.sum("hits") / F.sum("n")).alias("a"))

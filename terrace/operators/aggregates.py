@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.history import ROLLING_WINDOWS
@@ -71,6 +71,44 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("name").agg(F.count("x").alias("n"), q(0.5).alias("median"), q(0.01).alias("q01"), q(0.99).alias("q99"), F.var_samp("x").alias("variance"))
 
 
+#: Size of a quantile sketch: it is exact up to this many values and keeps about three times as
+#: many at most; ranks read from it are off by less than RANK_ERROR of all values.
+SKETCH, RANK_ERROR = 65_535, 0.0002
+
+
+def sketches(df: DataFrame, columns: list[str], size: int = SKETCH) -> DataFrame:
+    """One row with a mergeable sketch of each column, named as it; nulls are skipped. One
+    pass with map-side partial sketches, whose size does not depend on the rows."""
+    return df.agg(*[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(size)).alias(c) for c in columns])
+
+
+def sketch_quantiles(found: DataFrame, columns: list[str], at: tuple[float, ...] = (0.01, 0.5, 0.99)) -> DataFrame:
+    """(name, n, and q01, q50, .. for each share): the least value whose rank reaches it;
+    null where a column has no value."""
+    rows = [F.struct(F.lit(c).alias("name"), F.kll_sketch_get_n_double(c).alias("n"), *[F.when(F.kll_sketch_get_n_double(c) > 0, F.kll_sketch_get_quantile_double(c, F.lit(q))).alias(f"q{round(q * 100):02d}") for q in at]) for c in columns]
+    return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def sketch_ranks(found: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """(name, value, rank): the share of a column's values that are at most the given one."""
+    rows = [F.struct(F.lit(c).alias("name"), F.lit(v).cast("double").alias("value"), F.when((F.kll_sketch_get_n_double(c) > 0) & F.lit(v is not None), F.kll_sketch_get_rank_double(c, F.lit(float(v or 0)))).alias("rank")) for c, v in values.items()]
+    return found.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def head_and_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """L2: the first and the last n rows in an order, with their end and place. Each end is kept
+    by tasks first, n rows a task."""
+    place = F.row_number().over(Window.partitionBy("end").orderBy(*[F.col(f"k.{c}") for c in order]))
+    first = df.orderBy(*order).limit(n).select(F.lit("head").alias("end"), F.struct(*order).alias("k"), *df.columns)
+    last = df.orderBy(*[F.desc(c) for c in order]).limit(n).select(F.lit("tail").alias("end"), F.struct(*order).alias("k"), *df.columns)
+    return first.unionByName(last).withColumn("place", place).drop("k")
+
+
+def largest(df: DataFrame, by: Column, n: int, *ties: str) -> DataFrame:
+    """The n rows with the largest value, equal ones by the named columns."""
+    return df.orderBy(by.desc_nulls_last(), *ties).limit(n)
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) for a < b over rows where both are known; one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

@@ -368,9 +368,10 @@ _rest()
 
 
 def _learning() -> None:
-    from terrace.plans import learning
+    from terrace.plans import intake, learning
 
     learning.register(QUERIES, ORACLES)
+    intake.register(QUERIES, ORACLES)
 
 
 _learning()
