@@ -1,18 +1,43 @@
 """Features of matches still to be played, from what is known of both teams.
 
 sides has two rows a played match (team, is_home, season, match_date, match_id and features);
-one grouped pass by team keeps its latest rows, so nothing grows with a team's history.
+one grouped pass by team keeps its latest rows, so nothing grows with a team's history. Of a
+pair's meetings at most ten go with a fixture, found by their number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.functions import players
+from terrace.operators.meetings import DEFAULTS
+
 #: An average team's goals a match, and the part of a team's own in an estimate.
 MEAN_GOALS, OWN_GOALS = 1.35, 0.85
-#: Live values of these replace what earlier seasons say, others only fill gaps.
-ALWAYS = ("ppg", "goals", "win", "draw", "loss", "clean", "btts", "over25", "table")
+#: What live values replace whatever earlier seasons say; others only fill gaps.
+ALWAYS = (
+    "ppg_", "goals_scored_", "goals_conceded_", "clean_sheets_", "btts_pct_", "over25_pct_", "win_pct_", "draw_pct_", "loss_pct_",
+    "table_", "streak_", "volatility_", "goal_trend_", "defense_trend_", "unbeaten_", "winless_", "weighted_streak_", "points_velocity_",
+    "home_form_", "away_form_", "early_goals_", "comeback_", "first_goal_", "bottom3_", "top6_", "home_in_top4", "away_in_top4",
+    "position_gap", "relegation_battle", "promotion_zone_match",
+)
+#: What a promoted team gets where nothing is known of it, at home and away.
+BASELINES = {
+    "elo": (1460, 1460), "elo_momentum": (0, 0), "pi_rating": (-0.3, -0.3), "pi_attack": (0.9, 0.85), "pi_defense": (-0.2, -0.25),
+    "glicko_mu": (1550, 1550), "glicko_rd": (60, 60), "glicko_confidence": (0.7, 0.7),
+    "xg_for_l5": (1.1, 1.0), "xg_for_l10": (1.1, 1.0), "xg_for_l20": (1.1, 1.0), "xg_against_l5": (1.5, 1.6), "xg_against_l10": (1.4, 1.5), "xg_against_l20": (1.4, 1.5),
+    "xg_overperformance_l5": (0, 0), "xg_overperformance_l10": (0, 0), "attack_vs_defense": (0.8, 0.7), "attack_def_mismatch": (0, 0), "form_elo_divergence": (0, 0),
+    "defensive_solidity": (0.4, 0.35), "upset_tendency": (0.3, 0.3),
+}
+#: Estimates agree with goals, so nothing is over or under them.
+NO_SURPLUS = "xg_overperformance"
+MEETINGS = 10
+
+
+def replaces(column: str) -> bool:
+    """Whether a live value of the column goes before a known one."""
+    return f"{column}_".startswith(ALWAYS)
 
 
 def latest_by_venue(sides: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,26 +53,68 @@ def latest_by_venue(sides: DataFrame, columns: list[str]) -> DataFrame:
     return per.select("team", at("home").alias("home"), at("away").alias("away"))
 
 
-def prepare(fixtures: DataFrame, sides: DataFrame, columns: list[str], live: DataFrame | None = None, estimated: dict[str, str] | None = None, stale: list[str] = ()) -> DataFrame:
+def prepare(fixtures: DataFrame, sides: DataFrame, columns: list[str], live: DataFrame | None = None, estimated: dict[str, str] | None = None, stale: list[str] = (), promoted: DataFrame | None = None, meetings: DataFrame | None = None, news: tuple[DataFrame, list[str], list[str]] | None = None) -> DataFrame:
     """fixtures (match_id, match_date, home_team, away_team) with c_home, c_away and c_diff for
     each column, P26's calendar, and the stale columns as null. live (team and some of columns)
-    goes before them where ``ALWAYS`` says so or they have none; estimated names columns (x: y)
-    whose value is drawn from y towards the mean (P27)."""
+    goes before them where ``replaces`` says so or they have none; estimated names columns (x: y)
+    whose value is drawn from y towards the mean, and what is over expectation is then 0 (P27).
+    promoted (team) get ``BASELINES`` where a column is still null. meetings, the matches
+    played, add the pair's history before the fixture's day, and news (rows by team, columns,
+    those with a difference) the live_ sentiment of both teams."""
     known = latest_by_venue(sides, columns)
     out = fixtures
-    for side in ("home", "away"):
+    for side, k in (("home", 0), ("away", 1)):
         look = known.select(F.col("team").alias(f"{side}_team"), *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in columns])
         out = out.join(look, f"{side}_team", "left")
         if live is not None:
             fresh = [c for c in columns if c in live.columns]
             out = out.join(live.select(F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"_{c}") for c in fresh]), f"{side}_team", "left")
-            order = lambda c, s=side: (f"_{c}", f"{c}_{s}") if c.startswith(ALWAYS) else (f"{c}_{s}", f"_{c}")
+            order = lambda c, s=side: (f"_{c}", f"{c}_{s}") if replaces(c) else (f"{c}_{s}", f"_{c}")
             out = out.withColumns({f"{c}_{side}": F.coalesce(*order(c)) for c in fresh}).drop(*[f"_{c}" for c in fresh])
         for name, of in (estimated or {}).items():
             out = out.withColumn(f"{name}_{side}", F.coalesce(OWN_GOALS * F.col(f"{of}_{side}") + (1 - OWN_GOALS) * MEAN_GOALS, F.col(f"{name}_{side}") if name in columns else F.lit(None).cast("double")))
+        if estimated and (over := [c for c in columns if c.startswith(NO_SURPLUS)]):
+            out = out.withColumns({f"{c}_{side}": F.lit(0.0) for c in over})
+        if promoted is not None:
+            new = promoted.select(F.col("team").alias(f"{side}_team"), F.lit(True).alias("_new")).distinct()
+            bases = {f"{c}_{side}": v[k] for c, v in BASELINES.items() if c in columns or c in (estimated or {})}
+            out = out.join(new, f"{side}_team", "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.when(F.col("_new"), F.lit(float(v)))) for c, v in bases.items()}).drop("_new")
     names = [*columns, *[n for n in (estimated or {}) if n not in columns]]
-    out = out.withColumns({f"{c}_diff": F.col(f"{c}_home") - F.col(f"{c}_away") for c in names})
-    return calendar(out).withColumns({c: F.lit(None).cast("double") for c in stale}) if stale else calendar(out)
+    out = calendar(out.withColumns({f"{c}_diff": F.col(f"{c}_home") - F.col(f"{c}_away") for c in names}))
+    if meetings is not None:
+        out = out.join(pair_history(fixtures, meetings), "match_id", "left")
+    if news is not None:
+        rows, told, diffs = news
+        out = out.join(players.match_sentiment(fixtures, rows, told, diffs).drop(*[c for c in fixtures.columns if c != "match_id"]), "match_id", "left")
+    return out.withColumns({c: F.lit(None).cast("double") for c in stale}) if stale else out
+
+
+def pair_history(fixtures: DataFrame, matches: DataFrame, most: int = MEETINGS) -> DataFrame:
+    """match_id and the h2h_ columns of each fixture from its pair's last meetings, in the order
+    of their days, before the fixture's own; the usual values where they never met. Meetings are
+    numbered along the pair, so a fixture asks for at most ten numbers, whatever the pair has."""
+    pair = {"lo": F.least("home_team", "away_team"), "hi": F.greatest("home_team", "away_team")}
+    along = Window.partitionBy("lo", "hi")
+    played = matches.withColumns(pair).select("lo", "hi", F.row_number().over(along.orderBy("match_date", "match_id")).alias("k"), F.col("match_date").alias("day"), F.col("home_team").alias("host"), "goals_home", "goals_away")
+    asked = fixtures.withColumns(pair).select("match_id", "lo", "hi", F.col("home_team").alias("team"), F.col("match_date").alias("day"))
+    # A day's fixtures come before its meetings, so the last number seen is that of an earlier day.
+    both = asked.select("match_id", "lo", "hi", "team", "day", F.lit(None).cast("int").alias("k")).unionByName(played.select(F.lit(None).cast("long").alias("match_id"), "lo", "hi", F.lit(None).cast(asked.schema["team"].dataType).alias("team"), "day", "k"))
+    seen = F.last("k", ignorenulls=True).over(along.orderBy(F.col("day").asc_nulls_last(), F.col("k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    wanted = both.withColumn("n", F.coalesce(seen, F.lit(0))).where("match_id is not null").select("match_id", "lo", "hi", "team", "n", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.greatest(F.lit(1), F.col("n") - most + 1), F.col("n")))).alias("k"))
+    met = wanted.join(played.drop("day"), ["lo", "hi", "k"], "left")
+    at_home = F.col("host") == F.col("team")
+    own, other = F.when(at_home, F.col("goals_home")).otherwise(F.col("goals_away")), F.when(at_home, F.col("goals_away")).otherwise(F.col("goals_home"))
+    rows = met.select("match_id", "n", "k", at_home.alias("at_home"), own.alias("own"), other.alias("other"))
+    share = lambda condition, of="true": F.expr(f"avg(CASE WHEN k IS NOT NULL AND {of} THEN CASE WHEN {condition} THEN 1D ELSE 0D END END)")
+    found = rows.groupBy("match_id").agg(
+        F.count("k").alias("h2h_matches"), share("own > other").alias("h2h_home_win_pct"), share("own = other").alias("h2h_draw_pct"), F.avg(F.col("own") + F.col("other")).alias("h2h_avg_goals"),
+        F.stddev_pop(F.col("own") + F.col("other")).alias("h2h_goals_volatility"), share("own > 0 AND other > 0").alias("h2h_btts_rate"), share("own + other > 2").alias("h2h_over25_rate"),
+        F.avg("own").alias("h2h_home_goals_avg"), F.avg("other").alias("h2h_away_goals_avg"), share("own > other", "at_home").alias("h2h_venue_dominance"),
+        share("own > other", "k > n - 3").alias("_last"), share("other = 0").alias("h2h_clean_sheet_pct"),
+    )
+    more = {"h2h_away_win_pct": 1 - F.col("h2h_home_win_pct") - F.col("h2h_draw_pct"), "h2h_recent_shift": F.when(F.col("h2h_matches") >= 4, F.col("_last") - F.col("h2h_home_win_pct")).otherwise(0.0), "h2h_xg_dominance": F.lit(0.0), "h2h_home_scoring_trend": F.lit(0.0)}
+    full = found.withColumns(more)
+    return full.select("match_id", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
 
 
 def calendar(fixtures: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import columns, metrics
-from terrace.operators import aggregates
+from terrace.operators import aggregates, meetings, upcoming
 from terrace.plans import steps
 from terrace.sources import contest as source
 from terrace.sources import intake
@@ -67,6 +67,56 @@ FIXTURES_SQL = f"""SELECT CAST(home_team AS BIGINT) AS home_team, CAST(away_team
   QUALIFY row_number() OVER (PARTITION BY home_team, away_team ORDER BY dn NULLS LAST, clock) = 1"""
 
 
+#: Features of M23: of sides, of the live season (by team) and of news (by team).
+KNOWN = {"goals_scored_l5": "gf", "goals_conceded_l5": "CASE WHEN {t} % 4 = 0 THEN NULL ELSE ga END", "elo": "CASE WHEN {t} % 3 = 0 THEN NULL ELSE 1400 + gap_elo END", "xg_for_l5": "xgf", "xg_overperformance_l5": "gf - xgf", "wind_exposure": "CASE WHEN {t} % 5 = 0 THEN NULL ELSE shots_f END", "upset_tendency": "CASE WHEN {t} % 2 = 0 THEN NULL ELSE ht_gf END"}
+LIVE = {"goals_scored_l5": "CASE WHEN {t} % 7 = 0 THEN NULL ELSE ({t} % 6) / CAST(2 AS DOUBLE) END", "goals_conceded_l5": "({t} % 5) / CAST(2 AS DOUBLE)", "wind_exposure": "CAST({t} % 9 AS DOUBLE)"}
+NEWS = {"sentiment": "({t} * 7 % 11 - 5) / CAST(10 AS DOUBLE)", "volume": "{t} * 3 % 8"}
+
+
+def upcoming_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every match turned round and put after the last season, with all that M23 knows of it."""
+    games = source.contest(spark, d)
+    sides = source.sides(games).selectExpr("team", "is_home", "season", "match_date", "match_id", *[f"{e.format(t='team')} AS {n}" for n, e in KNOWN.items()])
+    fixtures = games.selectExpr("match_id", "date_add(match_date, 3000) AS match_date", "away_team AS home_team", "home_team AS away_team")
+    teams = source.read(spark, d, "nation").withColumnRenamed("n_nationkey", "team")
+    live = teams.selectExpr("team", *[f"{e.format(t='team')} AS {n}" for n, e in LIVE.items()])
+    news = teams.where("team % 6 <> 1").selectExpr("team", *[f"{e.format(t='team')} AS {n}" for n, e in NEWS.items()])
+    return upcoming.prepare(fixtures, sides, list(KNOWN), live, {"xg_for_l5": "goals_scored_l5"}, ["odds_home_close"], teams.where("team % 4 <> 3").select("team"), games, (news, list(NEWS), ["sentiment"]))
+
+
+def _upcoming_sql() -> str:
+    """M23 apart: latest rows by window, meetings by a join of all pairs."""
+    always, base = ("goals_scored_l5", "goals_conceded_l5"), {"elo": (1460, 1460), "upset_tendency": (0.3, 0.3), "xg_for_l5": (1.1, 1.0)}
+    picks = lambda v: f"row_number() OVER (PARTITION BY team ORDER BY (is_home = {v})::INT DESC, (is_home = {v} AND season = m)::INT DESC, match_date DESC, match_id DESC)"
+    cols, shown = [], []
+    for t, s, k in (("h", "home", 0), ("a", "away", 1)):
+        for n in KNOWN:
+            x = f"coalesce({t}v.{n}, {t}x.{n})"
+            if n in LIVE:
+                y = f"({LIVE[n].format(t=f'{s}_team')})"
+                x = f"coalesce({y}, {x})" if n in always else f"coalesce({x}, {y})"
+            if n == "xg_overperformance_l5":
+                x = "0.0"
+            cols.append(f"{x} AS {n}_{s}0")
+            y = f"coalesce(0.85 * goals_scored_l5_{s}0 + 0.15 * 1.35, xg_for_l5_{s}0)" if n == "xg_for_l5" else f"{n}_{s}0"
+            shown.append((f"CASE WHEN {y} IS NULL AND {s}_team % 4 <> 3 THEN {base[n][k]} ELSE {y} END" if n in base else y) + f" AS {n}_{s}")
+    told = ", ".join(f"CASE WHEN {s}_team % 6 <> 1 THEN {e.format(t=f'{s}_team')} ELSE 0 END AS live_{n}_{s}" for n, e in NEWS.items() for s in ("home", "away"))
+    d = meetings.DEFAULTS
+    return f"""WITH g AS ({C}), sd AS (SELECT team, is_home, season, match_date, match_id, {', '.join(f"{e.format(t='team')} AS {n}" for n, e in KNOWN.items())}, max(season) OVER () AS m FROM ({source.SIDES_SQL})),
+    pl AS (SELECT team FROM sd GROUP BY team HAVING bool_or(season = m)), px AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS x, {picks(1)} AS ph, {picks(0)} AS pa FROM sd),
+    every AS (SELECT team, {', '.join(f'arg_max_null({n}, (match_date, match_id)) AS {n}' for n in KNOWN)} FROM px GROUP BY team),
+    u AS (SELECT match_id, away_team AS home_team, home_team AS away_team FROM g),
+    mt AS (SELECT u.match_id, CASE WHEN o.home_team = u.home_team THEN o.goals_home ELSE o.goals_away END AS w, CASE WHEN o.home_team = u.home_team THEN o.goals_away ELSE o.goals_home END AS l, o.home_team = u.home_team AS own_ground,
+      row_number() OVER (PARTITION BY u.match_id ORDER BY o.match_date DESC, o.match_id DESC) AS k FROM u JOIN g o ON least(u.home_team, u.away_team) = least(o.home_team, o.away_team) AND greatest(u.home_team, u.away_team) = greatest(o.home_team, o.away_team) QUALIFY k <= 10),
+    hh AS (SELECT match_id, count(*) AS n, avg((w > l)::INT) AS hw, avg((w = l)::INT) AS dr, avg(w + l) AS gl, stddev_pop(w + l) AS vol, avg((w > 0 AND l > 0)::INT) AS bt, avg((w + l > 2)::INT) AS o25, avg(w) AS wa, avg(l) AS la, avg((w > l)::INT) FILTER (own_ground) AS vd, avg((w > l)::INT) FILTER (k <= 3) AS l3, avg((l = 0)::INT) AS cs FROM mt GROUP BY match_id),
+    r AS (SELECT u.*, {', '.join(cols)} FROM u LEFT JOIN pl ph ON ph.team = home_team LEFT JOIN px hv ON hv.team = ph.team AND hv.ph = 1 AND hv.is_home = 1 LEFT JOIN every hx ON hx.team = ph.team LEFT JOIN pl pa ON pa.team = away_team LEFT JOIN px av ON av.team = pa.team AND av.pa = 1 AND av.is_home = 0 LEFT JOIN every ax ON ax.team = pa.team),
+    z AS (SELECT r.*, {', '.join(shown)}, {told} FROM r)
+    SELECT z.*, {', '.join(f'{n}_home - {n}_away AS {n}_diff' for n in KNOWN)}, live_sentiment_home - live_sentiment_away AS live_sentiment_diff,
+    coalesce(n, 0) AS h2h_matches, coalesce(hw, {d['h2h_home_win_pct']}) AS h2h_home_win_pct, coalesce(dr, {d['h2h_draw_pct']}) AS h2h_draw_pct, coalesce(1 - hw - dr, {d['h2h_away_win_pct']}) AS h2h_away_win_pct, coalesce(gl, {d['h2h_avg_goals']}) AS h2h_avg_goals,
+    coalesce(vol, 0) AS h2h_goals_volatility, coalesce(bt, 0.5) AS h2h_btts_rate, coalesce(o25, 0.5) AS h2h_over25_rate, coalesce(wa, 1.5) AS h2h_home_goals_avg, coalesce(la, 1.2) AS h2h_away_goals_avg, coalesce(vd, 0.45) AS h2h_venue_dominance,
+    CASE WHEN n >= 4 THEN l3 - hw ELSE 0 END AS h2h_recent_shift, 0 AS h2h_xg_dominance, 0 AS h2h_home_scoring_trend, coalesce(cs, 0.3) AS h2h_clean_sheet_pct, NULL AS odds_home_close FROM z LEFT JOIN hh USING (match_id)"""
+
+
 def register(queries: dict, oracles: dict) -> None:
     def add(name, query, oracle, final):
         queries[name] = lambda spark, d: query(spark, d).selectExpr(*final)
@@ -99,3 +149,5 @@ def register(queries: dict, oracles: dict) -> None:
         f"SELECT match_id, CASE WHEN goals_away > 0 THEN goals_home / goals_away::DOUBLE END AS ratio_finite, xg_home AS xg_home_finite FROM ({C})", steps.rounded(["match_id"], ["ratio_finite", "xg_home_finite"]))
     chances = {"p_home": "(30 + match_id % 41) / CAST(100 AS DOUBLE)", "p_draw": "(10 + match_id % 17) / CAST(100 AS DOUBLE)", "p_away": "(60 - match_id % 41 - match_id % 17) / CAST(100 AS DOUBLE)", "outcome": "CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END"}
     queries["m19_simulated_rank"] = lambda s, d: metrics.simulated_rank(steps.columns(source.contest(s, d), chances))
+    m23 = [*[f"{n}_{x}" for n in KNOWN for x in ("home", "away", "diff")], *[f"live_{n}_{x}" for n in NEWS for x in ("home", "away")], "live_sentiment_diff", *[n for n in meetings.NAMES if n != "h2h_matches"], "odds_home_close"]
+    add("m23_full", upcoming_matches, _upcoming_sql(), steps.rounded(["match_id", "h2h_matches"], m23))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.functions import players
-from terrace.operators import decisions, history, standings, training
+from terrace.operators import decisions, history, moments, standings, training
 from terrace.plans import steps
 from terrace.sources import contest as source
 
@@ -113,6 +113,18 @@ def _family(name: str):
     return query
 
 
+def _running(by: str, first: int):
+    """Chances of each fold or season by the fit on all earlier ones, from running sums."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        table = feature_table(spark, d)
+        state = training.clean(table.where("fold = -1"), training.feature_columns(table), "outcome")
+        centre = [state.medians[c] for c in state.features]
+        return moments.walk_forward(state.apply(table), state.features, by, from_=first, centre=centre)
+
+    return query
+
+
 def _two_steps(spark: SparkSession, d: str) -> DataFrame:
     return training.hierarchical(*_split(spark, d))
 
@@ -183,6 +195,6 @@ def register(queries: dict, oracles: dict) -> None:
     add("t11_historical_sentiment", lambda s, d: players.historical_sentiment(steps.columns(source.contest(s, d), FORM), teams(s, d)), steps.sql(joined(""), extra), steps.rounded(["match_id"], [*sides(""), *extra]))
     queries["t05_player_impact"] = lambda s, d: players.with_players(source.read(s, d, "documents").select("doc_id", "text")).drop("text")
     queries.update({
-        "m07_cleaned": _cleaned, **{f"m10_{n}": _family(n) for n in ("hist_boosted", "hist_voted", "extra_trees")}, "m11_out_of_fold": _oof, "m12_stacked": _stacked, "m12_voted": _voted, "m12_meta_stacked": _meta_stacked, "m13_best_ensemble": _best_ensemble, "m14_calibrated": _calibrated, "m15_weights": _weights,
+        "m07_cleaned": _cleaned, **{f"m10_{n}": _family(n) for n in ("hist_boosted", "hist_voted", "extra_trees")}, "m11_out_of_fold": _oof, "m11_running_folds": _running("fold", 0), "m18_running_seasons": _running("season", 1995), "m12_stacked": _stacked, "m12_voted": _voted, "m12_meta_stacked": _meta_stacked, "m13_best_ensemble": _best_ensemble, "m14_calibrated": _calibrated, "m15_weights": _weights,
         "m16_important": _important, "m17_goals": _goals, "m18_seasons": _seasons, "m18_blocks": _blocks, "m21_two_steps": _two_steps,
     })
