@@ -29,6 +29,8 @@ BLOCK_WORDS = 16
 SHARDS = 40
 #: Hash buckets of a source, as hex digits of the seeded hash.
 BUCKET_DIGITS = 3
+#: Widths of the search for a house's divisor; the last holds any.
+WIDTHS = (1, 4, 16, 64, 256, 4096, 1 << 20, 1 << 40)
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -58,8 +60,11 @@ def quotas(goals: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
     """(skey, shard, quota): seats by highest quotient, shard s the s-th run of them.
 
     The seats of the first s shards are an apportionment of their own, and house monotony
-    makes their difference the shard's quota. Only seats near the divisor's rounding are
-    compared: of k sources no seat count is further than 3 k + 3 from it."""
+    makes their difference the shard's quota. The seats above a quotient are target / divisor,
+    rounded; the divisor that fills the house lies between two that are one part in
+    ``2 upto / (w k)`` off its plain share, for k sources and a small width w (1, but for places
+    that run out: the least of ``WIDTHS`` that holds the house is taken). Only seats between
+    these two are compared: w + 3 a source on average, so work grows with the sources."""
     whole = Window.partitionBy()
     n_blocks = F.ceil(F.col("source_size") / F.lit(block_words))
     base = (
@@ -69,14 +74,22 @@ def quotas(goals: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
         .withColumn("places", 2 * n_blocks)
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         .withColumn("upto", F.expr(f"seats * (shard + 1) div {shards}"))
-        .withColumn("near", F.expr("coalesce(cast(floor(try_divide(target * upto, 1.5D * words) + 0.5D) as bigint), 0)"))
-        .withColumn("sure", F.expr("greatest(0, least(places, near - 3 * k - 3))"))
-        .withColumn("open", F.expr("least(places, near + 3 * k + 3) - sure"))
+        .withColumn("share", F.expr("coalesce(try_divide(target * upto, 1.5D * words), 0D)"))
+        .withColumn("step", F.expr("coalesce(try_divide(k, 2D * upto), 0D)"))
+    )
+    at = lambda factor: f"least(places, cast(floor(share * greatest(0D, {factor}) + 0.5D) as bigint))"
+    sums = [F.sum(F.expr(at(f"1D {sign} {w} * step"))).alias(f"{n}{w}") for w in WIDTHS for n, sign in (("low", "-"), ("high", "+"))]
+    fits = " ".join(f"WHEN low{w} <= upto AND high{w} >= upto THEN {w}" for w in WIDTHS)
+    widths = base.groupBy("shard", "upto").agg(*sums).select("shard", F.expr(f"CASE {fits} ELSE {WIDTHS[-1]} END").alias("width"))
+    open_ = (
+        base.join(widths, "shard")
+        .withColumn("sure", F.expr(f"greatest(0, {at('1D - width * step')} - 1)"))
+        .withColumn("open", F.expr(f"least(places, {at('1D + width * step')} + 1) - sure"))
     )
     order = Window.partitionBy("shard").orderBy(F.desc("quotient"), "skey")
     left = F.col("upto") - F.col("sure_all")
     won = (
-        base.withColumn("sure_all", F.sum("sure").over(Window.partitionBy("shard")))
+        open_.withColumn("sure_all", F.sum("sure").over(Window.partitionBy("shard")))
         .where("open > 0")
         .withColumn("seat", F.explode(F.expr("sequence(sure + 1, sure + open)")))
         .withColumn("quotient", F.col("target") / (2 * F.col("seat") - 1))
@@ -85,7 +98,7 @@ def quotas(goals: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARD
         .groupBy("skey", "shard").agg(F.count("*").alias("won"))
     )
     step = Window.partitionBy("skey").orderBy("shard")
-    upto = base.join(won, ["skey", "shard"], "left").withColumn("upto_shard", F.col("sure") + F.coalesce("won", F.lit(0)))
+    upto = open_.join(won, ["skey", "shard"], "left").withColumn("upto_shard", F.col("sure") + F.coalesce("won", F.lit(0)))
     return upto.select("skey", "shard", (F.col("upto_shard") - F.lag("upto_shard", 1, 0).over(step)).alias("quota"))
 
 
@@ -102,7 +115,7 @@ def _mixed(docs: DataFrame, block_words: int, shards: int, seed: int) -> DataFra
             _source_key().alias("skey"),
             F.xxhash64("text").alias("sig"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 16).alias("h"),
+            F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text"), F.lit(""))))))), 1, 16).alias("h"),
         ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)),
         "mix-sizes",
     )
@@ -155,7 +168,7 @@ ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, coalesce('s' || source, '~') AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, 'null'))[:16] AS h
+         md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))))[:16] AS h
   FROM documents),
 src AS (SELECT skey, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 wt AS (SELECT *, ([5, 2, 1])[((row_number() OVER (ORDER BY skey) - 1) % 3) + 1] AS weight,
