@@ -3,9 +3,12 @@
 Equal vectors of a label are one node with a count. A label's nodes form a cell; a cell with
 more than ``MOST`` nodes is split around sampled members, level by level, and each node joins
 its ``overlap`` nearest centres. The nearest is its home; only from there it is dealt on to
-several, so its copies grow with the levels, not with their power. Samples within ``THIN`` of
-an earlier one are no centres: a dense group stays in one cell, and a cell that keeps a single
-centre (or is still too large after ``LEVELS``) is dense.
+several, so its copies grow with the levels, not with their power. Centres are the samples that
+lie farthest from one another, in turn, until all others are linked to one: so a dense group
+gets one centre, while vectors that share a mean direction are told apart by what is left of
+them. A cell is dense when at least ``DENSE`` of its sampled pairs are links themselves (or it
+is still too large after ``LEVELS``): there the work of comparing all pairs is in proportion to
+the links.
 
 In every other cell, now a shard, each node's nearest candidates are pruned by the robust rule
 (a candidate goes when a kept one is ``ALPHA`` times nearer to it) and the pruned lists of all
@@ -43,7 +46,7 @@ from terrace.llm.common import components, stage, table
 COSINE = 0.93
 OVERLAP, LEVELS = 3, 8
 MOST, HOME, FANOUT, SALT_ROWS = 6144, 700, 64, 20_000
-THIN = 0.75
+DENSE = 0.25
 NEAR, DEGREE, ALPHA, STEP_ROWS = 48, 16, 1.2, 512
 AUDIT, RECALL = 256, 0.95
 #: Links from which a group counts as large in the audit; nodes of a block compared exactly.
@@ -85,24 +88,30 @@ def _unit(column, kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def thinned(x: np.ndarray, cosine: float = THIN) -> list[int]:
-    """Rows with no earlier kept row within the cosine."""
-    kept: list[int] = []
-    for i, near in enumerate(x @ x.T >= cosine):
-        if not near[kept].any():
-            kept.append(i)
-    return kept
+def spread_out(sims: np.ndarray, cosine: float) -> list[int]:
+    """Rows that lie farthest from those before them, from cosines of all pairs; ends when
+    every other row is within the cosine of one."""
+    kept, near = [0], sims[0].copy()
+    while True:
+        at = int(near.argmin())
+        if near[at] >= cosine - SLACK:
+            return kept
+        kept.append(at)
+        near = np.maximum(near, sims[at])
+        near[at] = 2.0
 
 
-def _assign(rows: pa.Table, centres: pa.Table, overlap: int, kind: str) -> pa.Table:
+def _assign(rows: pa.Table, centres: pa.Table, overlap: int, kind: str, cosine: float) -> pa.Table:
     """rows dealt to their nearest centres: a home row to several, any other to one."""
     if not len(rows) or not len(centres):
         return rows.select(["node", "vec", "copies", "cell", "home", "dense"])
     centres = centres.sort_by("part")
     c = _unit(centres["vec"], kind)
-    c = c[thinned(c)]
-    if len(c) == 1:
+    sims = c @ c.T
+    linked = (sims[np.triu_indices(len(c), 1)] >= cosine).mean() if len(c) > 1 else 1.0
+    if linked >= DENSE:
         return rows.select(["node", "vec", "copies", "cell", "home"]).append_column("dense", pa.array(np.ones(len(rows), bool)))
+    c = c[spread_out(sims, cosine)]
     near = np.argsort(-(_unit(rows["vec"], kind) @ c.T), axis=1, kind="stable")[:, :overlap]
     home = rows["home"].to_numpy(zero_copy_only=False)
     who, rank = np.nonzero(home[:, None] | (np.arange(near.shape[1]) == 0))
@@ -111,7 +120,7 @@ def _assign(rows: pa.Table, centres: pa.Table, overlap: int, kind: str) -> pa.Ta
     return pa.table({**{n: taken[n] for n in taken.column_names}, "cell": pa.array(cell, pa.string()), "home": pa.array(home[who] & (rank == 0)), "dense": pa.array(np.zeros(len(who), bool))})
 
 
-def cells(classes: DataFrame, overlap: int, kind: str, most: int = MOST, home: int = HOME) -> tuple[DataFrame, bool]:
+def cells(classes: DataFrame, overlap: int, kind: str, most: int = MOST, home: int = HOME, cosine: float = COSINE) -> tuple[DataFrame, bool]:
     """(node, vec, copies, cell, home, dense): the members of every cell, and whether any cell
     was split."""
     now = classes.select("node", "vec", "copies", F.concat_ws(":", "label", F.octet_length("vec")).alias("cell"), F.lit(True).alias("home"), F.lit(False).alias("dense"))
@@ -129,7 +138,7 @@ def cells(classes: DataFrame, overlap: int, kind: str, most: int = MOST, home: i
         salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
         centres = stage(drawn.select("cell", "part", "vec", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "flat-centres")
         dealt = big.select("node", "vec", "copies", "cell", "home", "dense", F.pmod(F.xxhash64("node", F.lit(-1 - level)), salts).cast("int").alias("salt"))
-        moved = dealt.groupBy("cell", "salt").cogroup(centres.groupBy("cell", "salt")).applyInArrow(lambda a, b: _assign(a, b, overlap, kind), _ROW)
+        moved = dealt.groupBy("cell", "salt").cogroup(centres.groupBy("cell", "salt")).applyInArrow(lambda a, b: _assign(a, b, overlap, kind, cosine), _ROW)
         now = stage(moved, "flat-cells")
     else:
         sizes = now.groupBy("cell").agg(F.count("*").alias("n"))
@@ -345,7 +354,7 @@ def exact(members: DataFrame, cosine: float, kind: str, block: int = BLOCK) -> D
 def search(classes: DataFrame, overlap: int, cosine: float, kind: str, most: int = MOST, home: int = HOME) -> DataFrame:
     """(a, null, n_links, n_nodes) for each node of a cell, to be summed, and (a, b, null, null)
     for each edge of a star; n_nodes counts other nodes, n_links their copies."""
-    members, split = cells(classes, overlap, kind, most, home)
+    members, split = cells(classes, overlap, kind, most, home, cosine)
     members = members.select("node", "vec", "copies", "cell", "dense")
     if not split:
         return stage(members.drop("dense").groupBy("cell").applyInArrow(lambda t: _build_and_search(t, cosine, kind), _LINKS), "flat-links")

@@ -278,6 +278,27 @@ def test_mix_quotas_are_the_highest_quotients(spark):
         assert {k: sum(x[1] == k for x in run) for k in ("sa", "sb", "sc", "~")} == {k: got[k, shard] for k in ("sa", "sb", "sc", "~")}
 
 
+def test_mix_quotas_of_many_sources(spark):
+    """Loops over all quotients for sources of very unlike sizes, with places that run out; work
+    stays in proportion to the sources."""
+    dice = random.Random(7)
+    for k, top in ((60, 9), (300, 3000)):
+        sizes = sorted([dice.randint(0, top) for _ in range(k - 2)] + [top * k, 0])
+        sources = spark.createDataFrame([(f"s{i:05d}", s) for i, s in enumerate(sizes)], "skey string, source_size long")
+        goals = mixing.targets(sources).cache()
+        got = {(r.skey, r.shard): r.quota for r in mixing.quotas(goals, 8, 5).collect()}
+        seats = (3 * sum(sizes) + 8) // 16
+        order = sorted((-r.target / (2 * j - 1), r.skey) for r in goals.collect() for j in range(1, 2 * -(-r.source_size // 8) + 1))
+        for shard in range(5):
+            run = [x[1] for x in order[seats * shard // 5 : seats * (shard + 1) // 5]]
+            assert {r.skey: got[r.skey, shard] for r in goals.collect()} == {r.skey: run.count(r.skey) for r in goals.collect()}
+    many = spark.range(10_000).select(F.format_string("s%06d", "id").alias("skey"), (F.pmod(F.xxhash64("id"), F.lit(10_000_000)) + 1).alias("source_size"))
+    goals = mixing.targets(many)
+    total = mixing.quotas(goals).groupBy("shard").agg(F.sum("quota").alias("q"), F.min("quota").alias("least")).collect()
+    words = many.agg(F.sum("source_size")).first()[0]
+    assert sum(r.q for r in total) == (3 * words + 16) // 32 and min(r.least for r in total) >= 0
+
+
 def test_pieces_equal_the_library(docs, none):
     import sentencepiece
 
@@ -467,6 +488,26 @@ def test_embeddings_dense_group_larger_than_a_shard(spark):
     assert members.where("home").count() == 900
 
 
+def test_embeddings_with_a_shared_direction(spark, monkeypatch):
+    """Vectors with a mean cosine near 0.9, of which few pairs are linked: they are split and go
+    through the graph; only a group whose own pairs are links is compared exactly."""
+    dice = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    mean, topics = unit(dice.normal(size=64)), unit(dice.normal(size=(150, 64)))
+    x = 2.9 * mean + np.repeat(topics, 16, axis=0) + unit(dice.normal(size=(2400, 64))) * 0.3
+    data = [(i, v.tolist(), 1) for i, v in enumerate(unit(x))]
+    v = unit(np.array([r[1] for r in data]))
+    sims = (v @ v.T)[np.triu_indices(len(v), 1)]
+    assert 0.87 < sims.mean() < 0.93 and 0 < (sims >= 0.93).mean() < 0.02
+    compared = []
+    real = embeddings.exact
+    monkeypatch.setattr(embeddings, "exact", lambda members, *a: compared.append(members.count()) or real(members, *a))
+    got = embeddings.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int"), most=300, home=60).toPandas().set_index("vec_id")
+    links, _ = near(data)
+    assert compared and not any(compared)
+    assert np.mean([got.n_links[i] / n for i, n in links.items() if n]) >= 0.95 and all(got.n_links[i] <= n for i, n in links.items())
+
+
 def test_embeddings_doubles_are_not_narrowed(spark):
     a = np.zeros(16)
     a[0] = 1.0
