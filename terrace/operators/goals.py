@@ -229,8 +229,11 @@ def outcomes(fixtures: DataFrame, rho: float, goals: int = GOALS, top: int = 12,
     few = h[0] * upto(a, 3) + h[1] * upto(a, 2) + h[2] * a[0] + low(*LOW)
     both = (upto(h, goals) - h[0]) * (upto(a, goals) - a[0]) + low((1, 1))
     part = {"p_home": home, "p_draw": draw, "p_away": away, "btts": both}
-    cells = F.array(*[F.struct((-F.round(_cell(i, j), 12)).alias("k"), F.lit(i).alias("h"), F.lit(j).alias("a")) for i in range(shown) for j in range(shown)])
-    scores = F.transform(F.slice(F.sort_array(cells), 1, top), lambda c: F.concat_ws("-", c["h"], c["a"]))
+    # A cell as one number, so that plain numbers are sorted: its chance to 12 places, then its place.
+    size = shown * shown
+    coded = [F.floor(_cell(i, j) * 1e12 + 0.5) * size + (size - 1 - (i * shown + j)) for i in range(shown) for j in range(shown)]
+    names = F.array(*[F.lit(f"{i}-{j}") for i in range(shown) for j in range(shown)])
+    scores = F.transform(F.slice(F.sort_array(F.array(*coded), asc=False), 1, top), lambda c: F.get(names, (size - 1 - F.pmod(c, F.lit(size))).cast("int")))
     out = _marginals(fixtures, rho, goals)
     return out.select("match_id", "lambda_home", "lambda_away", *[(x / F.col("_total")).alias(n) for n, x in part.items()], (1 - few / F.col("_total")).alias("over_2_5"), scores.alias("top_scorelines"))
 

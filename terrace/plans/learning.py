@@ -9,6 +9,7 @@ from terrace.functions import players
 from terrace.operators import decisions, history, moments, standings, training
 from terrace.plans import steps
 from terrace.sources import contest as source
+from terrace.sources.staging import Staged
 
 C = source.CONTEST_SQL
 PROBS = {"p_home": "(30 + match_id % 41) / CAST(100 AS DOUBLE)", "p_draw": "(10 + match_id % 29) / CAST(100 AS DOUBLE)", "p_away": "(60 - match_id % 41 - match_id % 17) / CAST(100 AS DOUBLE)", "outcome": "CASE result WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END"}
@@ -20,6 +21,11 @@ FORM = {"ppg_l5_home": "CASE WHEN match_id % 9 = 0 THEN NULL ELSE (match_id % 16
 NAMES = ["logistic", "tree", "forest", "boosted", "network"]
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, for what is read several times: no executor has to hold it."""
+    return Staged(df, name).rows
+
+
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     """Matches with form over five, odds and weather, ordered by ``place``, and the fold."""
     matches = source.contest(spark, d)
@@ -32,7 +38,7 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _oof(spark: SparkSession, d: str) -> DataFrame:
     """The learners' chances out of fold."""
-    table = feature_table(spark, d).persist()
+    table = _kept(feature_table(spark, d), "features")
     features = training.feature_columns(table)
     state = training.clean(table.where("fold = -1"), features, "outcome")
     return training.out_of_fold(state.apply(table), NAMES, state.features)
@@ -40,7 +46,7 @@ def _oof(spark: SparkSession, d: str) -> DataFrame:
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Earlier and last-fold matches, cleaned by the earlier ones."""
-    table = feature_table(spark, d).persist()
+    table = _kept(feature_table(spark, d), "features")
     before, last = table.where("fold < 3"), table.where("fold >= 3")
     state = training.clean(before, training.feature_columns(table), "outcome")
     return state.apply(before), state.apply(last), state.features
@@ -51,17 +57,17 @@ def _stacked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _voted(spark: SparkSession, d: str) -> DataFrame:
-    oof = _oof(spark, d).persist()
+    oof = _kept(_oof(spark, d), "forecasts")
     weights = training.voting_weights(oof.where("fold < 3"), NAMES)
     return training.voted(oof.where("fold >= 3"), weights).select("match_id", "outcome", *training.P)
 
 
 def _meta(spark: SparkSession, d: str) -> DataFrame:
     """Stacked chances of folds 2 and later, with the learners' chances and the answers."""
-    table = feature_table(spark, d).persist()
+    table = _kept(feature_table(spark, d), "features")
     state = training.clean(table.where("fold = -1"), training.feature_columns(table), "outcome")
     ready = state.apply(table)
-    oof = training.out_of_fold(ready, NAMES, state.features).join(training.answered(ready, state.features), "match_id").persist()
+    oof = _kept(training.out_of_fold(ready, NAMES, state.features).join(training.answered(ready, state.features), "match_id"), "forecasts")
     return training.meta_stacked(oof, NAMES)
 
 
@@ -72,13 +78,13 @@ def _meta_stacked(spark: SparkSession, d: str) -> DataFrame:
 def _best_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """The candidate that is best on fold 2, for the folds after it."""
     weights = [f"({' + '.join(f'{n}_{o}' for n in NAMES)}) / CAST({len(NAMES)} AS DOUBLE) AS weighted_{o}" for o in decisions.SIDES]
-    rows = steps.columns(_meta(spark, d).selectExpr("*", *weights), *decisions.two_class()).persist()
+    rows = _kept(steps.columns(_meta(spark, d).selectExpr("*", *weights), *decisions.two_class()), "candidates")
     name = decisions.chosen(rows.where("fold = 2"), ["p", "weighted", "two", "both"])
     return rows.where("fold >= 3").select("match_id", F.lit(name).alias("method"), *[F.col(f"{name}_{o}").alias(f"p_{o}") for o in decisions.SIDES])
 
 
 def _calibrated(spark: SparkSession, d: str) -> DataFrame:
-    oof = training.voted(_oof(spark, d), dict.fromkeys(NAMES, 1 / len(NAMES))).persist()
+    oof = _kept(training.voted(_oof(spark, d), dict.fromkeys(NAMES, 1 / len(NAMES))), "forecasts")
     return training.calibrated(oof.where("fold = 2"), oof.where("fold >= 3")).select("match_id", "outcome", *training.P)
 
 
@@ -130,13 +136,13 @@ def _two_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seasons(spark: SparkSession, d: str) -> DataFrame:
-    table = feature_table(spark, d).persist()
+    table = _kept(feature_table(spark, d), "features")
     return training.walk_forward(table, training.feature_columns(table))
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     weeks = standings.gameweeks(source.contest(spark, d)).select("match_id", "gameweek")
-    table = training.latest_block(feature_table(spark, d).join(weeks, "match_id")).persist()
+    table = _kept(training.latest_block(feature_table(spark, d).join(weeks, "match_id")), "features")
     return training.walk_forward(table, [c for c in training.feature_columns(table) if c not in ("gameweek", "block")], by="block", steps=None)
 
 

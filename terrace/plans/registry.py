@@ -368,9 +368,10 @@ _rest()
 
 
 def _learning() -> None:
-    from terrace.plans import intake, learning
+    from terrace.plans import forecasts, intake, learning
 
     learning.register(QUERIES, ORACLES)
+    forecasts.register(QUERIES, ORACLES)
     intake.register(QUERIES, ORACLES)
 
 

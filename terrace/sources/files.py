@@ -104,10 +104,11 @@ def _path(spark: SparkSession, path: str):
 
 def write_table(df: DataFrame, path: str, drop_empty: bool = False) -> None:
     """K1: df in place of what is at path; with drop_empty an empty df leaves nothing."""
-    df.write.mode("overwrite").parquet(path)
-    if drop_empty and df.sparkSession.read.parquet(path).isEmpty():
+    if drop_empty and df.isEmpty():
         place, fs = _path(df.sparkSession, path)
         fs.delete(place, True)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -123,11 +124,18 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def update_json(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
-    """K3: reads, merges and replaces JSON rows; what is read is replaced once all is written."""
+    """K3: reads, merges and replaces JSON rows. What is read is set aside once all is written, so
+    after a crash either the old rows or the new ones are found."""
     place, fs = _path(spark, path)
+    left = _path(spark, f"{path}.old")[0]
+    if not fs.exists(place) and fs.exists(left):  # a run ended between its two renames
+        fs.rename(left, place)
     if not fs.exists(place):
         write_json(new, path)
         return
+    fresh, old = (_path(spark, f"{path}.{end}")[0] for end in ("next", "old"))
     write_json(merged(spark.read.json(path), new, key), f"{path}.next")
-    fs.delete(place, True)
-    fs.rename(_path(spark, f"{path}.next")[0], place)
+    fs.delete(old, True)
+    fs.rename(place, old)
+    fs.rename(fresh, place)
+    fs.delete(old, True)

@@ -52,3 +52,11 @@ def test_sinks(spark, tmp_path):
     got = {r.k: (r.x, r.live_y, r.z) for r in spark.read.json(path).collect()}
     assert got == {1: ("a", None, None), 2: ("b", 5.0, "n"), 3: ("c", None, "m")}
     assert files.without(rows, "live_").columns == ["k", "x"] and files.shared_columns(rows, rows.select("x", F.lit(1).alias("q"))) == ["x"]
+
+
+def test_json_after_a_crash_between_renames(spark, tmp_path):
+    path = str(tmp_path / "j")
+    files.update_json(spark, path, spark.createDataFrame([(1, "a")], "k int, x string"), "k")
+    (tmp_path / "j").rename(tmp_path / "j.old")
+    files.update_json(spark, path, spark.createDataFrame([(2, "b")], "k int, x string"), "k")
+    assert {r.k: r.x for r in spark.read.json(path).collect()} == {1: "a", 2: "b"} and not (tmp_path / "j.old").exists()
