@@ -260,7 +260,7 @@ def _models() -> None:
     s AS (SELECT doc_id, max(n) AS n, sum(CASE WHEN w IN {q(fo)} THEN CASE WHEN turned THEN 0 ELSE x END WHEN w IN {q(ag)} AND turned THEN x * 0.5 ELSE 0 END + CASE WHEN ph IN {q(fo)} AND NOT turned THEN 1.5 WHEN ph IN {q(ag)} AND turned THEN 0.5 ELSE 0 END) AS u,
       sum(CASE WHEN w IN {q(fo)} AND turned THEN x WHEN w NOT IN {q(fo)} AND w IN {q(ag)} AND NOT turned THEN x ELSE 0 END + CASE WHEN ph IN {q(fo)} AND turned THEN 1.5 WHEN ph NOT IN {q(fo)} AND ph IN {q(ag)} AND NOT turned THEN 1.5 ELSE 0 END) AS v FROM f GROUP BY doc_id),
     r AS (SELECT doc_id, source, CASE WHEN u + v > 0 THEN round((u - v)::DOUBLE / greatest(u + v, 1), 4) ELSE 0 END AS sentiment, CASE WHEN u + v > 0 THEN round(u::DOUBLE / n, 4) ELSE 0 END AS positive, CASE WHEN u + v > 0 THEN round(v::DOUBLE / n, 4) ELSE 0 END AS negative, CASE WHEN u + v > 0 THEN round(least((u + v)::DOUBLE / (n * 0.1::DOUBLE), 1), 4) ELSE 0 END AS subjectivity FROM documents LEFT JOIN s USING (doc_id))"""
-    tokens = lambda s, d: source.read(s, d, "documents").select("doc_id", "source", text.token_sentiment("text", fo, ag, ne, am).alias("s")).select("doc_id", "source", "s.*")
+    tokens = lambda s, d: source.spread(source.read(s, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", text.token_sentiment("text", fo, ag, ne, am).alias("s")).select("doc_id", "source", "s.*")
     add("t09_token_sentiment", tokens, f"{token_sql} SELECT * FROM r", steps.rounded(["doc_id"], m4))
     add("a14_sentiment_by_team", lambda s, d: text.by_team(tokens(s, d), "source"),
         f"{token_sql} SELECT source, {', '.join(f'avg({c}) AS {c}' for c in m4)}, count(*) AS volume, CASE WHEN count(*) = 1 THEN 0.5 ELSE greatest(0, 1 - stddev_samp(sentiment)) END AS consensus FROM r GROUP BY source", steps.rounded(["volume"], [*m4, "consensus"], ("source",)))

@@ -24,7 +24,13 @@ def sql(base: str, *layers: dict[str, str]) -> str:
 
 
 def rounded(whole: list[str], other: list[str], plain: tuple[str, ...] = ()) -> list[str]:
-    return [*plain, *[f"CAST({c} AS BIGINT) AS {c}" for c in whole], *[f"CASE WHEN round(CAST({c} AS DOUBLE), 6) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST({c} AS DOUBLE), 6) END AS {c}" for c in other]]
+    return [*plain, *[f"CAST({c} AS BIGINT) AS {c}" for c in whole], *[f"{_six_places(f'CAST({c} AS DOUBLE)')} AS {c}" for c in other]]
+
+
+def _six_places(x: str) -> str:
+    """Halves away from zero, in plain arithmetic: Spark's round() goes through decimals, which
+    costs more than the windows that made the values. Large numbers are left to it."""
+    return f"CASE WHEN abs({x}) < 1e9 THEN CASE WHEN {x} < 0 THEN 0 - floor(0.5 - {x} * 1e6) / 1e6 ELSE floor({x} * 1e6 + 0.5) / 1e6 END ELSE round({x}, 6) END"
 
 
 def final_sql(base: str, parts: list[str]) -> str:
@@ -33,12 +39,11 @@ def final_sql(base: str, parts: list[str]) -> str:
 
 def both_sides(rows: DataFrame, names: list[str]) -> DataFrame:
     """match_id and name_home, name_away of two rows a match: one grouped pass with a single
-    aggregate, no self-join."""
+    aggregate for each side, no self-join."""
     from pyspark.sql import functions as F
 
-    pair = rows.groupBy("match_id").agg(F.collect_list(F.struct("is_home", *names)).alias("_pair"))
-    side = lambda at: F.get(F.filter("_pair", lambda r: r["is_home"] == at), F.lit(0))
-    both = pair.select("match_id", side(1).alias("_home"), side(0).alias("_away"))
+    side = lambda at: F.first(F.when(F.col("is_home") == at, F.struct(*names)), ignorenulls=True)
+    both = rows.groupBy("match_id").agg(side(1).alias("_home"), side(0).alias("_away"))
     return both.select("match_id", *[F.col(f"_{s}.{n}").alias(f"{n}_{s}") for n in names for s in ("home", "away")])
 
 

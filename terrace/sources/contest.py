@@ -56,6 +56,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows for work that is heavy for each: dealt anew where the files give fewer tasks than
+    there are cores, else as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def contest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches. The lines are counted before the joins, so one row an order is shuffled."""
     lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
