@@ -71,6 +71,17 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("name").agg(F.count("x").alias("n"), q(0.5).alias("median"), q(0.01).alias("q01"), q(0.99).alias("q99"), F.var_samp("x").alias("variance"))
 
 
+def league_averages(df: DataFrame, columns: list[str], season: str = "season") -> DataFrame:
+    """One row with the mean of each column over the last season."""
+    last = F.broadcast(df.agg(F.max(season).alias("_last")))  # one row
+    return df.join(last, F.col(season) == F.col("_last")).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def season_spans(df: DataFrame, key: str, season: str = "season") -> DataFrame:
+    """A5: least and greatest key and the number of rows of each season."""
+    return df.groupBy(season).agg(F.min(key).alias("first_id"), F.max(key).alias("last_id"), F.count("*").alias("n"))
+
+
 #: Size of a quantile sketch: it is exact up to this many values and keeps about three times as
 #: many at most; ranks read from it are off by less than RANK_ERROR of all values.
 SKETCH, RANK_ERROR = 65_535, 0.0002

@@ -197,7 +197,7 @@ def expected_points() -> tuple[list[dict], list[str]]:
 
 def rest() -> tuple[list[dict], list[str]]:
     """Days since the last match (7 before the first), plain and capped at 30."""
-    days = {"rest_days": f"coalesce(greatest(0, dn - lag(dn) OVER ({TEAM})), 7)"}
+    days = {"rest_days": f"CASE WHEN lag(dn) OVER ({TEAM}) IS NULL THEN 7 ELSE greatest(0, dn - lag(dn) OVER ({TEAM})) END"}
     return [days, {"rest_days_capped": "least(rest_days, 30)", "fresh_flag": flag("rest_days >= 6"), "fatigue_flag": flag("rest_days <= 2")}], ["rest_days", "rest_days_capped", "fresh_flag", "fatigue_flag"]
 
 

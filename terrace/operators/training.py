@@ -37,7 +37,8 @@ LOW, HIGH = 0.02, 0.96
 LEAST_VARIANCE, MOST_CORRELATED = 1e-10, 0.95
 TAILS = (0.001, 0.999)
 ACCURACY = 100_000
-#: A fit is many short passes over its rows: a task of a pass takes about this many.
+#: A fit is many short passes over its rows: a task of a pass takes about this many, dealt
+#: after the vectors were made where the rows lie.
 ROWS_A_TASK = 50_000
 #: Independent fits that run at once; each keeps its training vectors while it runs.
 FITS = 8
@@ -132,7 +133,7 @@ def fit_learner(train: DataFrame, learner, features: list[str], label: str = "ou
     if low is None or low == high or not features:
         return -1 if low is None or low != high else int(low)
     assembler = VectorAssembler(inputCols=features, outputCol="_x")
-    vectors = assembler.transform(rows).select("_x", "_label", "_weight").coalesce(max(1, -(-n // ROWS_A_TASK)))
+    vectors = assembler.transform(rows).select("_x", "_label", "_weight").repartition(max(1, -(-n // ROWS_A_TASK)))
     scaler = StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True).fit(vectors)
     ready = scaler.transform(vectors).persist()
     model = (learners(len(features))[learner] if isinstance(learner, str) else learner).fit(ready)

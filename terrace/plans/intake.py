@@ -140,6 +140,8 @@ def register(queries: dict, oracles: dict) -> None:
     add("a18_percentile_rank", lambda s, d: aggregates.sketch_ranks(aggregates.sketches(source.contest(s, d), PROBE), means(s, d)),
         f"WITH c AS ({C}), l AS ({long}), m AS (SELECT name, round(avg(x), 2) AS value FROM l GROUP BY name) SELECT name, value, avg(CASE WHEN x <= value THEN 1.0 ELSE 0 END) FILTER (x IS NOT NULL) AS rank FROM l JOIN m USING (name) GROUP BY ALL",
         steps.rounded([], ["value", "rank"], ("name",)))
+    add("a05_season_spans", lambda s, d: aggregates.season_spans(source.contest(s, d), "match_id"), f"SELECT season, min(match_id) AS first_id, max(match_id) AS last_id, count(*) AS n FROM ({C}) GROUP BY season", steps.rounded(["season", "first_id", "last_id", "n"], []))
+    add("a06_league_averages", lambda s, d: aggregates.league_averages(source.contest(s, d), PROBE), f"SELECT {', '.join(f'avg({c}) AS {c}' for c in PROBE)} FROM ({C}) WHERE season = (SELECT max(season) FROM ({C}))", steps.rounded([], PROBE))
     order = ["match_date", "match_id"]
     ends = " UNION ALL ".join(f"SELECT '{e}' AS \"end\", match_id, row_number() OVER (ORDER BY match_date, match_id) AS place FROM (SELECT * FROM ({C}) ORDER BY match_date {o}, match_id {o} LIMIT 5)" for e, o in (("head", "ASC"), ("tail", "DESC")))
     add("l02_head_tail", lambda s, d: aggregates.head_and_tail(source.contest(s, d).select("match_date", "match_id"), order, 5).withColumnRenamed("end", "side"), f'SELECT "end" AS side, match_id, place FROM ({ends})', steps.rounded(["match_id", "place"], [], ("side",)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from terrace.operators import history
-from terrace.plans import steps
+from terrace.plans import steps, twins
 from terrace.sources import contest as source
 
 QUERIES: dict = {}
@@ -19,24 +19,24 @@ def _sides(name: str, spec, whole: tuple[str, ...] = (), twin=None) -> None:
     ORACLES[name] = steps.final_sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *(twin or layers)), names), final)
 
 
-def _matches(name: str, spec, whole: tuple[str, ...] = ()) -> None:
+def _matches(name: str, spec, whole: tuple[str, ...] = (), twin=None) -> None:
     layers, names = spec
     final = steps.rounded(["match_id", *[n for n in names if n in whole]], [n for n in names if n not in whole])
     QUERIES[name] = lambda spark, d: steps.columns(source.contest(spark, d), *layers).selectExpr(*final)
-    ORACLES[name] = steps.final_sql(steps.sql(source.CONTEST_SQL, *layers), final)
+    ORACLES[name] = steps.final_sql(steps.sql(source.CONTEST_SQL, *(twin or layers)), final)
 
 
 _sides("w01_rolling_form", history.rolling_form(), twin=history.rolling_frames()[0])
-_sides("w03_runs", history.runs(), ("streak", "unbeaten_run", "winless_run"))
-_sides("w04_momentum", history.momentum(), ("congestion",))
-_sides("w05_surprise", history.surprise())
-_sides("w07_sequence", history.sequence(), (*[f"seq_last{i}" for i in range(1, 6)], "seq_wdl_pattern"))
-_sides("w08_manager", history.manager(), ("manager_tenure", "new_manager_bounce"))
-_sides("w09_keeper", history.keeper(), ("gk_cs_streak",))
-_sides("w11_expected_points", history.expected_points())
-_sides("w12_rest", history.rest(), ("rest_days", "rest_days_capped", "fresh_flag", "fatigue_flag"))
-_sides("w13_scoring", history.scoring())
-_matches("w15_referee", history.referee())
+_sides("w03_runs", history.runs(), ("streak", "unbeaten_run", "winless_run"), twin=twins.runs())
+_sides("w04_momentum", history.momentum(), ("congestion",), twin=twins.momentum())
+_sides("w05_surprise", history.surprise(), twin=twins.surprise())
+_sides("w07_sequence", history.sequence(), (*[f"seq_last{i}" for i in range(1, 6)], "seq_wdl_pattern"), twin=twins.sequence())
+_sides("w08_manager", history.manager(), ("manager_tenure", "new_manager_bounce"), twin=twins.manager())
+_sides("w09_keeper", history.keeper(), ("gk_cs_streak",), twin=twins.keeper())
+_sides("w11_expected_points", history.expected_points(), twin=twins.expected_points())
+_sides("w12_rest", history.rest(), ("rest_days", "rest_days_capped", "fresh_flag", "fatigue_flag"), twin=twins.rest())
+_sides("w13_scoring", history.scoring(), twin=twins.scoring())
+_matches("w15_referee", history.referee(), twin=twins.referee())
 
 
 def _poisson() -> None:
