@@ -5,8 +5,9 @@ parse into longest substrings of that labelled text: the fewer phrases a symbol,
 the language. The language with the lowest rate wins, ties by code point.
 
 The labelled text is a bounded sample: of ``LEARN_DOCS`` documents of a language in hash order
-a stretch each, from anywhere in it, until ``LEARN_SYMBOLS`` symbols are reached, for the
-``LEARN_LANGS`` most frequent languages. Texts are reduced to lower-case letters and single
+a stretch each, from anywhere in it, until ``LEARN_SYMBOLS`` symbols are reached. All languages
+are learned; beyond 30 they share ``ALL_SYMBOLS``, down to ``LEAST_SYMBOLS`` each, so that a
+worker's tables stay under 300 MB for up to some 900 languages. Texts are reduced to lower-case letters and single
 separators. Since the greedy parse starts anew at the root after each phrase, the automaton
 becomes one table. Whole texts are parsed: many in step with numpy and, where fewer than
 ``IN_STEP`` are still left, each of these alone from the state it has reached.
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from terrace.llm.common import append, held, table
 
 LEARN_SYMBOLS = 30_000
-LEARN_DOCS, LEARN_LANGS = 64, 500
+LEARN_DOCS = 64
+ALL_SYMBOLS, LEAST_SYMBOLS = 900_000, 1000
 #: Symbols that a document gives at least, where it has them.
 STRETCH = 1000
 #: Texts from which a step of numpy is cheaper than steps of each text.
@@ -160,17 +162,18 @@ def model_of(learned: dict[str, str]) -> Model:
     return held("language", hash(tuple(sorted(learned.items()))), lambda: Model(learned))
 
 
-def learn(labelled: DataFrame, symbols: int = LEARN_SYMBOLS, docs: int = LEARN_DOCS, langs: int = LEARN_LANGS) -> dict[str, str]:
-    """Text of each language from labelled (doc_id, text, lang), for the ``langs`` most
-    frequent ones: a stretch of each of ``docs`` documents in hash order, ``symbols``
-    characters together. What reaches the driver is bounded by these."""
+def learn(labelled: DataFrame, symbols: int = LEARN_SYMBOLS, docs: int = LEARN_DOCS, every: int = ALL_SYMBOLS) -> dict[str, str]:
+    """Text of each language from labelled (doc_id, text, lang): a stretch of each of ``docs``
+    documents in hash order, ``symbols`` characters together, fewer where all languages would
+    have over ``every``. What reaches the driver is bounded by these and the names of languages."""
     rows = labelled.where("lang is not null and text is not null")
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return {}
+    symbols = min(symbols, max(LEAST_SYMBOLS, every // len(per)))
     h = F.xxhash64(F.lit("language"), "doc_id", "text")
     wanted = F.try_element_at(F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * docs / n)))]), F.col("lang"))
-    share = F.try_element_at(F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(max(STRETCH, symbols // min(n, docs))))]), F.col("lang"))
+    share = F.try_element_at(F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(max(min(STRETCH, symbols), symbols // min(n, docs))))]), F.col("lang"))
     start = F.pmod(F.xxhash64(F.lit("stretch"), h), F.greatest(F.lit(1), F.length("text") - share + 1)) + 1
     drawn = rows.select("lang", h.alias("h"), F.substring(F.col("text"), start.cast("int"), share).alias("text")).where(F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < wanted)
     placed = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= docs)
