@@ -2,6 +2,7 @@
 repeated rows, clashing columns and empty tables, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -160,6 +161,45 @@ def test_quality_ranks_and_survives_edges(spark, docs, none):
     assert quality.learn(none, labels) is None and set(quality.score(docs, None).toPandas().score) == {0.5}
 
 
+def test_quality_against_plain_loops():
+    """Features, loss, optimum, threshold and scores, each by a loop."""
+    dice = np.random.default_rng(4)
+    better, worse = dice.normal(0.4, 1, (40, quality.FEATURES)), dice.normal(0, 1.5, (70, quality.FEATURES))
+    model = quality.bradley_terry(better, worse)
+    both = np.concatenate([better, worse])
+    mean, sd = both.mean(0), both.std(0)
+    scaled = lambda row: [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(row, mean, sd)]
+    a, b = [scaled(r) for r in better], [scaled(r) for r in worse]
+    draws = np.random.default_rng(11).integers(0, len(b), (len(a), quality.PAIRS))
+    pairs = [(a[i], b[j]) for i, row in enumerate(draws.tolist()) for j in row]
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-sum(v * (x - y) for v, x, y in zip(w, p, q)))) for p, q in pairs) / len(pairs) + quality.L2 / 2 * sum(v * v for v in w)
+
+    w = model.weights.tolist()
+    for k in range(quality.FEATURES):
+        up, down = (loss([v + e * (i == k) for i, v in enumerate(w)]) for e in (1e-5, -1e-5))
+        assert abs(up - down) / 2e-5 < 1e-6  # no slope is left
+    raw = lambda row: sum(v * x for v, x in zip(w, row))
+    ra, rb = [raw(r) for r in a], [raw(r) for r in b]
+    cut = -(model.shift - math.log(3 / 7)) / model.slope
+    right = lambda t: sum(x >= t for x in ra) / len(ra) + sum(x < t for x in rb) / len(rb)
+    assert right(cut) == pytest.approx(max(right(t) for t in np.quantile(ra + rb, np.linspace(0, 1, 401))))
+    texts = ["plain words, and a line.", "", None, "A|B|C !!!\n###\n###", "é ü 中 words"]
+    want = [1 / (1 + math.exp(-(model.slope * raw(scaled2) + model.shift))) for scaled2 in ([min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(quality.features(t), model.mean, model.scale)] for t in texts)]
+    assert model.score(texts).tolist() == pytest.approx(want)
+
+
+def test_quality_features_against_loops():
+    text = "One two two, THREE!\n\nx | y {z} 5%\nOne two two, THREE!\né"
+    f, raw, words = quality.features(text), text.encode(), text.split()
+    kinds = ["".join(map(chr, range(97, 123))), "".join(map(chr, range(65, 91))), "0123456789", " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f", ".,;:'\"?-"]
+    for got, kind in zip(f, kinds):
+        assert got == pytest.approx(sum(chr(c) in kind for c in raw if c < 128) / len(raw))
+    assert f[6] == pytest.approx(sum(c > 127 for c in raw) / len(raw)) and f[7] == pytest.approx(math.log1p(len(words))) and f[9] == pytest.approx(sum(x == y for x, y in zip(words, words[1:])) / len(words))
+    assert f[10] == pytest.approx(len(set(words)) / len(words)) and f[12] == pytest.approx(3 / 4) and f[14] == pytest.approx(2 / 4) and f[15] == pytest.approx(1 / len(words)) and f[19] == pytest.approx(2 / len(words))
+
+
 def test_language_on_held_out_and_edges(docs, none):
     learned = language.learn(docs.where("lang is not null and doc_id < 20"))
     got = language.identify(docs, learned).toPandas()
@@ -181,6 +221,16 @@ def greedy_phrases(learned, text):
     return n
 
 
+def test_many_languages_share_the_symbols(spark):
+    dice = random.Random(2)
+    letters = string.ascii_lowercase
+    texts = {f"l{k:03d}": "".join(dice.choice(letters[k % 20 : k % 20 + 5] + " ") for _ in range(400)) for k in range(40)}
+    table = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts.items())], "doc_id long, text string, lang string")
+    learned = language.learn(table, every=4000)
+    assert set(learned) == set(texts) and all(0 < len(t) <= language.LEAST_SYMBOLS for t in learned.values())
+    assert sum(map(len, language.learn(table, symbols=100).values())) == 40 * 100
+
+
 def test_cross_parse_is_greedy():
     model, dice = language.Model({"a": "abracadabra banana", "b": "zzz"}), random.Random(3)
     texts = ["bananabracadab xyz abra", None, "a", *("".join(dice.choice("abrcdnz xy") for _ in range(dice.randint(1, 400))) for _ in range(90)), "abra ban" * 3000]
@@ -381,6 +431,17 @@ def test_secrets_without_key_words(spark):
     assert not any(secrets.HARMLESS.fullmatch(shape()) for shape in shapes for _ in range(200))
 
 
+def test_secrets_leave_spoken_words(spark):
+    """Long words made of parts of words, in capitals too, as junk documents have them."""
+    dice = random.Random(21)
+    parts = ["ation", "elle", "ment", "ung", "ver", "ing", "que", "heit", "la", "ai", "eur", "der", "con", "pre"]
+    model = secrets.train(spark.createDataFrame([(f"some plain text with {i} words",) for i in range(50)], "text string"))
+    made = ["".join(dice.choice(parts) for _ in range(12))[: dice.randint(16, 30)] for _ in range(400)]
+    texts = [f"before {w.upper() if i % 2 else w.capitalize()} after" for i, w in enumerate(["LAAITIONELLEELLE", *made])]
+    assert sum(bool(s) for s in secrets.spans(texts, model)) <= 0.02 * len(texts)
+    assert secrets.spans([f"see {'LAAITIONELLEELLE'} here"], model) == [[]]
+
+
 def test_secrets_threshold_keeps_recall():
     net = secrets.Network()
     x = np.frombuffer(b"".join(secrets.generated(100)[0]), np.uint8).reshape(-1, secrets.WINDOW)
