@@ -60,3 +60,16 @@ def test_json_after_a_crash_between_renames(spark, tmp_path):
     (tmp_path / "j").rename(tmp_path / "j.old")
     files.update_json(spark, path, spark.createDataFrame([(2, "b")], "k int, x string"), "k")
     assert {r.k: r.x for r in spark.read.json(path).collect()} == {1: "a", 2: "b"} and not (tmp_path / "j.old").exists()
+
+
+def test_staged_tables_are_removed(spark):
+    import os
+
+    from terrace.sources import staging
+
+    staging.drop_all()
+    a, b = (staging.Staged(spark.range(n), "test") for n in (3, 4))
+    assert a.rows.count() == 3 and os.path.isdir(b.path)
+    a.drop()
+    staging.drop_all()
+    assert not os.path.exists(a.path) and not os.path.exists(b.path) and not staging.Staged.made
