@@ -44,7 +44,7 @@ def _poisson() -> None:
     more, out = history.poisson_layers()
     final = steps.rounded(["match_id"], out)
     QUERIES["w10_poisson"] = lambda spark, d: steps.columns(steps.both_sides(steps.columns(source.sides(source.contest(spark, d)), *layers), names), *more).selectExpr(*final)
-    ORACLES["w10_poisson"] = steps.final_sql(steps.sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *layers), names), *more), final)
+    ORACLES["w10_poisson"] = steps.final_sql(steps.sql(steps.both_sides_sql(steps.sql(source.SIDES_SQL, *twins.strengths()), names), *twins.poisson()), final)
 
 
 _poisson()

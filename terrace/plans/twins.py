@@ -90,3 +90,17 @@ def referee() -> list[dict[str, str]]:
     past = lambda of, where: f"coalesce(list({of}) FILTER ({where}) {by}, [])"
     return [{"f": past("fouls", "fouls IS NOT NULL"), "y": past("yellows", "yellows IS NOT NULL"), "w": past("(home_points = 3)::INT", "true")},
             {n: f"CASE WHEN referee IS NOT NULL THEN {e} END" for n, e in (("referee_avg_fouls", "list_avg(f)"), ("referee_avg_yellows", "list_avg(y)"), ("referee_home_bias", "list_avg(w) - 0.46"))}]
+
+
+def strengths() -> list[dict[str, str]]:
+    last = lambda of: f"CASE WHEN len({of}) > 4 THEN list_avg({of}[-10:]) END"
+    return [{"g": _list("gf"), "c": _list("ga")}, {"attack": last("g"), "defence": last("c")}]
+
+
+def poisson() -> list[dict[str, str]]:
+    goals, l1, l2 = "[1, 1, 2, 6, 24, 120]", "poisson_home_lambda", "poisson_away_lambda"
+    known = lambda value: f"CASE WHEN attack_home IS NOT NULL AND attack_away IS NOT NULL THEN {value} END"
+    chance = lambda on: f"(SELECT sum(({on})::INT * exp(-{l1} - {l2}) * {l1} ** h * {l2} ** a / ({goals}[h + 1] * {goals}[a + 1])) FROM range(6) i(h), range(6) j(a))"
+    rates = {l1: known("greatest(1.1 * attack_home * defence_away / 1.35, 0.3)"), l2: known("greatest(0.9 * attack_away * defence_home / 1.35, 0.2)")}
+    shown = {"home_win": "h > a", "draw": "h = a", "away_win": "h < a", "over25": "h + a >= 3", "btts": "least(h, a) > 0"}
+    return [rates, {"poisson_total_lambda": f"{l1} + {l2}", "poisson_diff": f"{l1} - {l2}", **{f"poisson_{n}": chance(on) for n, on in shown.items()}}]
