@@ -133,7 +133,7 @@ def blend(model: float = 0.6, market: float = 0.4) -> list[dict[str, str]]:
     likely outcome (first wins ties) and its tier. On p_home, p_draw, p_away and shin_prob_*."""
     o = ("home", "draw", "away")
     known = " AND ".join(f"shin_prob_{x} IS NOT NULL" for x in o)
-    clip = {f"c_{x}": f"greatest(0.02, least(0.96, p_{x}))" for x in o}
+    clip = {f"c_{x}": f"CASE WHEN p_{x} IS NOT NULL THEN greatest(0.02, least(0.96, p_{x})) END" for x in o}
     norm = {f"n_{x}": f"c_{x} / (c_home + c_draw + c_away)" for x in o}
     mixed = {f"m_{x}": f"CASE WHEN {known} THEN {model} * n_{x} + {market} * shin_prob_{x} ELSE n_{x} END" for x in o}
     out = {f"blend_{x}": f"m_{x} / (m_home + m_draw + m_away)" for x in o}
@@ -157,7 +157,7 @@ def live_adjustment() -> list[dict[str, str]]:
         "q_away": f"p_away - ({home}) - CASE WHEN instability_away > 0.3 THEN 0.02 ELSE 0 END + CASE WHEN instability_home > 0.3 THEN 0.01 ELSE 0 END",
         "q_draw": "p_draw",
     }
-    clip = {f"k_{x}": f"greatest(0.02, least(0.95, q_{x}))" for x in ("home", "draw", "away")}
+    clip = {f"k_{x}": f"CASE WHEN q_{x} IS NOT NULL THEN greatest(0.02, least(0.95, q_{x})) END" for x in ("home", "draw", "away")}
     return [shift, clip, {f"live_{x}": f"k_{x} / (k_home + k_draw + k_away)" for x in ("home", "draw", "away")}]
 
 

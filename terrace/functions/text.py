@@ -107,7 +107,7 @@ def token_sentiment(text: str, for_: list[str] = TERMS_FOR, against: list[str] =
 def amplified(score: Column, injuries: Column) -> tuple[Column, Column]:
     """Each injury pattern in an article takes 0.12 off its score; where there is one, the
     score counts as having content."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score - 0.12 * injuries)), F.when(injuries > 0, 1).otherwise(0)
+    return F.when(score.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score - 0.12 * injuries))), F.when(injuries > 0, 1).otherwise(0)
 
 
 def team_news(articles: DataFrame, team: str = "team") -> DataFrame:

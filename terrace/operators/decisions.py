@@ -35,7 +35,7 @@ def adaptive_blend(structural: str, learners: list[str]) -> list[dict[str, str]]
     are sure of theirs; otherwise it follows the spread between the learners."""
     from terrace.functions.columns import argmax
 
-    n, clip = len(learners), lambda x, a, b: f"greatest({a}, least({b}, {x}))"
+    n, clip = len(learners), lambda x, a, b: f"CASE WHEN {x} IS NOT NULL THEN greatest({a}, least({b}, {x})) END"
     mean = {f"mean_{o}": f"({' + '.join(f'{x}_{o}' for x in learners)}) / CAST({n} AS DOUBLE)" for o in SIDES}
     spread = {f"dev_{o}": f"sqrt(({' + '.join(f'pow({x}_{o} - mean_{o}, 2)' for x in learners)}) / CAST({n} AS DOUBLE))" for o in SIDES}
     facts = {

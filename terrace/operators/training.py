@@ -114,8 +114,8 @@ def learners(n_features: int, seed: int = 42) -> dict[str, object]:
 
 
 def clipped(p: list) -> list:
-    """Within LOW and HIGH, then to a sum of 1."""
-    cut = [F.greatest(F.lit(LOW), F.least(F.lit(HIGH), x)) for x in p]
+    """Within LOW and HIGH, then to a sum of 1; null where a chance is."""
+    cut = [F.when(x.isNotNull(), F.greatest(F.lit(LOW), F.least(F.lit(HIGH), x))) for x in p]
     return [x / sum(cut[1:], cut[0]) for x in cut]
 
 

@@ -123,5 +123,5 @@ def calendar(fixtures: DataFrame) -> DataFrame:
     flag = lambda c: F.when(c, 1).otherwise(0)
     return fixtures.withColumns({
         "month_no": month, "day_of_week": weekday, "is_midweek": flag(weekday.isin(1, 2, 3)), "is_early_season": flag(month.isin(8, 9)), "is_run_in": flag(month.isin(4, 5)),
-        "is_cold": flag(month.isin(11, 12, 1, 2)), "season_progress": F.least(F.pmod(month - 8, F.lit(12)) / 10.0, F.lit(1.0)),
+        "is_cold": flag(month.isin(11, 12, 1, 2)), "season_progress": F.when(month.isNotNull(), F.least(F.pmod(month - 8, F.lit(12)) / 10.0, F.lit(1.0))),
     })

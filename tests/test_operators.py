@@ -155,3 +155,19 @@ def test_rows_without_a_partner(spark):
     played = spark.createDataFrame([(1, 1, 2019, 5, 2.0), (2, 0, 2018, 4, 1.0)], "team int, is_home int, season int, match_id int, gf double").withColumn("match_date", F.lit("2019-10-01").cast("date"))
     rows = upcoming.prepare(games, played, ["gf"], spark.createDataFrame([(2, 3.0)], "team int, gf double")).orderBy("match_id").collect()
     assert [(r.gf_home, r.gf_away) for r in rows] == [(2.0, 3.0), (3.0, None), (None, 2.0)]
+
+
+def test_unknown_chances_stay_unknown(spark):
+    """least() and greatest() skip nulls; a clipped null must not become a bound."""
+    from terrace.functions import columns
+    from terrace.operators import decisions, training
+
+    row = spark.sql("SELECT CAST(NULL AS DOUBLE) AS p_home, 0.3D AS p_draw, 0.5D AS p_away, CAST(NULL AS DOUBLE) AS shin_prob_home, 0.2D AS shin_prob_draw, 0.5D AS shin_prob_away, 0D AS sentiment_home, 0D AS sentiment_away, 0D AS injury_home, 0D AS injury_away, 0D AS instability_home, 0D AS instability_away")
+    mixed = steps.columns(row, *columns.blend()).first()
+    assert mixed.blend_home is None and mixed.blend_draw is None
+    assert steps.columns(row, *columns.live_adjustment()).first().live_home is None
+    assert row.select(*[x.alias(n) for n, x in zip("hda", training.clipped([F.col("p_home"), F.col("p_draw"), F.col("p_away")]))]).first().h is None
+    made = spark.sql("SELECT " + ", ".join(f"{'CAST(NULL AS DOUBLE)' if n == 'm1' else 0.3} AS {n}_{o}" for n in ("dc", "m1") for o in decisions.SIDES))
+    blend = decisions.adaptive_blend("dc", ["m1"])
+    assert all(steps.columns(made, *blend).first()[c] is None for c in blend[-1])
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS s, 1 AS n").select(text.amplified(F.col("s"), F.col("n"))[0].alias("a")).first().a is None
