@@ -98,3 +98,25 @@ def test_learning_from_nothing(spark):
     assert boosting.fit(one, NAMES).transform(one).first()._chances[2] > 0.99
     assert boosting.fit(spark.createDataFrame(table(60), SCHEMA), []).transform(one).count() == one.count()
     assert boosting.fit(one, NAMES).transform(none).count() == 0
+
+
+def test_staged_rows_are_blocks_and_sums_are_those_of_plain_counting(spark):
+    df = spark.createDataFrame(table(500), SCHEMA)
+    edges = boosting.edges_of(df, NAMES, 8)
+    rows = boosting._table(df.coalesce(1), NAMES, "outcome", None, "match_id", edges, np.zeros((1, 3)))
+    known = df.where("outcome is not null").count()
+    blocks = rows.collect()
+    assert len(blocks) <= 1 + df.rdd.getNumPartitions() and sum(len(r.label) // 4 for r in blocks) == known
+    for s in (Settings(bins=8), Settings(bins=8, boost=False, bootstrap=True)):
+        tree = boosting.Tree.new(0, [1] if s.boost else [0, 1, 2], 2)
+        tree.feature[0], tree.cut[0] = 0, 3
+        for block in [b for batch in rows.toArrow().to_batches() for b in boosting._blocks(batch, len(NAMES), 1)]:
+            bins, label, weight, key, margins = block
+            g, h = boosting.slopes(margins[:, 0], label, weight, s.boost)
+            copies, at = boosting.multiplicity(key, s, 0, 0), tree.place(bins.T, 1)
+            for (_, node), sums in boosting._taken(*block, [tree], 0, 1, s, 0).items():
+                whole = boosting._whole(sums, s)
+                for f, b in ((0, 2), (1, 0), (2, 5)):
+                    own = (at == node) & (bins[f] == b)
+                    plain = [v for c in tree.classes for v in ((g[own, c] * copies[own]).sum(), (h[own, c] * copies[own]).sum())] + [copies[own].sum()]
+                    assert whole[f, b].tolist() == plain
