@@ -97,3 +97,36 @@ def test_live_values_and_baselines(spark):
     assert (r.goals_scored_l5_home, r.wind_speed_home, r.wind_speed_away) == (3.0, 4.0, 8.0)
     assert r.elo_home is None and r.elo_away == 1460 and r.elo_diff is None and r.xg_overperformance_l5_home == 0
     assert r.xg_for_l5_home == pytest.approx(0.85 * 3 + 0.15 * 1.35) and r.xg_for_l5_away == 1.0
+
+
+def test_fits_at_once_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    import threading
+    import time
+
+    from terrace.operators import training
+
+    monkeypatch.setattr(training, "ROWS_HELD", 1000)
+    lock, running, most = threading.Lock(), [0], [0]
+
+    def work(i):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.05)
+        with lock:
+            running[0] -= 1
+        return i
+
+    for rows, limit in ((0, 8), (400, 2), (5000, 1)):
+        most[0] = 0
+        assert training.at_once(spark.range(1), work, list(range(10)), rows) == list(range(10))
+        assert most[0] <= limit
+
+
+def test_rows_of_a_fit_stay_where_they_lie(spark):
+    from terrace.operators import training
+
+    df = spark.range(0, 300_000, 1, 6)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(training._dealt(df, 300_000)) and training._dealt(df, 10).rdd.getNumPartitions() == 1
+    assert training._dealt(df.coalesce(1), 300_000).rdd.getNumPartitions() > 1
