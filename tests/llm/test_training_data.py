@@ -464,6 +464,22 @@ def test_secrets_calibration_settles():
     assert 0 < net.slope < 2 and abs(net.offset) < 2 and (net.thresholds > 0.5).all()
 
 
+def test_secrets_learn_from_every_document(spark):
+    """No document is left out, and many groups learn together what one does."""
+    dice = random.Random(31)
+    pick = lambda letters, n: "".join(dice.choice(letters) for _ in range(n))
+    both = string.ascii_letters + string.digits
+    docs = spark.createDataFrame([(f"password={pick(both, 24)} at some/long/path/of/{pick(string.ascii_lowercase, 6)}",) for _ in range(21_000)], "text string")
+    found = secrets.labelled(docs)
+    assert {(r.label, r["count"]) for r in found.groupBy("label").count().collect()} == {(0, 21_000), (1, 21_000)}
+    model = secrets.train(docs.limit(3000), group=2000, rounds=4)
+    windows, labels = secrets.generated(150, seed=99)
+    hit = model.over(secrets._matrix(windows)) >= 0
+    assert hit[np.array(labels) == 1].mean() > 0.9 > 0.1 > hit[np.array(labels) == 0].mean()
+    again = [f"so {pick(both, 24)} it was" for _ in range(200)]
+    assert sum(bool(s) for s in secrets.spans(again, model)) >= 160
+
+
 def test_secrets_base_against_a_scan():
     """The contract's patterns, tried at every place in turn."""
     dice = random.Random(12)
