@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import blocks, history
+from terrace.operators import blocks, history, standings
 from terrace.plans import steps
 from terrace.sources import contest as source
 
@@ -34,3 +34,11 @@ def test_a_block_holds_no_more_than_its_rows(spark):
     kinds = history.LOOKS_BACK["momentum"]
     most = blocks.earlier(sides, kinds).groupBy("team", "block").count().agg(F.max("count")).first()[0]
     assert most <= sum(n for _, n in kinds)
+
+
+def test_league_tables_do_not_multiply_matches(spark):
+    """Small blocks give the table of one block; before, each match became a row a team."""
+    matches = source.contest(spark, D).cache()
+    a, b = standings.table_before(matches, 40), standings.table_before(matches)
+    assert a.count() == matches.count() and a.exceptAll(b).isEmpty()
+    assert "Window" not in b.select("match_id", "table_pos_home")._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
