@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrace.operators import meetings, moments, upcoming
 
@@ -130,3 +131,33 @@ def test_rows_of_a_fit_stay_where_they_lie(spark):
     plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(training._dealt(df, 300_000)) and training._dealt(df, 10).rdd.getNumPartitions() == 1
     assert training._dealt(df.coalesce(1), 300_000).rdd.getNumPartitions() > 1
+
+
+def test_fixtures_of_a_day_share_their_pairs_history(spark):
+    """Before, every fixture took ten rows of its own, and the latest rows came from a sort of all."""
+    day = datetime.date(2020, 1, 1)
+    played = [(i, day if i % 3 else None, *((1, 2) if i % 2 else (2, 1)), i % 4, i % 3) for i in range(40)]
+    matches = spark.createDataFrame(played, "match_id long, match_date date, home_team int, away_team int, goals_home int, goals_away int")
+    fixtures = spark.range(5000).selectExpr("id AS match_id", "DATE'2021-01-01' AS match_date", "2 AS home_team", "1 AS away_team")
+    assert upcoming._histories(fixtures, matches, 10).count() == 1
+    got = upcoming.pair_history(fixtures, matches).agg(*[f(c) for c in ("h2h_matches", "h2h_home_goals_avg") for f in (F.min, F.max)]).first()
+    last = [p for p in played if p[1]][-10:]
+    assert got[:2] == (10, 10) and got[2] == got[3] == pytest.approx(np.mean([x if h == 2 else y for _, _, h, _, x, y in last]))
+
+
+def test_latest_rows_by_venue(spark):
+    dice = random.Random(8)
+    rows = [(dice.choice([1, 2, 3]), i % 2, dice.choice([2019, 2020, None]), dice.choice([None, *[datetime.date(2020, 1, d) for d in (1, 2, 3)]]), i, dice.choice([None, float(i)])) for i in range(60)]
+    rows += [(4, 1, 2019, datetime.date(2019, 1, 1), 100, 1.0), (5, 1, 2020, None, 101, 2.0)]
+    sides = spark.createDataFrame(rows, "team int, is_home int, season int, match_date date, match_id long, x double")
+    found = upcoming.latest_by_venue(sides, ["x"])
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.team: (r.home.x, r.away.x) for r in found.collect()}
+    latest = lambda some: max(some, key=lambda r: (r[3] is not None, r[3] or datetime.date.min, r[4]))[5] if some else None
+    assert set(got) == {1, 2, 3, 5}
+    for team, values in got.items():
+        own = [r for r in rows if r[0] == team]
+        for at, value in zip((1, 0), values):
+            there = [r for r in own if r[1] == at]
+            x = latest([r for r in there if r[2] == 2020] or there)
+            assert value == (latest(own) if x is None else x)
