@@ -42,3 +42,25 @@ def test_league_tables_do_not_multiply_matches(spark):
     a, b = standings.table_before(matches, 40), standings.table_before(matches)
     assert a.count() == matches.count() and a.exceptAll(b).isEmpty()
     assert "Window" not in b.select("match_id", "table_pos_home")._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+
+
+def test_placed_form_is_the_windows_form(spark):
+    """Form and place of both sides in one pass by block: before, windows by team, then a shuffle
+    and two joins by match."""
+    from terrace.operators import decisions
+
+    matches = source.contest(spark, D).withColumns({"shots_home": F.expr("CASE WHEN match_id % 3 > 0 THEN shots_home END"), "match_date": F.expr("CASE WHEN match_id % 50 > 0 THEN match_date END")}).cache()
+    layers, names = history.rolling_form((5,))
+    found = blocks.placed_form(matches, ["match_id", "dn", "match_date", "home_team", "away_team"], rows=60)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan.split("\n:")[0]
+    assert set(found.columns) >= {f"{n}_{s}" for n in names for s in ("home", "away")}
+    windows = steps.both_sides(steps.columns(source.sides(matches), *layers), names)
+    final = steps.rounded(["match_id"], [f"{n}_{s}" for n in names for s in ("home", "away")])
+    a, b = windows.selectExpr(*final), found.selectExpr(*final)
+    assert a.count() == b.count() and a.exceptAll(b).isEmpty()
+    places = [r.match_id for r in found.orderBy("place").collect()]
+    assert places == [r.match_id for r in matches.orderBy(F.col("match_date").asc_nulls_first(), "match_id").collect()]
+    known = matches.where("match_date is not null")
+    by_day = decisions.ordered_place(known).select("match_id", "place", "total")
+    assert by_day.exceptAll(blocks.placed_form(known, ["match_id", "match_date", "home_team", "away_team"], rows=60).select("match_id", "place", "total")).isEmpty()
